@@ -417,9 +417,9 @@ def total_of(found: DataFrame) -> DataFrame:
 
 def both_orientations(cells: DataFrame) -> DataFrame:
     """A two-way table can be asked for either way round."""
-    swapped = cells.where(F.col("cols").isNotNull()).withColumnsRenamed(
-        {"rows": "cols", "cols": "rows", "row": "col", "col": "row"}
-        | ({"row_pos": "col_pos", "col_pos": "row_pos"} if "row_pos" in cells.columns else {})
+    swap = {"rows": "cols", "cols": "rows", "row": "col", "col": "row", "row_pos": "col_pos", "col_pos": "row_pos"}
+    swapped = cells.where(F.col("cols").isNotNull()).select(
+        *[F.col(c).alias(swap.get(c, c)) for c in cells.columns]
     )
     return cells.unionByName(swapped)
 
