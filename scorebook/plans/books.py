@@ -199,6 +199,8 @@ def with_sql(body: str, *books: str) -> str:
     source = {"book": BUCKETED_SQL, "docs": DOCS_SQL, "lines": LINES_SQL}
     heads = ", ".join(f"{name} AS ({source[name]})" for name in books)
     joined = body.strip()
+    if joined[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {joined[15:]}"
     if joined[:5].upper() == "WITH ":
         return f"WITH {heads}, {joined[5:]}"
     return f"WITH {heads} {joined}"
