@@ -63,8 +63,10 @@ def hybrid_rows(
         F.collect_list(F.struct(*[F.col(f).alias(f"b_{f}") for f in features])).alias("__bg")
     )
     sets = F.array(*[F.lit(m) for m in masks])
+    # Each explained row becomes thousands: spread them first, over a fixed number of tasks.
+    tasks = int(explained.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wide = (
-        beside(explained.select(id, *features), held)
+        beside(explained.select(id, *features).repartition(tasks, id), held)
         .withColumn("__mask", F.explode(sets))
         .select(id, *features, "__mask", F.explode("__bg").alias("__b"))
     )

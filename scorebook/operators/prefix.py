@@ -22,19 +22,20 @@ RANGE = "__range"
 def range_count(df: DataFrame) -> int:
     """How many ranges to cut a value line into: enough for the cluster, and bounded."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4 * partitions, 2048))
+    return max(16, min(4 * partitions, 4096))
 
 
 def value_cuts(df: DataFrame, value: str, ranges: int | None = None) -> list[float]:
     """Cut points that split ``df`` into ranges of about equal row counts.
 
     They only balance the work: any cut points give the same result.  One aggregate over one
-    column, and at most ``ranges`` numbers come back.
+    column, and at most ``ranges`` numbers come back.  They are read eagerly and put into the
+    plan as literals: an approximate quantile computed again inside the plan could differ.
     """
     n = ranges or range_count(df)
     shares = [i / n for i in range(1, n)]
     row = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), shares, F.lit(max(1000, 20 * n))).alias("c")
+        F.percentile_approx(F.col(value).cast("double"), shares, F.lit(max(10_000, 10 * n))).alias("c")
     ).first()
     return sorted(set(row["c"] or []))
 
@@ -60,12 +61,14 @@ def running_totals(
     descending: bool = False,
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of ``measures`` (output name -> column) along ``value``.
+    """Inclusive running sums of ``measures`` (output name -> column) along ``value``, and each
+    measure's grand total per key as ``all_<output>``.
 
     ``df`` holds one row per ``keys`` and ``value``.  Within a range the sum is a window over
     ``(keys, range)``; between ranges it is a window over the range totals, of which there are
-    at most ``range_count`` per key.
+    at most ``range_count`` per key.  ``df`` is written once, as three passes read it.
     """
+    df = durable(df)
     cuts = value_cuts(df, value) if cuts is None else cuts
     # The keys as one never-null struct, so a missing level joins like any other.
     ranged = with_range(df, value, cuts).withColumn("__k", key_struct(keys))
@@ -82,6 +85,7 @@ def running_totals(
     totals = ranged.groupBy("__k", RANGE).agg(
         *[F.sum(c).alias(f"__total_{out}") for out, c in measures.items()]
     )
+    whole = Window.partitionBy("__k")
     offsets = totals.select(
         "__k",
         RANGE,
@@ -89,6 +93,7 @@ def running_totals(
             F.coalesce(F.sum(f"__total_{out}").over(before), F.lit(0)).alias(f"__before_{out}")
             for out in measures
         ],
+        *[F.sum(f"__total_{out}").over(whole).alias(f"all_{out}") for out in measures],
     )
     local = ranged.withColumns({out: F.sum(c).over(inside) for out, c in measures.items()})
     return (
@@ -116,11 +121,8 @@ def value_at_position(
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
     counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__m"))
-    run = running_totals(
-        counted, value, {"__upto": "__m"}, keys=keys, cuts=value_cuts(known, value)
-    )
-    sizes = counted.groupBy(key_struct(keys).alias("__k")).agg(F.sum("__m").alias("n"))
-    joined = run.withColumn("__k", key_struct(keys)).join(sizes, "__k")
+    run = running_totals(counted, value, {"__upto": "__m"}, keys=keys)
+    joined = run.withColumnRenamed("all___upto", "n")
     holds = {
         out: (F.col("__upto") - F.col("__m") < position) & (position <= F.col("__upto"))
         for out, position in wanted.items()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorebook.functions import expr as E
 from scorebook.functions import fixed
 from scorebook.functions.fixed import MIN_CELL
-from scorebook.operators.prefix import running_totals, value_cuts
+from scorebook.operators.prefix import running_totals
 from scorebook.operators.segments import members
 from scorebook.operators.tables import beside, named_rows
 
@@ -80,18 +80,22 @@ def association_ranking(
         .groupBy("dimension", "segment")
         .agg(F.count(F.lit(1)).cast("double").alias("r"), F.sum("__y").cast("double").alias("c"))
     )
-    table = Window.partitionBy("dimension")
-    # One row per value of a category: small, declared vocabularies.
-    with_totals = values.withColumns(
-        {"n": F.sum("r").over(table), "p": F.sum("c").over(table)}
-    )
+    # The statistic separates into sums per value, so no value waits for its column's total.
     r, c, n, p = (F.col(x) for x in "rcnp")
-    term = E.ratio(c * c, r * p) + E.ratio((r - c) * (r - c), r * (n - p))
-    by_category = with_totals.groupBy("dimension").agg(
-        F.max("n").alias("n"),
-        (F.coalesce(F.sum(term), F.lit(1.0)) - 1).alias("phi2"),
+    sums = values.groupBy("dimension").agg(
+        F.sum("r").alias("n"),
+        F.sum("c").alias("p"),
+        F.sum(c * c / r).alias("with"),
+        F.sum((r - c) * (r - c) / r).alias("without"),
         F.count(F.lit(1)).cast("double").alias("rows"),
-        F.max(F.when((p > 0) & (p < n), 2.0).otherwise(1.0)).alias("columns"),
+    )
+    both = (p > 0) & (p < n)
+    by_category = sums.select(
+        "dimension",
+        "n",
+        "rows",
+        F.when(both, F.col("with") / p + F.col("without") / (n - p) - 1).otherwise(F.lit(0.0)).alias("phi2"),
+        F.when(both, 2.0).otherwise(1.0).alias("columns"),
     )
     v = corrected_v(F.col("phi2"), F.col("n"), F.col("rows"), F.col("columns"))
     ranked = by_category.select(
@@ -141,7 +145,6 @@ def ranking_metrics(
     score: str,
     label: str,
     keys: Sequence[str] = (),
-    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """ROC-AUC (ties count half) and average precision (steps over distinct scores), per key.
 
@@ -149,10 +152,7 @@ def ranking_metrics(
     a single class.
     """
     per_score = scored_counts(df, score=score, label=label, keys=keys)
-    cuts = value_cuts(df, score) if cuts is None else cuts
-    run = running_totals(
-        per_score, score, {"tp": "pos", "fp": "neg"}, keys=keys, descending=True, cuts=cuts
-    )
+    run = running_totals(per_score, score, {"tp": "pos", "fp": "neg"}, keys=keys, descending=True)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     # A negative at this score loses to the positives above it and ties with those at it.
     beaten = neg * (tp - pos + 0.5 * pos)
@@ -333,7 +333,6 @@ def segment_performance(
         score="__p",
         label="__y",
         keys=["dimension", "segment"],
-        cuts=value_cuts(df, score),
     ).select("dimension", "segment", "roc_auc")
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     sized = cells.withColumns(

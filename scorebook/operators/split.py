@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from scorebook.functions.expr import col, ratio
 
-# Hash digits that make a stratum's ranges: 16^2 = 256 ranges per stratum, of equal expected
-# size whatever the IDs are, because the hash is uniform.
-HASH_DIGITS = 2
+def hash_digits(df: DataFrame) -> int:
+    """Leading hash digits that cut a stratum into ranges: at least four ranges per shuffle
+    partition, of equal expected size whatever the IDs are, as the hash is uniform."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(2, math.ceil(math.log(4 * partitions, 16))), 5)
 
 
 def seeded_hash(id_col: str, seed: int) -> Column:
@@ -22,8 +25,8 @@ def stratum_places(df: DataFrame, *, id: str, label: str, seed: int) -> DataFram
     """``df`` with ``__rn``, each row's place within its label in hash order, and ``__nc``.
 
     Ranks are taken within (label, leading hash digits) and shifted by the sizes of the
-    ranges before: the same numbers as one window per label, in 256 times as many tasks.
-    The range sizes are at most 256 rows per label.
+    ranges before: the same numbers as one window per label, in as many tasks as the cluster
+    has.  The table of range sizes is bounded by the number of ranges.
     """
     hashed = df.withColumns(
         {
@@ -31,7 +34,7 @@ def stratum_places(df: DataFrame, *, id: str, label: str, seed: int) -> DataFram
             # A missing label is a stratum of its own, so no row is lost in the join.
             "__stratum": F.coalesce(col(label).cast("string"), F.lit("")),
         }
-    ).withColumn("__range", F.substring("__hash", 1, HASH_DIGITS))
+    ).withColumn("__range", F.substring("__hash", 1, hash_digits(df)))
     sizes = hashed.groupBy("__stratum", "__range").agg(F.count(F.lit(1)).alias("__size"))
     stratum = Window.partitionBy("__stratum")
     before = stratum.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

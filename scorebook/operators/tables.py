@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+ARROW = {
+    "string": pa.string(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+    "array<string>": pa.list_(pa.string()),
+}
 
 
 def named_rows(spark: SparkSession, columns: str, rows: Sequence[tuple]) -> DataFrame:
-    """A small declared table (levels, bands, cuts): its size is fixed by the caller's code."""
-    return spark.createDataFrame(list(rows), columns)
+    """A small declared table (levels, bands, cuts): its size is fixed by the caller's code.
+
+    It arrives as one Arrow table, so the optimizer knows its size and decides by it how to join.
+    """
+    fields = T.StructType.fromDDL(columns).fields
+    schema = pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in fields])
+    values = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(v), type=t.type) for v, t in zip(values, schema, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
 def beside(df: DataFrame, *parts: DataFrame) -> DataFrame:

@@ -469,7 +469,9 @@ def neighbour_scores(spark, folder):
     from scorebook.operators.prefix import running_totals
 
     counted = lines(spark, folder).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    return running_totals(counted, "score", {"at_or_above": "n"}, descending=True)
+    return running_totals(counted, "score", {"at_or_above": "n"}, descending=True).drop(
+        "all_at_or_above"
+    )
 
 
 @query(

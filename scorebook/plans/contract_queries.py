@@ -189,7 +189,7 @@ def vocabulary_check(spark, folder):
 @query(
     "b9_bounded_quoting",
     """WITH v AS (SELECT 'a rather long value that goes on: ' || source || ' ' || lang AS v, count(*) AS n FROM docs GROUP BY 1),
-t AS (SELECT list_transform((list_sort(list(v)))[1:5], x -> CASE WHEN length(x) > 40 THEN x[1:40] || '…' ELSE x END) AS e,
+t AS (SELECT list_transform((list_sort(list(v)))[1:5], lambda x: CASE WHEN length(x) > 40 THEN x[1:40] || '…' ELSE x END) AS e,
   count(*) AS d, CAST(sum(n) AS BIGINT) AS n FROM v)
 SELECT 'unexpected value' AS "check", 'note' AS "column", n, array_to_string(e, '|') AS examples, CAST(d - len(e) AS INT) AS more FROM t""",
     "docs",
@@ -320,14 +320,16 @@ def messy_file(spark, folder, name: str):
     line = F.concat_ws(",", "customer_id", F.lit('"x, y"'), "segment", "region", "tenure", "in_debit")
     line = F.when(asia, F.concat_ws(",", "customer_id", F.lit("z"), "segment")).otherwise(line)
     line = F.when(africa, F.concat(line, F.lit(",extra"))).otherwise(line)
-    head = F.lit("customer_id,remark,segment,region,tenure,in_debit")
+    header = files.BOM + "customer_id,remark,segment,region,tenure,in_debit"
     marked = rows.select(
-        F.explode(F.array(F.concat(F.lit(files.BOM), line), F.lit("   "))).alias("value")
+        F.explode(F.array(F.concat(F.lit(files.BOM), line), F.lit("   "))).alias(header)
     )
-    header = rows.limit(1).select(F.concat(F.lit(files.BOM), head).alias("value"))
     path = scratch_path(spark, name)
-    # One file, as an upload is: the header must be its first line.
-    header.unionByName(marked).coalesce(1).write.text(path)
+    # One unquoted column per line: every part file starts with the header, as an upload does.
+    marked.write.csv(
+        path, header=True, sep="\u0001", quote="\u0000",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
     return path
 
 
@@ -366,26 +368,17 @@ UPLOAD = V.Contract(
 @query(
     "a4_upload_gate",
     """SELECT 'c' || CAST(customer_id AS VARCHAR) AS customer_id, segment, region, in_debit,
-  CAST(tenure AS DOUBLE) AS tenure, CAST(monthly_charges AS DOUBLE) AS monthly_charges,
-  row_number() OVER (ORDER BY customer_id) AS row FROM book""",
+  CAST(tenure AS DOUBLE) AS tenure, CAST(monthly_charges AS DOUBLE) AS monthly_charges, TRUE AS numbered FROM book""",
     "book",
 )
 def upload_gate(spark, folder):
     path = scratch_path(spark, "upload")
-    # An upload is one small file in a fixed order.
-    rows = text_book(spark, folder)
-    ordered = (
-        rows.withColumn("n", F.expr("cast(substring(customer_id, 2) as bigint)"))
-        .withColumn("tenure", F.when(F.trim("tenure") == "", "0").otherwise(F.col("tenure")))
-        .coalesce(1)
-        .sortWithinPartitions("n")
-        .drop("n", "churn")
-    )
-    ordered.write.csv(path, header=True)
-    big = files.Caps(bytes=1 << 40, rows=1 << 40)
+    filled = F.when(F.trim("tenure") == "", "0").otherwise(F.col("tenure"))
+    text_book(spark, folder).drop("churn").withColumn("tenure", filled).write.csv(path, header=True)
+    big = files.Caps(bytes=1 << 50, rows=2**31 - 2)
     columns = ["segment", "region", "in_debit", "tenure", "monthly_charges"]
     ready = files.validate_upload(spark, path, UPLOAD, columns=columns, caps=big)
-    return ready.select("customer_id", *columns, "row")
+    return ready.select("customer_id", *columns, (F.col("row") >= 1).alias("numbered"))
 
 
 @query(
@@ -428,18 +421,47 @@ def spreadsheet_safe(spark, folder):
     )
 
 
-@query("k9_formula_defusing_of_texts")
-def defused_texts(spark, folder):
-    """Every document's whole text, defused: how many texts change.  DuckDB's regular
-    expressions have no look-behind, so there is no SQL twin; the rule is tested on cases."""
-    text = books.table(spark, folder, "documents").select("lang", "text")
-    return text.groupBy("lang").agg(
+def defused_sql(source: str, text: str, key: str) -> str:
+    """The rule without look-behind: its two character classes share no character."""
+    inner = rf"""regexp_replace({text}, '([;\t\r\n"])([=+\-@])', '\1''\2', 'g')"""
+    lead = r"regexp_matches(t, '^[=+\-@\t\r]')"
+    return f"""WITH d AS (SELECT {key}, {text} AS t, {inner} AS x FROM {source}),
+e AS (SELECT {key}, t, CASE WHEN {lead} THEN '''' || x ELSE x END AS y FROM d)
+SELECT {key}, count(*) AS texts, count(*) FILTER (y <> t) AS changed,
+  CAST(sum(length(y) - length(t)) AS BIGINT) AS marks FROM e GROUP BY 1"""
+
+
+def defused_counts(df, text: str, key: str):
+    safe = E.defuse(text)
+    return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("texts"),
-        F.count_if(E.defuse("text") != F.col("text")).alias("changed"),
-        F.sum(F.length(E.defuse("text")) - F.length("text")).alias("marks"),
+        F.count_if(safe != F.col(text)).alias("changed"),
+        F.sum(F.length(safe) - F.length(text)).cast("bigint").alias("marks"),
     )
 
 
+@query("k9_formula_defusing_of_texts", defused_sql("documents", "text", "lang"))
+def defused_texts(spark, folder):
+    rows = books.table(spark, folder, "documents").select("lang", "text")
+    return defused_counts(rows, "text", "lang")
+
+
+@query("k9_formula_defusing_of_pages", defused_sql("pages", "html", "page_id"))
+def defused_pages(spark, folder):
+    rows = books.table(spark, folder, "pages").select("page_id", "html")
+    return defused_counts(rows, "html", "page_id")
+
+
+SAID = """(SELECT role, CASE WHEN length(text) > 40 THEN '=' ELSE 'a;-' END || text AS said FROM conversations)"""
+
+
+@query("k9_formula_defusing_of_turns", defused_sql(SAID, "said", "role"))
+def defused_turns(spark, folder):
+    turns = books.table(spark, folder, "conversations")
+    lead = F.when(F.length("text") > 40, "=").otherwise("a;-")
+    return defused_counts(turns.select("role", F.concat(lead, "text").alias("said")), "said", "role")
+
+
 @query(
     "a7_scored_file",
     """SELECT row_number() OVER (ORDER BY customer_id) AS row, customer_id, score, risk_band, score >= 0.25 AS flagged, segment, tenure FROM book""",

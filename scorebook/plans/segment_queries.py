@@ -236,7 +236,8 @@ TRAIN = "partition_name = 'train'"
 
 
 def breakdown_cells(df):
-    found = S.breakdown_counts(df, list(DIMS), label="churn")
+    # The counts are small and read twice: cells and total.
+    found = durable(S.breakdown_counts(df, list(DIMS), label="churn"))
     dense = S.dense(found, S.level_grid(df.sparkSession, DIMS))
     return S.decorated(dense, S.total_of(found))
 
@@ -308,7 +309,7 @@ SELECT "rows", count(*) AS shown, CASE WHEN count(*) >= 2 AND min(rate) <> 0 THE
     "book",
 )
 def spread_and_peak(spark, folder):
-    found = S.breakdown_counts(train(spark, folder), list(DIMS), label="churn")
+    found = durable(S.breakdown_counts(train(spark, folder), list(DIMS), label="churn"))
     dense = S.dense(found, S.level_grid(spark, DIMS, pairs=False)).withColumn(
         "reason", F.when(F.col("customers") < 20, "too_few")
     )

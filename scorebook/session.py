@@ -19,6 +19,11 @@ def spark_session(app: str = "scorebook", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Written intermediate results go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Plans here are built from many small expressions; recording a Python call site for
+        # each of them takes longer than building it.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
