@@ -247,6 +247,22 @@ def smallest_shown(system: System, broken_lines: DataFrame, hide_margins: bool)
     return shown.groupBy("line").agg(first.alias("node"))
 
 
+def cheapest_beside_hidden(system: System, hide_margins: bool) -> DataFrame:
+    """The one smallest shown count on a line that has a hidden one; cells before margins."""
+    hidden = system.nodes.where("hidden").select("node")
+    by_member = system.lines.join(hidden, "node", "left_semi").select("line", "total")
+    by_total = system.lines.join(
+        hidden.withColumnRenamed("node", "total"), "total", "left_semi"
+    ).select("line", "total")
+    options = smallest_shown(system, by_member.unionByName(by_total).distinct(), hide_margins)
+    return (
+        system.nodes.join(options.select("node").distinct(), "node", "left_semi")
+        .orderBy("margin", "n", "node")
+        .limit(1)
+        .select("node")
+    )
+
+
 def next_hidden(system: System, minimum: int, hide_margins: bool) -> DataFrame:
     """Nodes to hide on top in one round."""
     hidden = system.nodes.where("hidden").select("node")
@@ -382,6 +398,10 @@ def guard(
         more = durable(
             smallest_shown(system, around.unionByName(as_total), hide_margins).select("node").distinct()
         )
+        if more.isEmpty():
+            # Every count on its own lines is hidden: what fixes it comes over other hidden
+            # counts, so the cheapest count next to any hidden one goes.
+            more = durable(cheapest_beside_hidden(system, hide_margins))
         if more.isEmpty():
             raise Unprotectable(f"{given.first()['node']} stays determined with nothing left to hide")
         system = hide(system, more)

@@ -52,13 +52,21 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select(F.coalesce(v, F.lit(0.0)).alias("cramers_v"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r over rows that have both; null for a constant, where ANSI mode would make the
+    built-in one fail."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return E.ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def point_biserial_of(x: Column, y: Column) -> Column:
     """Pearson r of a number and a 0/1 label; 0 for fewer than 3 rows or a constant."""
     both = x.isNotNull() & y.isNotNull()
     value = F.when(both, x.cast("double"))
     answer = F.when(both, y.cast("double"))
     fine = (F.count_if(both) >= 3) & (F.min(value) < F.max(value)) & (F.min(answer) < F.max(answer))
-    return F.when(fine, F.corr(value, answer)).otherwise(F.lit(0.0))
+    return F.when(fine, correlation(value, answer)).otherwise(F.lit(0.0))
 
 
 def point_biserial(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -125,7 +133,7 @@ def association_ranking(
 def collinearity(df: DataFrame, *, total: str, tenure: str, amount: str) -> DataFrame:
     """Pearson r of a total against tenure times amount; reads features only."""
     product = F.col(tenure).cast("double") * F.col(amount).cast("double")
-    return df.agg(F.corr(F.col(total).cast("double"), product).alias("r"))
+    return df.agg(correlation(F.col(total), product).alias("r"))
 
 
 # --- score against outcome ---------------------------------------------------------------------

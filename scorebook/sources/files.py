@@ -153,7 +153,9 @@ def contract_rows(
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line_id"),
         )
-        wide = F.col("record").isNotNull() & (field_count("record") > width)
+        # A query may not read the corrupt record alone, so the first field is looked at too.
+        real = F.coalesce(names[0], F.lit("")) != F.lit("\0")
+        wide = F.col("record").isNotNull() & (field_count("record") > width) & real
         good, bad = read.where(~wide), read.where(wide)
         place = [F.regexp_replace(c, BOM, "").alias(name) for c, name in zip(place, keep, strict=True)]
         return (
