@@ -46,6 +46,12 @@ class System:
 TOTAL = "total"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table of the system, written.  It holds at most one row per declared cell, line or pair of
+    cells - about a thousand - so one partition saves every round its shuffles."""
+    return durable(df.coalesce(1))
+
+
 def node_of(rows: str = "rows", row: str = "row", cols: str = "cols", col: str = "col") -> Column:
     one = F.concat_ws("|", F.lit("m"), rows, row)
     two = F.concat_ws("|", F.lit("c"), rows, row, cols, col)
@@ -75,7 +81,7 @@ def system_of(
     alone = crossed(hidden_levels or {})
     n, c = F.col("customers"), F.col("churned")
     hidden = (n > 0) & (c.isNull() | alone | ~E.two_sided(c, n - c, minimum))
-    based = durable(
+    based = settled(
         cells.select(
             "rows", "row", "cols", "col", "customers", "churned",
             node_of().alias("node"), hidden.alias("hidden"), alone.alias("alone"),
@@ -168,7 +174,7 @@ def system_of(
 
 def written(s: System) -> System:
     return replace(
-        s, nodes=durable(s.nodes), lines=durable(s.lines), same=durable(s.same), inside=durable(s.inside)
+        s, nodes=settled(s.nodes), lines=settled(s.lines), same=settled(s.same), inside=settled(s.inside)
     )
 
 
@@ -294,13 +300,13 @@ def hide(system: System, nodes: DataFrame) -> System:
         "node", "n", F.when(~more, F.col("c")).alias("c"), (F.col("hidden") | more).alias("hidden"),
         "margin", "alone",
     )
-    return replace(system, nodes=durable(out))
+    return replace(system, nodes=settled(out))
 
 
 def bounds(system: System) -> DataFrame:
     """The tightest interval each count has, by passing bounds along lines, twins and nestings
     until nothing moves: (node, n, hidden, alone, lo, hi)."""
-    state = durable(
+    state = settled(
         system.nodes.select(
             "node", "n", "hidden", "alone",
             F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("c")).cast("bigint").alias("lo"),
@@ -352,7 +358,7 @@ def bounds(system: System) -> DataFrame:
         for step in steps[1:]:
             moved = moved.unionByName(step)
         best = moved.groupBy("node").agg(F.max("lo").alias("nlo"), F.min("hi").alias("nhi"))
-        state = durable(
+        state = settled(
             state.join(best, "node", "left").select(
                 "node", "n", "hidden", "alone",
                 F.greatest("lo", "nlo").alias("lo"), F.least("hi", "nhi").alias("hi"),
@@ -379,7 +385,7 @@ def guard(
     determined with nothing left to hide around it.  Every round hides at least one count, so it
     ends after at most as many rounds as there are counts."""
     while True:
-        more = durable(next_hidden(system, minimum, hide_margins))
+        more = settled(next_hidden(system, minimum, hide_margins))
         if not more.isEmpty():
             system = hide(system, more)
             continue
@@ -388,20 +394,20 @@ def guard(
             raise Unprotectable(f"nothing is left to hide on line {stuck.first()['line']}")
         if not audit:
             return system
-        given = durable(determined(system, minimum).where("breaks").select("node"))
+        given = settled(determined(system, minimum).where("breaks").select("node"))
         if given.isEmpty():
             return system
         around = system.lines.join(given, "node", "left_semi").select("line", "total").distinct()
         as_total = system.lines.join(
             given.withColumnRenamed("node", "total"), "total", "left_semi"
         ).select("line", "total").distinct()
-        more = durable(
+        more = settled(
             smallest_shown(system, around.unionByName(as_total), hide_margins).select("node").distinct()
         )
         if more.isEmpty():
             # Every count on its own lines is hidden: what fixes it comes over other hidden
             # counts, so the cheapest count next to any hidden one goes.
-            more = durable(cheapest_beside_hidden(system, hide_margins))
+            more = settled(cheapest_beside_hidden(system, hide_margins))
         if more.isEmpty():
             raise Unprotectable(f"{given.first()['node']} stays determined with nothing left to hide")
         system = hide(system, more)
@@ -434,15 +440,15 @@ def guard_two_way(cells: DataFrame, total: DataFrame, *, minimum: int = MIN_CELL
     ``cells`` holds the one-way tables too, with the margins' own hiding (null ``churned``).
     """
     start = system_of(cells, total, minimum=minimum, joint=False, hidden_levels=hidden_levels)
-    settled = guard(start, minimum=minimum, hide_margins=False, audit=False)
-    return guarded_cells(cells, settled, minimum=minimum, hidden_levels=hidden_levels)
+    state = guard(start, minimum=minimum, hide_margins=False, audit=False)
+    return guarded_cells(cells, state, minimum=minimum, hidden_levels=hidden_levels)
 
 
 def guard_published(
     cells: DataFrame, total: DataFrame, *, minimum: int = MIN_CELL, hidden_levels: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
     """Published tables guarded again: hidden counts are unknown, and only more may be hidden."""
-    settled = guard(
+    state = guard(
         system_of(cells, total, minimum=minimum, hidden_levels=hidden_levels), minimum=minimum
     )
-    return guarded_cells(cells, settled, minimum=minimum, hidden_levels=hidden_levels)
+    return guarded_cells(cells, state, minimum=minimum, hidden_levels=hidden_levels)

@@ -11,7 +11,7 @@ from scorebook.operators import split as P
 from scorebook.operators.prefix import positions
 from scorebook.plans import books
 from scorebook.plans.registry import (
-    SHOWN, THRESHOLD, book, lines, money_sql, query, ratio_sql, rounded, shown, train, validation,
+    SHOWN, THRESHOLD, book, plain, lines, money_sql, query, ratio_sql, rounded, shown, train, validation,
 )
 
 DIGEST = "CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
@@ -275,7 +275,7 @@ def book_filter_ids(spark, folder):
 )
 def explorer_ranges(spark, folder):
     kept = B.explore(
-        book(spark, folder),
+        plain(spark, folder),
         {"segment": ("BUILDING", "MACHINERY"), "region": ()},
         score=(0.1, 0.3),
         tenure=(12, 70),
@@ -289,12 +289,12 @@ def explorer_ranges(spark, folder):
     "book",
 )
 def flag_at_threshold(spark, folder):
-    return B.flag(book(spark, folder), 0.25).select("customer_id", "score", "risk_band", "flagged")
+    return B.flag(plain(spark, folder), 0.25).select("customer_id", "score", "risk_band", "flagged")
 
 
 @query("b17_point_lookup", "SELECT customer_id, segment, score, churn FROM book WHERE customer_id = 77", "book")
 def point_lookup(spark, folder):
-    return B.by_id(book(spark, folder), 77).select("customer_id", "segment", "score", "churn")
+    return B.by_id(plain(spark, folder), 77).select("customer_id", "segment", "score", "churn")
 
 
 # --- counts and summaries ---------------------------------------------------------------------------
@@ -359,7 +359,7 @@ def selection_summary(spark, folder):
     "book",
 )
 def batch_summary(spark, folder):
-    table = B.batch_summary(B.flag(book(spark, folder), THRESHOLD), NAMES)
+    table = B.batch_summary(B.flag(plain(spark, folder), THRESHOLD), NAMES)
     return rounded(rounded(rounded(table, 9, "mean_probability"), 6, "expected_churners"), 4, "at_risk")
 
 
@@ -386,7 +386,7 @@ def label_check(spark, folder):
     "book",
 )
 def label_check_without_flags(spark, folder):
-    return B.label_check(book(spark, folder).withColumn("flagged", F.lit(False)), F.lit(False))
+    return B.label_check(plain(spark, folder).withColumn("flagged", F.lit(False)), F.lit(False))
 
 
 # --- order, pages, projections ---------------------------------------------------------------------
@@ -409,7 +409,7 @@ WHERE position > (least({page}, pages) - 1) * {size} AND position <= least({page
 
 
 def one_page(spark, folder, page: int, shallow: int = 10_000):
-    rows = book(spark, folder).select("customer_id", "tenure")
+    rows = plain(spark, folder).select("customer_id", "tenure")
     return B.page_of(rows, sort="tenure", descending=True, page=page, page_size=25, shallow=shallow)
 
 
@@ -429,7 +429,7 @@ def page_past_end(spark, folder):
     "book",
 )
 def flagged_only(spark, folder):
-    scored = B.flag(book(spark, folder), 0.25).select(
+    scored = B.flag(plain(spark, folder), 0.25).select(
         F.col("customer_id").alias("row"), "score", "monthly_charges", "flagged"
     )
     return B.arrange(scored, flagged_only=True, sort="score", descending=True)
@@ -441,7 +441,7 @@ def flagged_only(spark, folder):
     "book",
 )
 def head_of_ranking(spark, folder):
-    rows = book(spark, folder).select("customer_id", "total_charges")
+    rows = plain(spark, folder).select("customer_id", "total_charges")
     return B.head(rows, 12, F.col("total_charges").desc(), F.col("customer_id"))
 
 
@@ -480,7 +480,7 @@ def neighbour_scores(spark, folder):
     "book",
 )
 def row_positions(spark, folder):
-    rows = book(spark, folder).select("customer_id", "score")
+    rows = plain(spark, folder).select("customer_id", "score")
     return positions(rows, [F.col("score").desc(), F.col("customer_id")]).drop("score")
 
 
@@ -508,4 +508,4 @@ def explorer_table(spark, folder):
     "book",
 )
 def contact_list(spark, folder):
-    return B.contact_list(book(spark, folder), 0.3, ["customer_id", "score", "tenure", "monthly_charges"])
+    return B.contact_list(plain(spark, folder), 0.3, ["customer_id", "score", "tenure", "monthly_charges"])

@@ -39,7 +39,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def book_orders(spark: SparkSession, folder: str) -> DataFrame:
+def scored_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The order book without its split: what a query that reads no partition needs."""
     orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     cutoff = F.to_timestamp(F.lit(CUTOFF))
@@ -61,7 +62,7 @@ def book_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders_n = F.coalesce("orders", F.lit(0)).cast("bigint")
     cents_n = F.coalesce("cents", F.lit(0)).cast("bigint")
     idle = F.coalesce(5 * F.datediff(cutoff, F.col("last_order")), F.lit(5 * 2000))
-    scored = joined.select(
+    return joined.select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_mktsegment").alias("segment"),
         F.col("r_name").alias("region"),
@@ -76,7 +77,13 @@ def book_orders(spark: SparkSession, folder: str) -> DataFrame:
         (F.least(F.greatest(idle, F.lit(5)), F.lit(9995)).cast("double") / 10000).alias("score"),
         F.when(F.coalesce("came_back", F.lit(False)), 0).otherwise(1).alias("churn"),
     )
-    return stratified_split(scored, id="customer_id", label="churn", seed=42)
+
+
+def book_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The order book with its partition."""
+    return stratified_split(
+        scored_orders(spark, folder), id="customer_id", label="churn", seed=42
+    )
 
 
 def with_buckets(book: DataFrame) -> DataFrame:

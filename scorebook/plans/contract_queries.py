@@ -14,7 +14,7 @@ from scorebook.operators import book as B
 from scorebook.operators import validation as V
 from scorebook.operators.tables import beside, named_rows
 from scorebook.plans import books
-from scorebook.plans.registry import SHOWN, book, lines, query, shown, train
+from scorebook.plans.registry import SHOWN, book, plain, lines, query, shown, train
 from scorebook.session import scratch_path
 from scorebook.sources import files, sinks
 
@@ -40,7 +40,7 @@ def raw(spark, folder):
     nation = F.col("nation")
     money = F.format_string("%.2f", "total_charges")
     size = F.when(F.col("orders") == 0, "none").when(F.col("orders") < 8, "small").otherwise("large")
-    return book(spark, folder).select(
+    return plain(spark, folder).select(
         F.concat(F.lit("c"), F.col("customer_id").cast("string")).alias("customer_id"),
         F.when(nation == "NATION_3", F.concat(F.lit("UNLISTED "), "region"))
         .when(nation == "NATION_5", F.concat(F.lit("  "), "segment", F.lit(" ")))
@@ -204,7 +204,7 @@ def bounded_quoting(spark, folder):
 
 @query("b10_model_input_columns", "SELECT region, in_debit, buyer, tenure FROM (SELECT region, in_debit, CASE WHEN orders = 0 THEN 'No' ELSE 'Yes' END AS buyer, tenure FROM book)", "book")
 def model_input_columns(spark, folder):
-    rows = book(spark, folder).withColumn(
+    rows = plain(spark, folder).withColumn(
         "buyer", F.when(F.col("orders") == 0, "No").otherwise("Yes")
     )
     columns = V.model_input_columns(
@@ -230,7 +230,7 @@ def key_uniqueness(spark, folder):
     "book",
 )
 def features_and_target(spark, folder):
-    x, y = V.features_and_target(book(spark, folder), ["segment", "tenure"], CONTRACT)
+    x, y = V.features_and_target(plain(spark, folder), ["segment", "tenure"], CONTRACT)
     return x.join(y, "customer_id")
 
 
@@ -262,7 +262,7 @@ def distinct_and_dropped(spark, folder):
 )
 def seen_except_allowed(spark, folder):
     allowed = named_rows(spark, "nation string", [("NATION_0",), ("NATION_1",), ("NATION_2",)])
-    return book(spark, folder).select("nation").subtract(allowed)
+    return plain(spark, folder).select("nation").subtract(allowed)
 
 
 # --- files -----------------------------------------------------------------------------------------
@@ -270,7 +270,7 @@ def seen_except_allowed(spark, folder):
 
 def text_book(spark, folder):
     """The book as text columns that print alike everywhere."""
-    return book(spark, folder).select(
+    return plain(spark, folder).select(
         F.concat(F.lit("c"), F.col("customer_id").cast("string")).alias("customer_id"),
         "segment",
         "region",
@@ -389,7 +389,7 @@ def upload_gate(spark, folder):
 def report_source(spark, folder):
     path = scratch_path(spark, "report")
     (
-        book(spark, folder)
+        plain(spark, folder)
         .groupBy(F.col("segment").alias("model"))
         .agg(F.round(E.ratio(F.sum("churn"), F.count(F.lit(1))), 6).alias("strength"), F.count(F.lit(1)).alias("customers"))
         .write.csv(path, header=True)
@@ -470,7 +470,7 @@ def defused_turns(spark, folder):
 def scored_file(spark, folder):
     from scorebook.operators.prefix import positions
 
-    scored = B.flag(book(spark, folder), 0.25)
+    scored = B.flag(plain(spark, folder), 0.25)
     columns = ["customer_id", "score", "risk_band", "flagged", "segment", "tenure", "churn"]
     numbered = positions(scored.select(*columns), [F.col("customer_id")], output="row")
     path = scratch_path(spark, "scored")
@@ -491,7 +491,7 @@ FORMAT = {"segment": "text", "customers": "count", "churned": "count?", "rate":
 def json_aggregate(spark, folder):
     enough = F.col("customers") >= 300
     table = (
-        book(spark, folder)
+        plain(spark, folder)
         .groupBy("segment")
         .agg(F.count(F.lit(1)).alias("customers"), F.sum("churn").alias("c"))
         .select(
@@ -516,7 +516,7 @@ FROM book WHERE segment <> 'AUTOMOBILE' GROUP BY 1""",
 )
 def closed_format_refusals(spark, folder):
     s = F.col("segment")
-    counted = book(spark, folder).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    counted = plain(spark, folder).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
     record = F.concat(
         F.lit('{"segment":"'), s, F.lit('","customers":'),
         F.when(s == "FURNITURE", F.lit('"many"')).when(s == "MACHINERY", F.lit("-1")).otherwise(F.col("n").cast("string")),
@@ -537,7 +537,7 @@ UNION ALL SELECT customer_id, 'tenure', CAST(tenure AS VARCHAR), 0.5e0, 'abc' FR
     "book",
 )
 def attribution_source(spark, folder):
-    rows = book(spark, folder)
+    rows = plain(spark, folder)
     one = rows.select(
         F.col("customer_id").alias("id"), F.lit("segment").alias("feature"), F.col("segment").alias("value"),
         F.round(F.col("score") - 0.1, 6).alias("contribution"), F.lit("abc").alias("model_hash"),

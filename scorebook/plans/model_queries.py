@@ -13,7 +13,7 @@ from scorebook.ml import models as M
 from scorebook.operators import segments as S
 from scorebook.operators.tables import named_rows
 from scorebook.plans import books
-from scorebook.plans.registry import book, query, rounded, train, validation
+from scorebook.plans.registry import book, plain, query, rounded, train, validation
 from scorebook.session import durable, scratch_path
 
 INPUTS = M.Inputs(
@@ -183,7 +183,7 @@ def attributions_add_up(spark, folder):
 
 def stand_in(spark, folder):
     """A long attribution table with known contributions, for what is read off one."""
-    rows = book(spark, folder)
+    rows = plain(spark, folder)
     parts = [
         ("segment", F.col("segment"), F.col("score") - 0.1),
         ("in_debit", F.col("in_debit"), F.when(F.col("in_debit") == "Yes", 0.25).otherwise(-0.125)),

@@ -12,7 +12,7 @@ from scorebook.operators import quality as Q
 from scorebook.operators import segments as S
 from scorebook.operators.tables import named_rows
 from scorebook.plans.registry import (
-    book, docs, keeps_sql, lines, query, ratio_sql, rounded, train, validation, wilson_sql,
+    book, plain, docs, keeps_sql, lines, query, ratio_sql, rounded, train, validation, wilson_sql,
 )
 
 # --- association ----------------------------------------------------------------------------------
@@ -43,7 +43,7 @@ def cramers_v_lines(spark, folder):
 
 @query("e2_point_biserial", "SELECT round(corr(tenure, churn), 9) AS point_biserial FROM book", "book")
 def point_biserial(spark, folder):
-    return rounded(Q.point_biserial(book(spark, folder), "tenure", "churn"), 9, "point_biserial")
+    return rounded(Q.point_biserial(plain(spark, folder), "tenure", "churn"), 9, "point_biserial")
 
 
 RANKED_TEXT, RANKED_NUMBERS = ("segment", "region", "nation", "in_debit"), ("tenure", "orders")
@@ -65,7 +65,7 @@ def ranking_sql() -> str:
 
 def ranking(spark, folder):
     return Q.association_ranking(
-        book(spark, folder), categories=RANKED_TEXT, numbers=RANKED_NUMBERS, label="churn"
+        plain(spark, folder), categories=RANKED_TEXT, numbers=RANKED_NUMBERS, label="churn"
     )
 
 
@@ -81,7 +81,7 @@ def association_ranking(spark, folder):
 )
 def collinearity(spark, folder):
     table = Q.collinearity(
-        book(spark, folder), total="total_charges", tenure="tenure", amount="monthly_charges"
+        plain(spark, folder), total="total_charges", tenure="tenure", amount="monthly_charges"
     )
     return rounded(table, 9, "r")
 
@@ -95,7 +95,7 @@ SELECT nation, n, k, {wilson_sql('k', 'n', 'low')} AS low, {wilson_sql('k', 'n',
 def wilson_intervals(spark, folder):
     low, high = E.wilson("k", "n")
     table = (
-        book(spark, folder)
+        plain(spark, folder)
         .groupBy("nation")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("churn").alias("k"))
         .select("nation", "n", "k", low.alias("low"), high.alias("high"))
@@ -300,7 +300,7 @@ WHERE flagged = 0 AND churners > 0""",
 )
 def unscanned(spark, folder):
     table = Q.segment_performance(
-        book(spark, folder), ["nation"], score="score", label="churn", threshold=0.6
+        plain(spark, folder), ["nation"], score="score", label="churn", threshold=0.6
     )
     return Q.unscanned_note(table)
 
@@ -410,7 +410,7 @@ def validation_basis(spark, folder):
     "book",
 )
 def customer_value(spark, folder):
-    return book(spark, folder).select(
+    return plain(spark, folder).select(
         "customer_id", F.round(E.customer_value("monthly_charges"), 4).alias("value")
     )
 

@@ -42,6 +42,11 @@ def book(spark: SparkSession, folder: str) -> DataFrame:
     return books.with_buckets(books.book_orders(spark, folder))
 
 
+def plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The book for queries that read no partition: the split is not computed."""
+    return books.with_buckets(books.scored_orders(spark, folder))
+
+
 def shown(spark: SparkSession, folder: str) -> DataFrame:
     """The book with ``flagged``, ``outcome``, ``status`` and ``at_risk``; test rows withheld."""
     hidden = F.col("partition_name") == "test"

@@ -12,7 +12,7 @@ from scorebook.operators import segments as S
 from scorebook.plans import books
 from scorebook.session import durable
 from scorebook.plans.registry import (
-    SHOWN, book, money_sql, query, ratio_sql, rounded, shown, train, wilson_sql,
+    SHOWN, book, plain, money_sql, query, ratio_sql, rounded, shown, train, wilson_sql,
 )
 
 RATE = ratio_sql("sum(churn)", "count(*)")
@@ -26,7 +26,7 @@ DIMS = books.DIMENSIONS
     "book",
 )
 def rate_by_level(spark, folder):
-    return S.rate_by(book(spark, folder), "segment", label="churn", sort_by_rate=True)
+    return S.rate_by(plain(spark, folder), "segment", label="churn", sort_by_rate=True)
 
 
 @query(
@@ -38,7 +38,7 @@ FROM book GROUP BY nation, in_debit""",
     "book",
 )
 def cross_tab(spark, folder):
-    return S.cross_tab(book(spark, folder), ["nation", "in_debit"], label="churn")
+    return S.cross_tab(plain(spark, folder), ["nation", "in_debit"], label="churn")
 
 
 def matrix_sql() -> str:
@@ -56,7 +56,7 @@ def matrix_sql() -> str:
 @query("d3_rate_and_count_matrices", matrix_sql(), "book")
 def rate_matrices(spark, folder):
     return S.rate_matrix(
-        book(spark, folder), "segment", "tenure_bucket", DIMS["tenure_bucket"], label="churn"
+        plain(spark, folder), "segment", "tenure_bucket", DIMS["tenure_bucket"], label="churn"
     )
 
 
@@ -76,7 +76,7 @@ FROM book WHERE orders > 0"""
 @query("d4_with_without_rates", with_without_sql(), "book")
 def with_without(spark, folder):
     buyers = (
-        book(spark, folder)
+        plain(spark, folder)
         .where("orders > 0")
         .withColumn("long_tenure", F.when(F.col("tenure") > 48, "Yes").otherwise("No"))
     )
@@ -90,7 +90,7 @@ def with_without(spark, folder):
     "book",
 )
 def median_by_outcome(spark, folder):
-    return S.median_by_outcome(book(spark, folder), "monthly_charges", label="churn")
+    return S.median_by_outcome(plain(spark, folder), "monthly_charges", label="churn")
 
 
 @query(
@@ -107,7 +107,7 @@ FROM book""",
     "book",
 )
 def overview(spark, folder):
-    return S.overview(book(spark, folder), label="churn", tenure="tenure", amount="monthly_charges")
+    return S.overview(plain(spark, folder), label="churn", tenure="tenure", amount="monthly_charges")
 
 
 BANDS_VALUES = ", ".join(f"('{n}', {lo!r}e0, {hi!r}e0)" for n, lo, hi in fixed.RISK_BANDS)
@@ -262,7 +262,7 @@ def all_breakdowns(spark, folder):
     "book",
 )
 def dense_cells(spark, folder):
-    found = S.breakdown_counts(book(spark, folder), list(DIMS), label="churn")
+    found = S.breakdown_counts(plain(spark, folder), list(DIMS), label="churn")
     return S.dense(found, S.level_grid(spark, DIMS))
 
 
@@ -274,7 +274,7 @@ FROM book WHERE segment NOT IN ('AUTOMOBILE', 'BUILDING') GROUP BY segment""",
     "book",
 )
 def undeclared_levels(spark, folder):
-    found = S.breakdown_counts(book(spark, folder), ["segment"], label="churn")
+    found = S.breakdown_counts(plain(spark, folder), ["segment"], label="churn")
     return S.unknown_levels(found, {"segment": ("AUTOMOBILE", "BUILDING")}).select(
         "rows", "cols", "row", "col", "customers", "churned"
     )
@@ -335,7 +335,7 @@ def top_cells(spark, folder):
     "book",
 )
 def subset_rate(spark, folder):
-    return S.subset_rate(book(spark, folder), F.col("segment") != "BUILDING", label="churn")
+    return S.subset_rate(plain(spark, folder), F.col("segment") != "BUILDING", label="churn")
 
 
 @query(
@@ -355,7 +355,7 @@ def observed_overall(spark, folder):
 
 def nested_book(spark, folder):
     """The book with ``segment`` under a second name, so identical groups exist."""
-    return book(spark, folder).withColumn("line", F.concat(F.lit("line of "), F.col("segment")))
+    return plain(spark, folder).withColumn("line", F.concat(F.lit("line of "), F.col("segment")))
 
 
 HASH_SQL = "CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
@@ -406,7 +406,7 @@ SELECT 'nation' AS "rows", n.nation AS "row", 'region' AS cols, r.region AS col,
     "book",
 )
 def nested_groups(spark, folder):
-    found = S.breakdown_counts(book(spark, folder), ["nation", "region"], label="churn")
+    found = S.breakdown_counts(plain(spark, folder), ["nation", "region"], label="churn")
     return S.nested_gaps(found)
 
 
@@ -450,7 +450,7 @@ def reconciliation_changed(spark, folder):
 )
 def buckets(spark, folder):
     return (
-        book(spark, folder)
+        plain(spark, folder)
         .groupBy("tenure_bucket", "amount_band", "risk_band")
         .agg(F.count(F.lit(1)).alias("customers"))
     )
@@ -478,7 +478,7 @@ def bins_and_clamp(spark, folder):
     "book",
 )
 def safe_ratio(spark, folder):
-    return book(spark, folder).select(
+    return plain(spark, folder).select(
         "customer_id", E.finite(E.ratio("total_charges", "orders")).alias("per_order")
     )
 
@@ -492,7 +492,7 @@ def safe_ratio(spark, folder):
 )
 def label_map(spark, folder):
     names = ["segment", "in_debit", "region"]
-    long = S.members(book(spark, folder), names)
+    long = S.members(plain(spark, folder), names)
     return (
         long.groupBy(F.col("dimension").alias("feature"))
         .agg(F.count_distinct("segment").alias("n"))
@@ -510,7 +510,7 @@ FROM book""",
     "book",
 )
 def sentences(spark, folder):
-    rows = book(spark, folder)
+    rows = plain(spark, folder)
     units = {"months": ["tenure"], "money": ["monthly_charges"]}
     tenure = E.shown_value(F.lit("tenure"), "tenure", **units)
     amount = E.shown_value(F.lit("monthly_charges"), "monthly_charges", **units)
@@ -545,7 +545,7 @@ def category_codes(spark, folder):
     vocabulary = books.SEGMENTS[1:]
     code = E.category_code("segment", vocabulary)
     return (
-        book(spark, folder)
+        plain(spark, folder)
         .select("segment", code.alias("code"), E.category_of(code, vocabulary).alias("back"))
         .groupBy("segment", "code", "back")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -559,7 +559,7 @@ def category_codes(spark, folder):
 )
 def normal_ids(spark, folder):
     messy = F.concat(F.lit("  c-"), F.col("customer_id").cast("string"), F.lit(" "))
-    return book(spark, folder).select(E.normal_id(messy).alias("id"))
+    return plain(spark, folder).select(E.normal_id(messy).alias("id"))
 
 
 @query(
@@ -572,7 +572,7 @@ def normal_ids(spark, folder):
 )
 def union_of_tables(spark, folder):
     return (
-        S.members(book(spark, folder), ["segment", "region", "in_debit"])
+        S.members(plain(spark, folder), ["segment", "region", "in_debit"])
         .groupBy("dimension", "segment")
         .agg(F.count(F.lit(1)).alias("customers"))
     )
