@@ -13,9 +13,10 @@ and every document scores 0.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,17 @@ from pyspark.sql import types as T
 from scorebook.llm.common import labelled_ids, slices
 
 WORD = re.compile(r"[^\W\d_]+")
-BUCKETS = 1 << 16
+#: Weights nearer to zero than this are left out of the model.
+LEAST_WEIGHT = 0.01
 #: Distinct words whose emission a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 200_000
 TOKENS_AT_ONCE = 1 << 21
 WINDOW = 64
 SPAN_AT = 0.5
+#: Marginals below this count as none in a document's score, whatever the length of the text.
+COUNTED_FROM = 0.1
+#: Log-odds of a text none of whose marginals counts; the same bound holds above.
+FLOOR = -6.0
 
 
 @dataclass(frozen=True)
@@ -41,7 +47,7 @@ class Crf:
     """``weights``: of hashed features for the toxic state; ``transition``: factors from state to
     state; ``start``: factor of a toxic first token; ``scale``: intercept and slope of the score."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     transition: np.ndarray
     start: float
     scale: tuple[float, float]
@@ -51,24 +57,39 @@ def features(word: str) -> tuple[int, int, int, int]:
     """Hashed features of a word: itself, its first four letters, its last three, its length."""
     w = word.lower()
     parts = ("w" + w, "p" + w[:4], "s" + w[-3:], f"l{min(len(w), 12)}")
-    return tuple(zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts)
+    return tuple(zlib.crc32(p.encode("utf-8", "replace")) for p in parts)
 
 
-def telling(texts: list[list[str]], labels: list[int], least: int = 2, odds: float = 1.5) -> set[str]:
-    """Words and word beginnings whose log-odds of standing in a toxic document, one standard
-    error below the estimate, still exceed ``odds``."""
+def telling(texts: list[list[str]], labels: list[int], least: int = 3, odds: float = 1.5) -> set[str]:
+    """Words and word beginnings that stand in toxic documents too often for chance.
+
+    A document counts for a word if it has it between two words between which no earlier document
+    had it, so copies add nothing, and it counts once.  Kept are words whose log-odds exceed
+    ``odds`` and for which a Chernoff bound on the chance of so many toxic documents among all
+    that count, times the number of words tried, is below one.
+    """
+    places: dict[str, set] = defaultdict(set)
     seen = (Counter(), Counter())
     for words, label in zip(texts, labels, strict=True):
-        lowered = {w.lower() for w in words}
-        seen[label].update({"w" + w for w in lowered} | {"p" + w[:4] for w in lowered if len(w) > 4})
-    n0, n1 = labels.count(0), labels.count(1)
+        lowered = [w.lower() for w in words]
+        new = set()
+        for left, w, right in zip(["", *lowered], lowered, [*lowered[1:], ""]):
+            place = hash((left, right))
+            for key in ("w" + w, "p" + w[:4]) if len(w) > 4 else ("w" + w,):
+                if place not in places[key]:
+                    places[key].add(place)
+                    new.add(key)
+        seen[label].update(new)
+    n0, n1 = (max(1, side.total()) for side in seen)
+    rate = n1 / (n0 + n1)
+    tried = [key for key, k1 in seen[1].items() if k1 >= least]
     found = set()
-    for key, k1 in seen[1].items():
-        k0 = seen[0][key]
-        if k1 < least:
-            continue
-        a, b, c, d = k1 + 0.5, n1 - k1 + 0.5, k0 + 0.5, n0 - k0 + 0.5
-        if np.log(a * d / (b * c)) - np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > odds:
+    for key in tried:
+        k1, k0 = seen[1][key], seen[0][key]
+        share = k1 / (k1 + k0)
+        against = k1 * np.log(share / rate) + (k0 * np.log((1 - share) / (1 - rate)) if k0 else 0.0)
+        gap = np.log((k1 + 0.5) * (n0 - k0 + 0.5) / ((n1 - k1 + 0.5) * (k0 + 0.5)))
+        if share > rate and against > np.log(len(tried)) and gap > odds:
             found.add(key)
     return found
 
@@ -80,59 +101,54 @@ def windows(words: list[str], tags: list[int]) -> Iterator[tuple[list[str], list
 
 def fit_chain(
     sequences: list[tuple[list[str], list[int]]], rounds: int = 60, rate: float = 0.5, penalty: float = 1e-4
-) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, transition factors and start factor by gradient ascent on the likelihood."""
+) -> tuple[dict[int, float], np.ndarray, float]:
+    """Weights, transition factors and start factor by gradient ascent on the likelihood of the
+    labelled sequences.  Forward and backward vectors are kept as ratios, toxic to clean."""
     n, width = len(sequences), max(len(w) for w, _ in sequences)
-    ids = np.zeros((n, width, 4), dtype=np.int32)
-    tags = np.zeros((n, width), dtype=np.int8)
-    mask = np.zeros((n, width), dtype=bool)
+    ids = np.zeros((width, n, 4), dtype=np.int64)
+    tags = np.zeros((width, n), dtype=bool)
+    mask = np.zeros((width, n), dtype=bool)
     memory: dict[str, tuple] = {}
     for i, (words, marks) in enumerate(sequences):
-        ids[i, : len(words)] = [memory.get(w) or memory.setdefault(w, features(w)) for w in words]
-        tags[i, : len(words)] = marks
-        mask[i, : len(words)] = True
+        ids[: len(words), i] = [memory.get(w) or memory.setdefault(w, features(w)) for w in words]
+        tags[: len(words), i] = marks
+        mask[: len(words), i] = True
     used, compact = np.unique(ids, return_inverse=True)
     compact = compact.reshape(ids.shape)
-    weights, trans, start = np.zeros(len(used)), np.zeros((2, 2)), 0.0
-    seen_w, seen_t, seen_s = np.full(len(used), 1e-8), np.full((2, 2), 1e-8), 1e-8
-    pairs = mask[:, 1:] & mask[:, :-1]
-    gold_t = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            gold_t[a, b] = np.sum(pairs & (tags[:, :-1] == a) & (tags[:, 1:] == b))
+    pairs = mask[1:]
+    before, after = tags[:-1], tags[1:]
+    gold = np.array([[np.sum(pairs & (before == a) & (after == b)) for b in (0, 1)] for a in (0, 1)]) / n
+    parts = [np.zeros(len(used)), np.zeros((2, 2)), np.zeros(1)]
+    squares = [np.full(p.shape, 1e-8) for p in parts]
     for _ in range(rounds):
-        emission = np.zeros((n, width, 2))
-        emission[..., 1] = np.clip(weights[compact].sum(axis=2), -30, 30)
-        factor, move = np.exp(emission), np.exp(trans)
-        forward, norm = np.zeros((n, width, 2)), np.ones((n, width))
-        forward[:, 0] = factor[:, 0] * np.exp([0.0, start])
-        for t in range(width):
-            if t:
-                forward[:, t] = (forward[:, t - 1] @ move) * factor[:, t]
-            norm[:, t] = forward[:, t].sum(axis=1)
-            forward[:, t] /= norm[:, t, None]
-        backward = np.ones((n, width, 2))
-        expect_t = np.zeros((2, 2))
+        weights, (move, start) = parts[0], (np.exp(parts[1]), float(np.exp(parts[2][0])))
+        odds = np.exp(np.clip(weights[compact].sum(axis=2), -30, 30))
+        forward, backward = np.empty(odds.shape), np.ones(odds.shape)
+        forward[0] = odds[0] * start
+        for t in range(1, width):
+            f = forward[t - 1]
+            forward[t] = odds[t] * (move[0, 1] + move[1, 1] * f) / (move[0, 0] + move[1, 0] * f)
         for t in range(width - 2, -1, -1):
-            ahead = factor[:, t + 1] * backward[:, t + 1] / norm[:, t + 1, None]
-            both = pairs[:, t, None]
-            expect_t += ((forward[:, t] * both).T @ (ahead * both)) * move
-            backward[:, t] = np.where(both, ahead @ move.T, 1.0)
-        post = forward * backward
-        post = post[..., 1] / post.sum(axis=2)
-        gap = np.where(mask, (tags == 1) - post, 0.0)
-        grad_w = np.bincount(compact.ravel(), np.repeat(gap.ravel(), 4), minlength=len(used)) / n
-        grad_w -= penalty * weights
-        grad_t, grad_s = (gold_t - expect_t) / n, gap[:, 0].sum() / n
-        seen_w += grad_w**2
-        seen_t += grad_t**2
-        seen_s += grad_s**2
-        weights += rate * grad_w / np.sqrt(seen_w)
-        trans += rate * grad_t / np.sqrt(seen_t)
-        start += rate * grad_s / np.sqrt(seen_s)
-    full = np.zeros(BUCKETS, dtype=np.float32)
-    full[used] = weights
-    return full, np.exp(trans - trans[0, 0]), float(np.exp(start))
+            ahead = odds[t + 1] * backward[t + 1]
+            ratio = (move[1, 0] + move[1, 1] * ahead) / (move[0, 0] + move[0, 1] * ahead)
+            backward[t] = np.where(mask[t + 1], ratio, 1.0)
+        joint = forward * backward
+        gap = np.where(mask, tags - joint / (1 + joint), 0.0)
+        f, ahead = forward[:-1], (odds * backward)[1:]
+        cells = [move[0, 0] + 0 * f, move[0, 1] * ahead, move[1, 0] * f, move[1, 1] * f * ahead]
+        whole = cells[0] + cells[1] + cells[2] + cells[3]
+        expected = np.array([np.sum(np.where(pairs, c / whole, 0.0)) for c in cells]).reshape(2, 2) / n
+        slopes = [
+            np.bincount(compact.ravel(), np.repeat(gap.ravel(), 4), minlength=len(used)) / n - penalty * weights,
+            gold - expected,
+            np.array([gap[0].sum() / n]),
+        ]
+        for part, square, slope in zip(parts, squares, slopes, strict=True):
+            square += slope**2
+            part += rate * slope / np.sqrt(square)
+    strong = np.abs(parts[0]) > LEAST_WEIGHT
+    kept = dict(zip(used[strong].tolist(), parts[0][strong].tolist(), strict=True))
+    return kept, np.exp(parts[1] - parts[1][0, 0]), float(np.exp(parts[2][0]))
 
 
 def marginals(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: float) -> np.ndarray:
@@ -173,23 +189,32 @@ def marginals(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, sta
 class Emissions(dict):
     """The factor of each word, computed when first met."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        w = self.weights
-        value = float(np.exp(min(30.0, max(-30.0, sum(float(w[i]) for i in features(word))))))
+        total = sum(self.weights.get(i, 0.0) for i in features(word))
+        value = math.exp(min(30.0, max(-30.0, total)))
         self[word] = value
         return value
 
 
-def summary(p: np.ndarray) -> float:
-    """Log-odds that at least one token is toxic: every marginal counts once."""
-    clean = float(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
-    return float(np.log(-np.expm1(clean) + 1e-12) - clean)
+def toxic_odds(
+    texts: list[list[str]], memory: Emissions, transition: np.ndarray, start: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of all tokens; each text's log-odds that at least one token is toxic; where each
+    text ends."""
+    odds = [np.fromiter(map(memory.__getitem__, words), dtype=float, count=len(words)) for words in texts]
+    lengths = np.array([len(o) for o in odds], dtype=np.int64)
+    p = marginals(np.concatenate(odds), lengths, transition, start)
+    ends = np.cumsum(lengths)
+    counted = np.where(p >= COUNTED_FROM, np.minimum(p, 1 - 1e-12), 0.0)
+    clean = np.concatenate([[0.0], np.cumsum(np.log1p(-counted))])
+    clean = clean[ends] - clean[ends - lengths]
+    return p, np.clip(np.log(-np.expm1(clean) + math.exp(FLOOR)) - clean, FLOOR, -FLOOR), ends
 
 
 def fit(sample: list[tuple[str | None, int]], most_windows: int = 12_000) -> Crf | None:
@@ -212,11 +237,10 @@ def fit(sample: list[tuple[str | None, int]], most_windows: int = 12_000) -> Crf
     rest.sort(key=lambda piece: zlib.crc32(" ".join(piece[0]).encode("utf-8", "replace")))
     weights, transition, start = fit_chain(marked[: most_windows // 2] + rest[: most_windows // 2])
     memory = Emissions(weights)
-    values = []
-    for words in texts:
-        odds = np.fromiter(map(memory.__getitem__, words), dtype=float, count=len(words))
-        values.append(summary(marginals(odds, np.array([len(odds)]), transition, start)) if len(odds) else -27.6)
-    x, y = np.clip(np.array(values), -28, 28), np.array(labels, dtype=float)
+    values = np.zeros(len(texts))
+    for lo, hi in slices(np.array([len(words) for words in texts]), TOKENS_AT_ONCE):
+        values[lo:hi] = toxic_odds(texts[lo:hi], memory, transition, start)[1]
+    x, y = values, np.array(labels, dtype=float)
     b = np.array([0.0, 0.1])
     design = np.column_stack([np.ones_like(x), x])
     for _ in range(30):
@@ -253,7 +277,15 @@ def train(
     return fit(list(zip(rows["text"], rows["label"], strict=True)))
 
 
-SPANS = T.ArrayType(T.StructType.fromDDL("start INT, end INT, p DOUBLE"))
+SPANS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("p", T.DoubleType()),
+        ]
+    )
+)
 
 
 def scored(docs: DataFrame, model: Crf | None, *, text: str = "text") -> DataFrame:
@@ -274,17 +306,10 @@ def scored(docs: DataFrame, model: Crf | None, *, text: str = "text") -> DataFra
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) // 6 + 1
             score, count, spans = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), [[]] * len(texts)
             for lo, hi in slices(sizes, TOKENS_AT_ONCE):
-                odds = [
-                    np.fromiter(map(memory.__getitem__, words), dtype=float, count=len(words))
-                    for words in map(WORD.findall, texts[lo:hi])
-                ]
-                lengths = np.array([len(o) for o in odds], dtype=np.int64)
-                p = marginals(np.concatenate(odds), lengths, model.transition, model.start)
-                ends = np.cumsum(lengths)
-                clean = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
-                clean = clean[ends] - clean[ends - lengths]
-                log_odds = np.log(-np.expm1(clean) + 1e-12) - clean
-                score[lo:hi] = 1 / (1 + np.exp(-np.clip(model.scale[0] + model.scale[1] * np.clip(log_odds, -28, 28), -30, 30)))
+                words = [WORD.findall(t) for t in texts[lo:hi]]
+                p, log_odds, ends = toxic_odds(words, memory, model.transition, model.start)
+                lengths = np.diff(ends, prepend=0)
+                score[lo:hi] = 1 / (1 + np.exp(-np.clip(model.scale[0] + model.scale[1] * log_odds, -30, 30)))
                 hot = np.flatnonzero(p >= SPAN_AT)
                 owner = np.searchsorted(ends, hot, side="right")
                 for k in np.unique(owner):
