@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import chat_roundtrip, hmm_lm, lang_hd, pieces, quality_rules, secret_owners, toxic_crf
+from scorebook.llm import chat_roundtrip, hmm_lm, lang_hd, pieces, quality_rules, secret_owners, superminhash, toxic_crf
 from scorebook.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ FROM sized GROUP BY conv_id
 @query
 def op9_hidden_markov_lm(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_lm.scored(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.grouped(table(spark, folder, "documents").select("doc_id", "text"))
