@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import chat_roundtrip, hmm_lm, lang_hd, pieces, quality_rules, secret_owners, superminhash, toxic_crf
+from scorebook.llm import chat_roundtrip, hmm_lm, lang_hd, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
 from scorebook.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,13 @@ def op9_hidden_markov_lm(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_superminhash(spark: SparkSession, folder: str) -> DataFrame:
     return superminhash.grouped(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per contaminated document and benchmark item; clean documents have none."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows, found = templates.contaminated(docs, table(spark, folder, "benchmark"), keep_text=False)
+    return found.join(rows.select("__row", "doc_id"), "__row").select(
+        "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "coverage", "same_values"
+    )
