@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import chat_roundtrip, hmm_lm, lang_hd, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
+from scorebook.llm import ann_forest, chat_roundtrip, hmm_lm, lang_hd, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
 from scorebook.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(rows.select("__row", "doc_id"), "__row").select(
         "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "coverage", "same_values"
     )
+
+
+@query
+def op2_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
