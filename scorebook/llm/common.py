@@ -66,3 +66,10 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         total += int(n)
     if len(lengths) > start:
         yield start, len(lengths)
+
+
+def without(df: DataFrame, *added: str) -> DataFrame:
+    """``df`` without columns that have the name of one to be added, in whatever case: a result
+    takes the place of such a column."""
+    clashing = {a.lower() for a in added}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clashing])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import learnable, slices
+from scorebook.llm.common import learnable, slices, without
 
 WIDTH = 1024
 SEED = 2027
@@ -154,6 +154,7 @@ def train(
 
 def predicted(docs: DataFrame, model: Profiles, *, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``lang_pred`` and ``score`` (the cosine, not below 0)."""
+    docs = without(docs, "lang_pred", "score")
     others = [c for c in docs.columns if c != text]
     fields = [docs.schema[c] for c in others]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

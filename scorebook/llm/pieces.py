@@ -6,7 +6,8 @@ no piece reaches is written in byte pieces.  A text is cut where no piece can cr
 of blanks and around line breaks, so equal words are segmented once per worker.
 
 Encoding is exact: decoding gives back the text, whatever it holds.  A null text has null pieces;
-an empty text has none.  Repeated rows are encoded row by row; other columns pass through.
+an empty text has none.  Repeated rows are encoded row by row; other columns pass through,
+and an added column takes the place of one with its name.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from scorebook.llm.common import without
+
 BLANK = "▁"
 #: A run of blanks and what follows it; a line break; a literal blank sign; other text.
 UNIT = re.compile(rf" +[^ \n{BLANK}]*|\n|{BLANK}|[^ \n{BLANK}]+")
@@ -113,6 +116,7 @@ class Segmenter(dict):
 
 def encoded(docs: DataFrame, words: Vocabulary, *, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``pieces``, the IDs of each whole text."""
+    docs = without(docs, "pieces")
     kept = [c for c in docs.columns if keep_text or c != text]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("pieces", T.ArrayType(T.IntegerType(), False))])
 
@@ -135,6 +139,7 @@ def encoded(docs: DataFrame, words: Vocabulary, *, text: str = "text", keep_text
 
 def decoded(docs: DataFrame, words: Vocabulary, *, pieces: str = "pieces", into: str = "text") -> DataFrame:
     """``docs`` with the text of each row's pieces in the column ``into``."""
+    docs = without(docs, into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())])
     names = [f.name for f in docs.schema.fields]
 

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import labelled_ids, stored
+from scorebook.llm.common import labelled_ids, stored, without
 
 Rule = tuple[tuple[str, str, float], ...]
 
@@ -77,6 +77,7 @@ class Ensemble:
 
 def with_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` without the text, with a struct column ``stats``."""
+    docs = without(docs, "stats", "score")
     stats = F.struct(*[c.alias(k) for k, c in statistics(F.col(text)).items()])
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], stats.alias("stats"))
 

@@ -6,8 +6,8 @@ repositories.  What many owners have is a copied example; what few owners have l
 three kinds are reported in any case, the other tokens only when they look live.
 
 A null text counts as empty.  A null owner is one owner of its own, and so is a null repository.
-Repeated rows are scanned row by row and count once as a repository.  Other columns pass through
-and may have any name but ``spans``.
+Repeated rows are scanned row by row and count once as a repository.  Other columns pass through;
+``spans`` takes the place of a column with its name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import stored
+from scorebook.llm.common import stored, without
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(
@@ -89,6 +89,7 @@ def candidates(text: str) -> list[dict]:
 
 def scanned(docs: DataFrame, *, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``spans``, the candidates of each whole text."""
+    docs = without(docs, "spans", "__row")
     kept = [c for c in docs.columns if keep_text or c != text]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("spans", FOUND)])
 

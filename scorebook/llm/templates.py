@@ -9,7 +9,7 @@ A name is a capitalised word that does not begin a sentence; a unit is a word of
 to a number.  Windows with fewer literal words than placeholders say too little and are left out;
 an item shorter than a window is one window, and one of fewer than ``LEAST`` words is never found.
 Null and empty texts have no windows.  Repeated rows are judged row by row; other columns of the
-documents pass through and may have any name but ``hits``.
+documents pass through, and ``hits`` takes the place of a column with its name.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import stored
+from scorebook.llm.common import stored, without
 from scorebook.llm.superminhash import GOLDEN, mixed
 
 WINDOW = 8
@@ -166,6 +166,7 @@ def bloom(windows: DataFrame) -> np.ndarray:
 def with_hits(docs: DataFrame, filter_: np.ndarray, widths: list[int], *, text: str, keep_text: bool) -> DataFrame:
     """``docs`` with ``hits``: the windows of each whole text that may be the benchmark's, each
     with its slots once."""
+    docs = without(docs, "hits", "__row")
     kept = [c for c in docs.columns if keep_text or c != text]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("hits", HIT)])
     shared = docs.sparkSession.sparkContext.broadcast(filter_)

@@ -6,8 +6,8 @@ two-state chain (clean, toxic) is fitted to those labels; forward-backward gives
 whole text its marginal, and the marginals give the document's score and the offending offsets.
 
 Nulls and texts without a word score as a text without a toxic token and have no spans.  Repeated
-rows are scored row by row.  Other columns of the documents pass through and may have any name
-that is not one of the four columns added.  Without labels of both classes nothing can be learned
+rows are scored row by row.  Other columns of the documents pass through; an added column takes the
+place of one with its name.  Without labels of both classes nothing can be learned
 and every document scores 0.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import labelled_ids, slices
+from scorebook.llm.common import labelled_ids, slices, without
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Weights nearer to zero than this are left out of the model.
@@ -292,6 +292,7 @@ def scored(docs: DataFrame, model: Crf | None, *, text: str = "text") -> DataFra
     """Every row of ``docs`` with ``score`` (0 to 1), ``n_toxic`` (tokens whose marginal is at
     least one half) and ``spans`` (their offsets in code points, end exclusive, and marginals;
     neighbours form one span)."""
+    docs = without(docs, "score", "n_toxic", "spans")
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_toxic", T.LongType()), T.StructField("spans", SPANS)]
     )
