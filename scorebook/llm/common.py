@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorebook.session import scratch_path
 
@@ -73,3 +75,33 @@ def without(df: DataFrame, *added: str) -> DataFrame:
     takes the place of such a column."""
     clashing = {a.lower() for a in added}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clashing])
+
+
+def by_text(
+    docs: DataFrame,
+    text: str,
+    added: Sequence[tuple[str, T.DataType, pa.DataType]],
+    task: Callable[[], Callable[[list[str]], Sequence]],
+    *,
+    keep_text: bool = True,
+) -> DataFrame:
+    """``docs`` with columns computed from whole texts, in Arrow batches.
+
+    ``task`` is called once in each task and gives the function that turns a list of texts (null
+    as empty) into one list per added column.  The other columns are passed on as they are, so
+    nulls and large numbers stay what they were.
+    """
+    docs = without(docs, *[name for name, _, _ in added])
+    kept = [c for c in docs.columns if keep_text or c != text]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, t) for n, t, _ in added]])
+    names, place = docs.columns, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = task()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(place).to_pylist()]
+            new = [pa.array(v, type=a) for v, (_, _, a) in zip(compute(texts), added, strict=True)]
+            own = [batch.column(names.index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, *new], names=[*kept, *[n for n, _, _ in added]])
+
+    return docs.mapInArrow(run, schema)

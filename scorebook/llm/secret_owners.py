@@ -18,12 +18,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import stored, without
+from scorebook.llm.common import by_text, stored, without
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(
@@ -48,6 +48,11 @@ FOUND = T.ArrayType(
 )
 
 
+ARROW_FOUND = pa.list_(
+    pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())])
+)
+
+
 def bits(value: str) -> float:
     n = len(value)
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values())
@@ -89,16 +94,8 @@ def candidates(text: str) -> list[dict]:
 
 def scanned(docs: DataFrame, *, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``spans``, the candidates of each whole text."""
-    docs = without(docs, "spans", "__row")
-    kept = [c for c in docs.columns if keep_text or c != text]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("spans", FOUND)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [candidates(t) if isinstance(t, str) else [] for t in batch[text]]
-            yield batch[kept].assign(spans=spans)
-
-    return docs.mapInPandas(run, schema)
+    added = [("spans", FOUND, ARROW_FOUND)]
+    return by_text(without(docs, "__row"), text, added, lambda: lambda texts: ([candidates(t) for t in texts],), keep_text=keep_text)
 
 
 def ownership(found: DataFrame, *, owner: str, repository: str) -> DataFrame:
@@ -163,18 +160,18 @@ def judged(
 def redacted(found: DataFrame, *, text: str = "text") -> DataFrame:
     """``found`` with every span of the text replaced by ``[SECRET:kind]``, or by
     ``[EXAMPLE:kind]`` where it is not live; overlapping spans become the first of them."""
-    others = [c for c in found.columns if c not in (text, "spans")]
     columns = [c for c in found.columns if c != "spans"]
-    schema = T.StructType([found.schema[c] for c in columns])
+    names = found.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [covered(t, list(s)) if isinstance(t, str) else t for t, s in zip(batch[text], batch["spans"], strict=True)]
-            yield batch[others].assign(**{text: texts})[columns]
+            texts, spans = (batch.column(names.index(c)).to_pylist() for c in (text, "spans"))
+            new = pa.array([None if t is None else covered(t, s) for t, s in zip(texts, spans, strict=True)], type=pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == text else batch.column(names.index(c)) for c in columns], names=columns)
 
-    return found.where(F.size("spans") == 0).select(*[F.col(f"`{c}`") for c in columns]).unionByName(
-        found.where(F.size("spans") > 0).mapInPandas(run, schema)
-    )
+    schema = T.StructType([found.schema[c] for c in columns])
+    plain = found.where(F.size("spans") == 0).select(*[F.col(f"`{c}`") for c in columns])
+    return plain.unionByName(found.where(F.size("spans") > 0).mapInArrow(run, schema))
 
 
 def covered(text: str, spans: list) -> str:

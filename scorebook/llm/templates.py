@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import stored, without
+from scorebook.llm.common import by_text, stored, without
 from scorebook.llm.superminhash import GOLDEN, mixed
 
 WINDOW = 8
@@ -53,6 +53,10 @@ class Tokens(dict):
         self.kinds: list[int] = []
         self.hashes: list[int] = []
 
+    def forget(self) -> None:
+        self.clear()
+        self.kinds, self.hashes = [], []
+
     def __missing__(self, token: str) -> int:
         if token in ".!?\n":
             kind = STOP
@@ -113,6 +117,9 @@ HIT = T.ArrayType(
 )
 
 
+ARROW_HIT = pa.list_(pa.struct([("hash", pa.int64()), ("slots", pa.list_(pa.int64()))]))
+
+
 def item_windows(benchmark: DataFrame, *, item_id: str, text: str) -> DataFrame:
     """(item_id, width, place, hash, slots) of every telling window of the benchmark."""
     schema = T.StructType(
@@ -166,23 +173,19 @@ def bloom(windows: DataFrame) -> np.ndarray:
 def with_hits(docs: DataFrame, filter_: np.ndarray, widths: list[int], *, text: str, keep_text: bool) -> DataFrame:
     """``docs`` with ``hits``: the windows of each whole text that may be the benchmark's, each
     with its slots once."""
-    docs = without(docs, "hits", "__row")
-    kept = [c for c in docs.columns if keep_text or c != text]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("hits", HIT)])
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         bits, memory = shared.value, Tokens()
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch[text]]
+
+        def run(texts: list[str]) -> tuple:
             hits: list[list[dict]] = [[] for _ in texts]
             for lo in range(0, len(texts), TEXTS_AT_ONCE):
                 if len(memory) > REMEMBERED:
-                    memory = Tokens()
+                    memory.forget()
                 owner, kind, template, value = canonical(texts[lo : lo + TEXTS_AT_ONCE], memory)
                 for width in widths:
-                    begin, hashed = window_hashes(owner, kind, template, width)
-                    begin, hashed = confirmed(begin, hashed, bits)
+                    begin, hashed = confirmed(*window_hashes(owner, kind, template, width), bits)
                     seen = set()
                     for b, h in zip(begin.tolist(), hashed.view(np.int64).tolist(), strict=True):
                         inside = slice(b, b + width)
@@ -191,9 +194,11 @@ def with_hits(docs: DataFrame, filter_: np.ndarray, widths: list[int], *, text:
                         if key not in seen:
                             seen.add(key)
                             hits[lo + owner[b]].append({"hash": h, "slots": slots})
-            yield batch[kept].assign(hits=hits)
+            return (hits,)
+
+        return run
 
-    return docs.mapInPandas(run, schema)
+    return by_text(without(docs, "__row"), text, [("hits", HIT, ARROW_HIT)], task, keep_text=keep_text)
 
 
 def confirmed(begin: np.ndarray, hashed: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
