@@ -65,7 +65,7 @@ def grown(sample: np.ndarray, trees: int, leaf: int, weight: float, seed: int =
         return -len(sizes)
 
     roots = tuple(node(np.arange(len(sample))) for _ in range(trees))
-    width = sample.shape[1] if sample.ndim == 2 else 0
+    width = max(1, sample.shape[1])
     return Forest(
         np.array(planes).reshape(-1, width), np.array(cuts), np.array(children, dtype=np.int64).reshape(-1, 2), roots, np.array(sizes)
     )

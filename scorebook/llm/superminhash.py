@@ -5,8 +5,9 @@ whole sequence; a text without words has none and is linked with nothing.  Two t
 their sets' similarity reaches the threshold, and groups are the connected parts.
 
 Equal sets become one node first, so copies never meet in a bucket.  In every bucket all nodes are
-compared with one leader, which joins the bulk of a group at the cost of its size; then pairs of
-nodes of one bucket that are still in different groups are compared, if their sizes and sketches
+compared with one leader, which joins the bulk of a group at the cost of its size.  Nodes of
+buckets that still hold several groups are then compared across groups, if they share one of their
+rarest shingles early enough, as two sets at the threshold must, and if their sizes and sketches
 leave room for a link.  Every comparison is made on the full sets.
 
 A link is missed only if no band agrees (chance below ``MISS`` at the threshold) or the sketches
@@ -33,6 +34,8 @@ MISS = 1e-5
 ELEMENTS = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SKETCH_BITS = 128
+#: Counters that order the elements of sets by frequency.
+COUNTERS = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -171,7 +174,7 @@ def room(percent: int):
 
 
 def side(members: DataFrame, name: str) -> DataFrame:
-    return members.select(*[F.col(c).alias(c if c == "bucket" else f"{name}_{c}") for c in members.columns])
+    return members.select(*[F.col(c).alias(f"{name}_{c}") for c in members.columns])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,6 +195,45 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, element, at, size): of every set, its rarest elements with their places, so many that
+    two sets at the threshold must have one of them in common.
+
+    That holds for any order of the elements.  They are ordered by counters of a fixed number, so
+    near copies that differ too much have rare elements of their own in front.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for elements in batch.column(0).to_pylist():
+                np.add.at(counts, (np.frombuffer(elements, dtype=np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["c", "n"])
+
+    table = sets.select("elements").mapInArrow(counted, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, dtype=np.float32)
+    counts[table["c"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.float32)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            for node, elements in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(elements, dtype=np.uint64)
+                size = len(own) - -(-percent * len(own) // 100) + 1
+                first = np.lexsort((own, order[(own % np.uint64(COUNTERS)).astype(np.int64)]))[:size]
+                row = [np.full(size, node), own[first].view(np.int64), np.arange(size), np.full(size, len(own))]
+                for part, values in zip(parts, row, strict=True):
+                    part.append(values)
+            if parts[0]:
+                columns = [pa.array(np.concatenate(part), type=pa.int64()) for part in parts]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "element", "at", "size"])
+
+    return sets.select("node", "elements").mapInArrow(run, "node bigint, element bigint, at bigint, size bigint")
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """Union-find within each partition: (node, root) pairs that join what the edges join."""
 
@@ -272,16 +314,23 @@ def grouped(
     sets = stored(node_sets(docs, nodes, shared, doc_id=doc_id, text=text, width=width), "minhash-sets")
     first = stored(verified(star, sets, percent), "minhash-links")
     roots = groups(first)
-    # Buckets that still hold several groups: their pairs across groups, with room for a link.
+    # The nodes of buckets that still hold several groups are compared across groups.
     placed = (
         shared.select("bucket", "node")
         .join(roots, "node", "left")
         .select("bucket", "node", F.coalesce("root", "node").alias("root"))
     )
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    members = stored(placed.join(split, "bucket").join(facts, "node").select("bucket", "node", "root", "n", "s0", "s1"), "minhash-open")
-    across = side(members, "a").join(side(members, "b"), "bucket").where(
-        (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & room(percent)
+    members = stored(
+        placed.join(split, "bucket").select("node", "root").distinct().join(facts, "node"), "minhash-open"
+    )
+    marked = prefixes(sets.join(members.select("node").distinct(), "node"), percent)
+    keyed = stored(marked.join(members, "node"), "minhash-prefixes")
+    # After the first common element no more can be common than either set has left.
+    left = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    enough = left * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+    across = side(keyed, "a").join(side(keyed, "b"), F.col("a_element") == F.col("b_element")).where(
+        (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & enough & room(percent)
     )
     rest = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     second = stored(verified(rest, sets, percent), "minhash-more-links")
