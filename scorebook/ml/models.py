@@ -98,7 +98,7 @@ def classifier(key: str, label: str, seed: int) -> Estimator:
         return RandomForestClassifier(numTrees=100, seed=seed, **shared)
     if key == "hist_gradient_boosting":
         return GBTClassifier(maxIter=50, seed=seed, **shared)
-    raise KeyError(f"unknown model {key!r}; valid options are {list(fixed.COMPLEXITY_ORDER)}")
+    raise KeyError(f"{key!r} names no candidate of {', '.join(fixed.COMPLEXITY_ORDER)}")
 
 
 def candidate(key: str, inputs: Inputs, *, seed: int = 42) -> Pipeline:
@@ -272,7 +272,7 @@ class SelectionError(ValueError):
 def selected_key(selection: DataFrame) -> str:
     key = selection.where("selected").first()["key"]
     if key == fixed.BASELINE:
-        raise SelectionError("no candidate beats the baseline by more than one standard error")
+        raise SelectionError(f"{fixed.BASELINE} is within a standard error of every candidate")
     return key
 
 
@@ -333,9 +333,13 @@ def calibrated(calibrator: Model, df: DataFrame, column: str, method: str) -> Da
 
 def fit_calibrator(held: DataFrame, label: str, method: str) -> Model:
     if method == "isotonic":
+        # One weighted row per score has the same solution, and a score that many rows share is one.
+        tied = held.groupBy(F.col(SCORE).alias("__x")).agg(
+            F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("__w")
+        )
         return IsotonicRegression(
-            featuresCol="__x", labelCol=label, predictionCol="__iso"
-        ).fit(held.select(F.col(label).cast("double").alias(label), F.col(SCORE).alias("__x")))
+            featuresCol="__x", labelCol=label, weightCol="__w", predictionCol="__iso"
+        ).fit(tied)
     rows = held.select(label, array_to_vector(F.array(logit(SCORE))).alias("__x"))
     return LogisticRegression(
         featuresCol="__x", labelCol=label, rawPredictionCol="__cr", probabilityCol="__cp", predictionCol="__cq",

@@ -788,7 +788,7 @@ def integrity(
         )
         finding(
             joined.where(~F.coalesce(rates, F.lit(False))),
-            "the operating point's rates are not its counts'", F.col("threshold"),
+            "rates and counts of the operating point disagree", F.col("threshold"),
         )
     if reliability is not None:
         want = intervals(basis).select(

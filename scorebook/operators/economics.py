@@ -143,15 +143,16 @@ def nearest_cuts(lookups: DataFrame, priced_sweep: DataFrame, *, at: str = "at")
     """``scenario_at`` for many thresholds: each joins the two grid steps around it, so the work
     is two equi-joined rows per lookup and not a scan of the sweep per lookup."""
     place = E.grid_index(F.greatest(F.least(F.col(at), F.lit(1.0)), F.lit(0.0)))
-    near = lookups.withColumn("__cut", F.explode(F.array(place, place + 1)))
+    each = lookups.withColumn("__lookup", F.monotonically_increasing_id())
+    near = each.withColumn("__cut", F.explode(F.array(place, place + 1)))
     grid = priced_sweep.withColumn("__cut", E.grid_index("threshold"))
     gap = F.abs(F.col("threshold") - F.col(at))
     return row_by(
         near.join(grid, "__cut").drop("__cut").withColumn("__gap", gap),
         F.struct(F.col("__gap"), F.col("threshold")),
-        keys=[at],
+        keys=["__lookup"],
         largest=False,
-    ).drop("__gap")
+    ).drop("__gap", "__lookup")
 
 
 def sensitivity(
@@ -214,7 +215,7 @@ def at_cuts(basis: DataFrame, cuts: Sequence[float]) -> DataFrame:
     """
     cuts = [float(t) for t in cuts]
     if any(b <= a for a, b in zip(cuts, cuts[1:], strict=False)):
-        raise ValueError("the cuts must be rising thresholds of the basis")
+        raise ValueError(f"cuts have to rise strictly: {cuts}")
     wanted = named_rows(
         basis.sparkSession, "cut int, wanted double", [(round(t * 100), t) for t in cuts]
     )

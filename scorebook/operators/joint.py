@@ -47,9 +47,8 @@ TOTAL = "total"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A table of the system, written.  It holds at most one row per declared cell, line or pair of
-    cells - about a thousand - so one partition saves every round its shuffles."""
-    return durable(df.coalesce(1))
+    """A table of the system, written; small partitions are merged by the adaptive plan."""
+    return durable(df)
 
 
 def node_of(rows: str = "rows", row: str = "row", cols: str = "cols", col: str = "col") -> Column:

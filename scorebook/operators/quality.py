@@ -211,6 +211,7 @@ def evaluate(df: DataFrame, *, score: str, label: str, threshold: float = 0.5) -
     """All classification figures at one threshold, in one row."""
     if not 0.0 <= threshold <= 1.0:
         raise ValueError(f"threshold must lie in [0, 1], got {threshold}")
+    df = df.withColumn(score, measurable(score))
     cells = with_rates(confusion(df, score=score, label=label, threshold=threshold))
     error = F.col(score) - F.col(label)
     brier = df.agg(F.avg(error * error).alias("brier"))
@@ -218,6 +219,15 @@ def evaluate(df: DataFrame, *, score: str, label: str, threshold: float = 0.5) -
     return beside(cells.withColumn("threshold", F.lit(float(threshold))), brier, ranking)
 
 
+def measurable(score: str) -> Column:
+    """The score; a job that meets one that is missing, not a number or outside [0, 1] fails and
+    says so, in whatever pass meets it first."""
+    p = F.col(score)
+    fine = p.isNotNull() & ~F.isnan(p) & p.between(0, 1)
+    told = F.concat(F.lit(f"{score} cannot be measured: "), F.coalesce(p.cast("string"), F.lit("missing")))
+    return F.when(fine, p).otherwise(F.raise_error(told).cast("double"))
+
+
 def score_gate(df: DataFrame, *, score: str, label: str | None = None, rows: int | None = None) -> DataFrame:
     """Whether scores can be measured at all: finite, in [0, 1], both classes, one per row."""
     p = F.col(score)
@@ -341,7 +351,7 @@ def segment_performance(
         score="__p",
         label="__y",
         keys=["dimension", "segment"],
-    ).select("dimension", "segment", "roc_auc")
+    ).select(F.col("dimension").alias("__d"), F.col("segment").alias("__s"), "roc_auc")
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     sized = cells.withColumns(
         {"customers": tn + fp + fn + tp, "churners": tp + fn, "flagged": tp + fp}
@@ -361,7 +371,9 @@ def segment_performance(
             "unscanned": (F.col("flagged") == 0) & (F.col("churners") > 0),
         }
     ).drop("tn", "fp", "fn", "tp")
-    return rated.join(ranking, ["dimension", "segment"])
+    # A missing level is a segment like any other.
+    same = (F.col("dimension") == F.col("__d")) & F.col("segment").eqNullSafe(F.col("__s"))
+    return rated.join(ranking, same).drop("__d", "__s")
 
 
 # The columns of a segment that state an outcome.

@@ -12,7 +12,7 @@ from scorebook.functions import expr as E
 from scorebook.functions import fixed
 from scorebook.functions.fixed import MIN_CELL
 from scorebook.operators.prefix import medians
-from scorebook.operators.split import row_hash
+from scorebook.operators.split import row_hash, sums
 from scorebook.operators.tables import beside, named_rows
 
 Levels = Mapping[str, Sequence[str]]
@@ -361,7 +361,11 @@ def level_grid(spark: SparkSession, levels: Levels, *, pairs: bool = True) -> Da
 
 
 def dense(found: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every declared cell with its counts, empty ones with zero."""
+    """Every declared cell with its counts, empty ones with zero.
+
+    A level in the data that the grid does not declare is an error, never a dropped group: the job
+    that meets it fails and names it.
+    """
     keyed = found.select(*[F.col(c).alias(f"__{c}") for c in ("rows", "cols", "row", "col")], "customers", "churned")
     same = (
         (F.col("rows") == F.col("__rows"))
@@ -369,10 +373,15 @@ def dense(found: DataFrame, grid: DataFrame) -> DataFrame:
         & (F.col("row") == F.col("__row"))
         & F.col("col").eqNullSafe(F.col("__col"))
     )
+    stray = F.col("rows").isNull()
+    alone = stray & F.col("__rows").isNotNull() & F.col("__row").isNotNull() & F.col("__cols").isNull()
+    told = F.concat(F.lit("undeclared level "), F.col("__row"), F.lit(" of "), F.col("__rows"))
+    counts = F.when(alone, F.raise_error(told).cast("bigint")).otherwise(F.coalesce("customers", F.lit(0)))
     return (
-        grid.join(keyed, same, "left")
+        grid.join(keyed, same, "full")
+        .where(~stray | alone)
+        .withColumns({"customers": counts, "churned": F.coalesce("churned", F.lit(0))})
         .drop("__rows", "__cols", "__row", "__col")
-        .fillna(0, subset=["customers", "churned"])
     )
 
 
@@ -489,12 +498,12 @@ def identical_segments(df: DataFrame, columns: Sequence[str], *, id: str) -> Dat
     groups = (
         members(hashed, columns, carry=["__h"])
         .groupBy("dimension", "segment")
-        .agg(F.count(F.lit(1)).alias("customers"), F.bit_xor("__h").alias("members"))
+        .agg(F.count(F.lit(1)).alias("customers"), *sums(F.col("__h"), "members"))
     )
-    same = Window.partitionBy("customers", "members")
+    same = Window.partitionBy("customers", "members", "checksum")
     return (
         groups.withColumn("names", F.count(F.lit(1)).over(same)).where(F.col("names") > 1)
-    ).select("dimension", "segment", "customers", "members", "names")
+    ).select("dimension", "segment", "customers", "members", "checksum", "names")
 
 
 def betrayed(identical: DataFrame, shown: DataFrame) -> DataFrame:
@@ -502,7 +511,7 @@ def betrayed(identical: DataFrame, shown: DataFrame) -> DataFrame:
     (dimension, segment, shown)."""
     return (
         identical.join(shown, ["dimension", "segment"])
-        .groupBy("customers", "members")
+        .groupBy("customers", "members", "checksum")
         .agg(F.min("shown").alias("__min"), F.max("shown").alias("__max"), F.count(F.lit(1)).alias("names"))
         .where(F.col("__min") != F.col("__max"))
         .drop("__min", "__max")

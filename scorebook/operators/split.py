@@ -105,16 +105,27 @@ def split_summary(df: DataFrame, *, label: str, partition: str = "partition_name
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """60 bits of a row's MD5 as a number."""
-    text = F.concat_ws("|", *[col(c).cast("string") for c in columns])
+    """60 bits of a row's MD5 as a number.  Every value is written with its length and a null as
+    ``n``, so no two different rows are the same text."""
+    values = [col(c).cast("string") for c in columns]
+    text = F.concat(
+        *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("n")) for v in values]
+    )
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
-    """An order-free fingerprint of the rows: their count and the XOR of their hashes."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(row_hash(columns)).alias("fingerprint")
-    )
+    """An order-free fingerprint of the rows: their count, the XOR of their hashes and the sum, in
+    which a repeated row does not cancel."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums(row_hash(columns), "fingerprint"))
+
+
+def sums(hashed: Column, name: str) -> list[Column]:
+    """The XOR of hashes under ``name`` and their exact sum as ``checksum``."""
+    return [
+        F.bit_xor(hashed).alias(name),
+        F.sum(hashed.cast("decimal(20,0)")).cast("string").alias("checksum"),
+    ]
 
 
 def split_digest(df: DataFrame, *, id: str, partition: str = "partition_name") -> DataFrame:
@@ -137,7 +148,9 @@ def provenance(digest: DataFrame, recorded: DataFrame, *, partition: str = "part
     split is not verified and a fixed reason says why.
     """
     other = recorded.select(
-        F.col(partition).alias("__p"), F.col("n").alias("__n"), F.col("fingerprint").alias("__f")
+        F.col(partition).alias("__p"),
+        F.col("n").alias("__n"),
+        F.struct("fingerprint", "checksum").alias("__f"),
     )
     joined = digest.join(other, F.col(partition) == F.col("__p"), "full")
     counted = joined.agg(
@@ -145,7 +158,10 @@ def provenance(digest: DataFrame, recorded: DataFrame, *, partition: str = "part
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("__n"), F.lit(0)).alias("recorded_rows"),
         F.count_if(
-            ~(F.col("n").eqNullSafe(F.col("__n")) & F.col("fingerprint").eqNullSafe(F.col("__f")))
+            ~(
+                F.col("n").eqNullSafe(F.col("__n"))
+                & F.struct("fingerprint", "checksum").eqNullSafe(F.col("__f"))
+            )
         ).alias("differing"),
     )
     reason = (

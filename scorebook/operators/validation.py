@@ -310,7 +310,7 @@ def features_and_target(
         raise ContractError(f"missing columns: {absent}")
     extra = repeated_keys(df, contract.id).first()["extra_rows"]
     if extra:
-        raise ContractError(f"{extra} {contract.id} value(s) occur more than once")
+        raise ContractError(f"{contract.id} repeats in {extra} row(s)")
     return df.select(contract.id, *columns), df.select(contract.id, contract.label)
 
 

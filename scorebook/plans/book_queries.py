@@ -14,7 +14,9 @@ from scorebook.plans.registry import (
     SHOWN, THRESHOLD, book, plain, lines, money_sql, query, ratio_sql, rounded, shown, train, validation,
 )
 
-DIGEST = "CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
+DIGEST = (
+    "CAST('0x' || substr(md5(length(CAST(customer_id AS VARCHAR)) || ':' || CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
+)
 
 
 def parted(spark, folder):
@@ -59,7 +61,8 @@ def split_summary(spark, folder):
 
 @query(
     "d15_split_digest",
-    f"SELECT partition_name, count(*) AS n, bit_xor({DIGEST}) AS fingerprint FROM book GROUP BY 1",
+    f"""SELECT partition_name, count(*) AS n, bit_xor({DIGEST}) AS fingerprint,
+  CAST(sum(CAST({DIGEST} AS HUGEINT)) AS VARCHAR) AS checksum FROM book GROUP BY 1""",
     "book",
 )
 def split_digest(spark, folder):
@@ -92,8 +95,10 @@ def split_provenance(spark, folder):
 
 @query(
     "a11_table_fingerprint",
-    """SELECT count(*) AS n, bit_xor(CAST('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR),
-  CAST(l_linenumber AS VARCHAR), l_linestatus, quantity_band)), 1, 15) AS BIGINT)) AS fingerprint FROM lines""",
+    """WITH hashed AS (SELECT CAST('0x' || substr(md5(list_reduce(list_transform(
+    [CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), l_linestatus, quantity_band],
+    x -> coalesce(length(x) || ':' || x, 'n')), (a, b) -> a || b)), 1, 15) AS BIGINT) AS h FROM lines)
+SELECT count(*) AS n, bit_xor(h) AS fingerprint, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS checksum FROM hashed""",
     "lines",
 )
 def table_fingerprint(spark, folder):
@@ -372,7 +377,7 @@ def batch_summary(spark, folder):
   count(*) FILTER (outcome <> 'withheld' AND NOT flagged AND churn = 1) AS fn FROM shown)
 SELECT labelled, excluded_test, CASE WHEN labelled >= 20 THEN {ratio_sql('tp', 'tp + fp')} END AS precision,
   CASE WHEN labelled >= 20 THEN {ratio_sql('tp', 'tp + fn')} END AS recall,
-  CASE WHEN labelled < 20 THEN 'A rate needs at least 20 labelled rows.' END AS reason FROM c""",
+  CASE WHEN labelled < 20 THEN 'Fewer than 20 rows carry a label.' END AS reason FROM c""",
     "book",
 )
 def label_check(spark, folder):
@@ -408,9 +413,9 @@ SELECT customer_id, tenure, position, CAST(least({page}, pages) AS INT) AS page,
 WHERE position > (least({page}, pages) - 1) * {size} AND position <= least({page}, pages) * {size}"""
 
 
-def one_page(spark, folder, page: int, shallow: int = 10_000):
+def one_page(spark, folder, page: int):
     rows = plain(spark, folder).select("customer_id", "tenure")
-    return B.page_of(rows, sort="tenure", descending=True, page=page, page_size=25, shallow=shallow)
+    return B.page_of(rows, sort="tenure", descending=True, page=page, page_size=25)
 
 
 @query("i2_first_page", page_sql(1, 25), "book")
@@ -420,7 +425,7 @@ def first_page(spark, folder):
 
 @query("i2_page_past_the_end", page_sql(10**6, 25), "book")
 def page_past_end(spark, folder):
-    return one_page(spark, folder, 10**6, shallow=100)
+    return one_page(spark, folder, 10**6)
 
 
 @query(

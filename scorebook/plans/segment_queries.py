@@ -358,7 +358,9 @@ def nested_book(spark, folder):
     return plain(spark, folder).withColumn("line", F.concat(F.lit("line of "), F.col("segment")))
 
 
-HASH_SQL = "CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
+HASH_SQL = (
+    "CAST('0x' || substr(md5(length(CAST(customer_id AS VARCHAR)) || ':' || CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
+)
 
 
 @query(
@@ -366,9 +368,10 @@ HASH_SQL = "CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 15) AS BIG
     f"""WITH long AS (SELECT 'segment' AS dimension, segment AS segment, customer_id FROM book
   UNION ALL SELECT 'line', 'line of ' || segment, customer_id FROM book
   UNION ALL SELECT 'region', region, customer_id FROM book),
-g AS (SELECT dimension, segment, count(*) AS customers, bit_xor({HASH_SQL}) AS members FROM long GROUP BY 1, 2)
-SELECT *, count(*) OVER (PARTITION BY customers, members) AS names FROM g
-QUALIFY count(*) OVER (PARTITION BY customers, members) > 1""",
+g AS (SELECT dimension, segment, count(*) AS customers, bit_xor({HASH_SQL}) AS members,
+  CAST(sum(CAST({HASH_SQL} AS HUGEINT)) AS VARCHAR) AS checksum FROM long GROUP BY 1, 2)
+SELECT *, count(*) OVER (PARTITION BY customers, members, checksum) AS names FROM g
+QUALIFY count(*) OVER (PARTITION BY customers, members, checksum) > 1""",
     "book",
 )
 def identical_groups(spark, folder):
@@ -377,7 +380,8 @@ def identical_groups(spark, folder):
 
 @query(
     "c8_betrayed_groups",
-    f"""SELECT count(*) AS customers, bit_xor({HASH_SQL}) AS members, CAST(2 AS BIGINT) AS names
+    f"""SELECT count(*) AS customers, bit_xor({HASH_SQL}) AS members,
+  CAST(sum(CAST({HASH_SQL} AS HUGEINT)) AS VARCHAR) AS checksum, CAST(2 AS BIGINT) AS names
 FROM book WHERE segment = 'BUILDING'""",
     "book",
 )

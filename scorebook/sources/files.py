@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def pin_differences(spark: SparkSession, path: str, pins: DataFrame) -> DataFram
 
 @dataclass(frozen=True)
 class Caps:
-    """Limits an upload is held to."""
+    """Limits an upload is held to; readers of whole tables have none unless asked."""
 
     bytes: int = 5 * 1024 * 1024
     columns: int = 1000
@@ -93,28 +94,61 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def split_line(line: Column) -> Column:
+    """The fields of a line as they stand: separators outside quotes only."""
+    return F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+
+
+def bare_names(parts: Sequence[str]) -> list[str]:
+    return [p[1:-1].replace('""', '"') if len(p) > 1 and p[0] == p[-1] == '"' else p for p in parts]
+
+
+def headers_of(lines: DataFrame) -> DataFrame:
+    """(file, head, head_id): the first line of each file that is not blank, and its place."""
+    return (
+        lines.where(F.col("block") == 0)
+        .groupBy("file")
+        .agg(F.min(F.struct("line_id", "line")).alias("h"))
+        .select("file", F.col("h.line").alias("head"), F.col("h.line_id").alias("head_id"))
+    )
+
+
+def layouts(heads: DataFrame, contract: Contract, caps: Caps | None) -> dict[str, list[str]]:
+    """The names of every different header, each checked; part files rarely have more than one.
+
+    A header that cannot be read is refused with the first file that has it.
+    """
+    found = heads.groupBy("head").agg(F.min("file").alias("file")).withColumn("parts", split_line(F.col("head")))
+    out = {}
+    for row in found.orderBy("head").toLocalIterator():
+        out[row["head"]] = bare_names(row["parts"])
+        try:
+            check_header(out[row["head"]], contract, caps)
+        except ContractError as refused:
+            raise ContractError(f"{row['file']}: {refused}") from refused
+    if not out:
+        raise ContractError("file is empty")
+    return out
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The header's names: the first line that is not blank."""
-    first = text_lines(spark, path).where(F.col("block") == 0).limit(1)
-    # Separators outside quotes only: a quoted name may hold a comma.
-    row = first.select(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)').alias("parts")).first()
+    """The names of the first file's header."""
+    row = headers_of(text_lines(spark, path)).orderBy("file").select(split_line(F.col("head")).alias("parts")).first()
     if row is None:
         raise ContractError("file is empty")
-    return [
-        p[1:-1].replace('""', '"') if len(p) > 1 and p[0] == p[-1] == '"' else p for p in row["parts"]
-    ]
+    return bare_names(row["parts"])
 
 
-def check_header(header: Sequence[str], contract: Contract, caps: Caps = Caps()) -> None:
+def check_header(header: Sequence[str], contract: Contract, caps: Caps | None = None) -> None:
     """Refuse a header that cannot be read the one way it was meant."""
     if len(header) == 1 and ";" in header[0]:
-        raise ContractError("file looks semicolon-separated; save it as comma-separated CSV")
-    if len(header) > caps.columns:
+        raise ContractError("fields are parted by semicolons; the contract asks for commas")
+    if caps and len(header) > caps.columns:
         raise ContractError(f"file has {len(header):,} columns; the limit is {caps.columns:,}")
     known = set(contract.columns)
     repeated = sorted({c for c in header if c in known and list(header).count(c) > 1})
     if repeated:
-        raise ContractError(f"column(s) appear more than once: {', '.join(repeated)}")
+        raise ContractError(f"the header names {', '.join(repeated)} twice")
 
 
 def field_count(line: str | Column) -> Column:
@@ -128,62 +162,87 @@ def contract_rows(
     path: str,
     contract: Contract,
     *,
-    caps: Caps = Caps(),
+    caps: Caps | None = None,
     multiline: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, refused) of a contract CSV.
+    """(rows, refused) of a contract CSV, one file or a folder of part files.
 
-    ``rows`` holds the contract's columns only, all text, with ``file``, ``block`` and
-    ``line_id`` for the row's place; short rows are padded with blanks.  ``refused`` holds the
-    records with more fields than the header and the lines whose quotes stay open.
+    Every file's first line is its own header; files may order their columns differently and a row
+    that reads like a header is a row.  ``rows`` holds the contract's columns that any file has,
+    all text, with ``file``, ``block`` and ``line_id`` for the row's place; short rows and columns
+    a file lacks are blank.  ``refused`` holds the records with more fields than their header and
+    the lines whose quotes stay open.
     """
-    header = header_of(spark, path)
-    check_header(header, contract, caps)
-    width = len(header)
-    keep = [c for c in contract.columns if c in header]
-    names = [f"c{i}" for i in range(width)]
-    place = [F.coalesce(F.col(names[header.index(c)]), F.lit("")).alias(c) for c in keep]
-    if multiline:
-        read = spark.read.csv(
-            path, header=True, multiLine=True, schema=all_text([*names, "record"]),
-            columnNameOfCorruptRecord="record", mode="PERMISSIVE",
-        ).select(
-            "*",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line_id"),
-        )
-        # A query may not read the corrupt record alone, so the first field is looked at too.
-        real = F.coalesce(names[0], F.lit("")) != F.lit("\0")
-        wide = F.col("record").isNotNull() & (field_count("record") > width) & real
-        good, bad = read.where(~wide), read.where(wide)
-        place = [F.regexp_replace(c, BOM, "").alias(name) for c, name in zip(place, keep, strict=True)]
-        return (
-            good.select("file", "block", "line_id", *place),
-            bad.select("file", "line_id", F.col("record").alias("line"), F.lit("too many fields").alias("reason")),
-        )
     lines = text_lines(spark, path)
-    head_line = lines.where(F.col("block") == 0).select("line").limit(1).first()["line"]
-    # Every part file carries the header; a line that repeats it word for word is one.
-    body = lines.where(F.col("line") != head_line)
+    heads = headers_of(lines)
+    names = layouts(heads, contract, caps)
+    keep = [c for c in contract.columns if any(c in header for header in names.values())]
+    if multiline:
+        read = [multiline_rows(spark, heads, head, header, keep) for head, header in names.items()]
+        good, bad = (reduce(DataFrame.unionByName, side) for side in zip(*read, strict=True))
+        return good, bad
+    width = max(len(header) for header in names.values())
+    fields = [f"c{i}" for i in range(width)]
+
+    def by_header(value) -> Column:
+        """The value that belongs to the header of a row's file."""
+        chosen = F
+        for head, header in names.items():
+            chosen = chosen.when(F.col("head") == head, value(header))
+        return chosen
+
+    body = lines.join(heads, "file").where(F.col("line_id") != F.col("head_id"))
     opened = F.regexp_count("line", F.lit('"')) % 2 == 1
-    wide = field_count("line") > width
+    wide = field_count("line") > by_header(lambda header: F.lit(len(header)))
     reason = F.when(opened, "a quote stays open").when(wide, "too many fields")
     marked = body.withColumn("reason", reason)
-    parsed = (
-        marked.where(F.col("reason").isNull())
-        .withColumn(
-            "r",
-            F.from_csv("line", all_text(names).simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"}),
-        )
-        .select("file", "block", "line_id", "r.*")
+    parsed = marked.where(F.col("reason").isNull()).withColumn(
+        "r",
+        F.from_csv("line", all_text(fields).simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"}),
     )
+
+    def placed(name: str) -> Column:
+        blank = F.lit("")
+        at = by_header(lambda h: F.coalesce(F.col("r").getField(fields[h.index(name)]), blank) if name in h else blank)
+        return at.alias(name)
+
     return (
-        parsed.select("file", "block", "line_id", *place),
+        parsed.select("file", "block", "line_id", *[placed(c) for c in keep]),
         marked.where(F.col("reason").isNotNull()).select("file", "line_id", "line", "reason"),
     )
 
 
+def multiline_rows(
+    spark: SparkSession, heads: DataFrame, head: str, header: list[str], keep: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The rows and refused records of the files with one header, each file read in one task."""
+    paths = [r["file"] for r in heads.where(F.col("head") == head).select("file").orderBy("file").toLocalIterator()]
+    names = [f"c{i}" for i in range(len(header))]
+    read = spark.read.csv(
+        paths, header=True, multiLine=True, schema=all_text([*names, "record"]),
+        columnNameOfCorruptRecord="record", mode="PERMISSIVE",
+    ).select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_id"),
+    )
+    # A query may not read the corrupt record alone, so the first field is looked at too.
+    real = F.coalesce(names[0], F.lit("")) != F.lit("\0")
+    wide = F.col("record").isNotNull() & (field_count("record") > len(header)) & real
+    good, bad = read.where(~wide), read.where(wide)
+
+    def placed(name: str) -> Column:
+        if name not in header:
+            return F.lit("").alias(name)
+        return F.regexp_replace(F.coalesce(F.col(names[header.index(name)]), F.lit("")), BOM, "").alias(name)
+
+    return (
+        good.select("file", "block", "line_id", *[placed(c) for c in keep]),
+        bad.select("file", "line_id", F.col("record").alias("line"), F.lit("too many fields").alias("reason")),
+    )
+
+
 def numbered_rows(rows: DataFrame) -> DataFrame:
     """Rows with ``row``, their 1-based place in their file."""
     return positions(
@@ -214,7 +273,7 @@ def validate_upload(
     if worst := refused.limit(1).collect():
         raise ContractError(f"{worst[0]['reason']}: {worst[0]['line'][:80]}")
     if rows.isEmpty():
-        raise ContractError("file contains a header but no data rows")
+        raise ContractError("nothing follows the header")
     numbered = numbered_rows(rows).drop("block", "line_id")
     ready = clean(numbered, contract, deduplicate=False, derive=False)
     label = [contract.label] if contract.label in rows.columns else []

@@ -146,7 +146,25 @@ def test_line_breaks_inside_quotes_need_multiline(spark, tmp_path):
 )
 def test_headers_that_cannot_be_read_one_way_are_refused(header):
     with pytest.raises(V.ContractError):
-        files.check_header(header.split(",") if "," in header else [header], CONTRACT)
+        files.check_header(header.split(",") if "," in header else [header], CONTRACT, files.Caps())
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_every_part_file_has_its_own_header(spark, tmp_path, multiline):
+    (tmp_path / "a.csv").write_text("id,net,tenure\n1,DSL,5\nid,net,tenure\n2,No\n")
+    (tmp_path / "b.csv").write_text("\nid,tenure,extra,net\n3,7,x,Fiber\n4,8,y,DSL\n")
+    rows, refused = files.contract_rows(spark, str(tmp_path), CONTRACT, multiline=multiline)
+    got = {r["id"]: (r["net"], r["tenure"]) for r in rows.collect()}
+    assert got == {"1": ("DSL", "5"), "id": ("net", "tenure"), "2": ("No", ""), "3": ("Fiber", "7"), "4": ("DSL", "8")}
+    assert refused.isEmpty()
+    (tmp_path / "c.csv").write_text("id;net\n5;DSL\n")
+    with pytest.raises(V.ContractError, match="c.csv"):
+        files.contract_rows(spark, str(tmp_path), CONTRACT, multiline=multiline)
+
+
+def test_bulk_rows_have_no_column_cap(spark, tmp_path):
+    path = write(tmp_path, ",".join(["id", *[f"c{i}" for i in range(1200)]]) + "\n7\n")
+    assert [r["id"] for r in files.contract_rows(spark, path, CONTRACT)[0].collect()] == ["7"]
 
 
 def test_upload_keeps_file_order_and_duplicates(spark, tmp_path):

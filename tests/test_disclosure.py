@@ -132,8 +132,9 @@ def test_stated_thresholds_forbid_thin_steps(spark):
     got = sorted(round(r[0], 2) for r in cuts.collect())
     assert D.legacy_holds(D.basis_on(basis, cuts), stated, MIN).first()[0]
     assert len(got) > 2
-    every = D.legacy_holds(X.at_cuts(basis, [0.0, 0.04, 0.05, 0.06]), stated, MIN).first()[0]
-    assert every in (True, False)
+    # The same steps without the ban: a cut just above the stated one would give the piece away.
+    wrong = named_rows(spark, "threshold double, flagged bigint, low bigint, high bigint", [(0.05, 90, 40, 41)])
+    assert not D.legacy_holds(X.at_cuts(basis, [0.0, 0.04, 0.05, 0.06]), wrong, MIN).first()[0]
 
 
 @pytest.mark.parametrize("tp", [3, 40, 77])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from scorebook.operators import book as B
 from scorebook.operators.prefix import medians, positions, running_totals
-from scorebook.operators.split import stratified_folds, stratified_split
+from scorebook.operators.segments import breakdown_counts, dense, level_grid
+from scorebook.operators.split import fingerprint, stratified_folds, stratified_split
 
 
 def skewed(spark, n=3000):
@@ -56,11 +57,10 @@ def test_positions_with_ties_and_keys(spark):
 
 
 @pytest.mark.parametrize("page", [1, 2, 24, 99])
-@pytest.mark.parametrize("shallow", [10, 10_000])
-def test_pages_clamp_and_agree_near_and_deep(spark, page, shallow):
+def test_pages_clamp_and_agree_near_and_deep(spark, page):
     rows, df = skewed(spark, 600)
     c = B.Columns(id="id")
-    got = B.page_of(df, sort="v", descending=True, page=page, page_size=25, c=c, shallow=shallow)
+    got = B.page_of(df, sort="v", descending=True, page=page, page_size=25, c=c)
     at = min(page, 24)
     want = sorted(rows, key=lambda r: (-r[1], r[0]))[(at - 1) * 25 : at * 25]
     back = sorted(got.collect(), key=lambda r: r["position"])
@@ -93,3 +93,21 @@ def test_folds_are_balanced(spark):
     df = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], "id int, y int")
     sizes = stratified_folds(df, id="id", label="y", folds=5).groupBy("y", "fold").count().collect()
     assert {(r["y"], r["count"]) for r in sizes} == {(1, 20), (0, 80)}
+
+
+def test_fingerprints_tell_repeats_nulls_and_separators_apart(spark):
+    def of(rows):
+        df = spark.createDataFrame(rows, "a string, b string")
+        return tuple(fingerprint(df, ["a", "b"]).first())
+
+    different = [[("x", "x"), ("x", "x")], [("y", "y"), ("y", "y")], [("x", None)], [(None, "x")], [("x|y", "z")], [("x", "y|z")], [("", None)]]
+    assert len({of(rows) for rows in different}) == len(different)
+    assert of([("a", "b"), ("c", "d")]) == of([("c", "d"), ("a", "b")])
+
+
+def test_an_undeclared_level_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a"), (0, "b"), (1, "z")], "churn int, g string")
+    found = breakdown_counts(df, ["g"], label="churn")
+    assert {r["row"] for r in dense(found, level_grid(spark, {"g": ["a", "b", "z", "never"]})).collect()} == {"a", "b", "z", "never"}
+    with pytest.raises(Exception, match="undeclared level z"):
+        dense(found, level_grid(spark, {"g": ["a", "b"]})).collect()

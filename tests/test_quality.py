@@ -171,3 +171,26 @@ def test_leader_gap_needs_one_row_each(spark):
     df = spark.createDataFrame([("a", 0.7, False), ("b", 0.6, True)], "model string, cv_pr_auc double, selected boolean")
     assert X.leader_gap(df, "a").first()[0] == pytest.approx(0.1)
     assert X.leader_gap(df.unionByName(df), "a").first()[0] is None
+
+
+def test_a_missing_level_is_a_segment(spark):
+    rows = [(i, i % 2, (i % 10) / 10, None if i < 40 else "a") for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, y int, p double, g string")
+    got = {r["segment"]: r for r in Q.segment_performance(df, ["g"], score="p", label="y", threshold=0.5).collect()}
+    assert len(got) == 2 and sorted(r["customers"] for r in got.values()) == [40, 60]
+    assert all(r["roc_auc"] is not None for r in got.values())
+
+
+@pytest.mark.parametrize("bad", [float("nan"), 2.0, -0.1, None])
+def test_scores_that_cannot_be_measured_are_named(spark, bad):
+    df = spark.createDataFrame([(0, 0.2), (1, 0.8), (1, bad)], "y int, p double")
+    with pytest.raises(Exception, match="p cannot be measured"):
+        Q.evaluate(df, score="p", label="y").collect()
+
+
+def test_two_lookups_at_one_threshold_are_two_rows(spark, data):
+    _, df = data
+    sweep = X.sweep(df, score="p", label="y", amount="m")
+    looked = named_rows(spark, "name string, at double", [("a", 0.2), ("b", 0.2), ("c", 0.55)])
+    got = sorted((r["name"], round(r["threshold"], 2)) for r in X.nearest_cuts(looked, sweep).collect())
+    assert got == [("a", 0.2), ("b", 0.2), ("c", 0.55)]
