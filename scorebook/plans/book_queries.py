@@ -97,7 +97,7 @@ def split_provenance(spark, folder):
     "a11_table_fingerprint",
     """WITH hashed AS (SELECT CAST('0x' || substr(md5(list_reduce(list_transform(
     [CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), l_linestatus, quantity_band],
-    x -> coalesce(length(x) || ':' || x, 'n')), (a, b) -> a || b)), 1, 15) AS BIGINT) AS h FROM lines)
+    lambda x: coalesce(length(x) || ':' || x, 'n')), lambda a, b: a || b)), 1, 15) AS BIGINT) AS h FROM lines)
 SELECT count(*) AS n, bit_xor(h) AS fingerprint, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS checksum FROM hashed""",
     "lines",
 )
@@ -387,7 +387,7 @@ def label_check(spark, folder):
 @query(
     "d19_label_check_without_flags",
     """SELECT count(*) AS labelled, CAST(0 AS BIGINT) AS excluded_test, CAST(NULL AS DOUBLE) AS precision, 0.0e0 AS recall,
-  'No labelled customer was flagged, so precision is not defined.' AS reason FROM book""",
+  'Among the labelled rows nobody is flagged: precision lacks a base.' AS reason FROM book""",
     "book",
 )
 def label_check_without_flags(spark, folder):
