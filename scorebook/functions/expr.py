@@ -278,9 +278,6 @@ def sentence(label: ColumnOrName, value: ColumnOrName, contribution: ColumnOrNam
         col(label),
         F.lit(" ("),
         col(value),
-        F.when(c > 0, F.lit(") raises")).otherwise(F.lit(") lowers")),
-        F.format_string(
-            " the estimated risk by %.1f percentage points, relative to an average customer.",
-            F.abs(c * 100.0),
-        ),
+        F.when(c > 0, F.lit(fixed.RAISES)).otherwise(F.lit(fixed.LOWERS)),
+        F.format_string(fixed.RISK_SENTENCE, F.abs(c * 100.0)),
     )

@@ -75,3 +75,7 @@ class Business:
             raise ValueError("success_rate and margin are shares in [0, 1]")
         if self.offer_cost < 0 or self.horizon_months <= 0:
             raise ValueError("the offer cost is >= 0 and the horizon >= 1 month")
+
+# The sentence of one contribution, as it has to read.
+RAISES, LOWERS = ") raises", ") lowers"
+RISK_SENTENCE = " the estimated risk by %.1f percentage points, relative to an average customer."

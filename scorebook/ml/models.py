@@ -347,18 +347,21 @@ def fit_calibrator(held: DataFrame, label: str, method: str) -> Model:
     ).fit(rows)
 
 
-def calibration_method(rows: int, folds: int) -> str:
-    """Isotonic needs a few hundred rows per fold; below that a sigmoid."""
-    return "isotonic" if rows / folds >= 300 else "sigmoid"
-
-
 def calibrate(
-    best: Candidate, rows: DataFrame, inputs: Inputs, *, clamp_rows: int, seed: int = 42
+    best: Candidate,
+    rows: DataFrame,
+    inputs: Inputs,
+    *,
+    clamp_rows: int,
+    method: str = "isotonic",
+    seed: int = 42,
 ) -> Scorer:
     """The whole pipeline refitted per fold, each calibrated on the rows it did not see; the
-    served score is the mean of the folds."""
+    served score is the mean of the folds.  ``method`` is ``isotonic``, which wants some hundred
+    rows per fold, or ``sigmoid``; the caller chooses, never the size of the table."""
+    if method not in ("isotonic", "sigmoid"):
+        raise ValueError(f"{method!r} is no way to calibrate")
     folds = best.folds
-    method = calibration_method(clamp_rows, folds)
     pipeline = candidate(best.key, inputs, seed=seed)
     last = pipeline.getStages()[-1]
     params = {getattr(last, name): value for name, value in best.settings.items()}
@@ -402,6 +405,7 @@ def train_all(
     seed: int = 42,
     business: Business = Business(),
     allow_baseline: bool = False,
+    calibration: str = "isotonic",
 ) -> Outcome:
     """Tune, select, calibrate, clamp, and choose the threshold - from training and validation rows.
 
@@ -422,7 +426,7 @@ def train_all(
     held = durable(validation.select(*dict.fromkeys([inputs.id, inputs.label, inputs.amount, *inputs.columns])))
     plain = Scorer([(best.model, None)], None, n)
     before = ece_of(plain.raw(held), inputs.label)
-    fitted = calibrate(best, rows, inputs, clamp_rows=n, seed=seed)
+    fitted = calibrate(best, rows, inputs, clamp_rows=n, method=calibration, seed=seed)
     after = ece_of(fitted.raw(held), inputs.label)
     # Kept only if it measurably helps; judged on unclamped scores.
     applied = after < before

@@ -660,7 +660,8 @@ def republished(spark, folder):
 
 @query("g22_validation_on_safe_cuts")
 def validation_on_safe_cuts(spark, folder):
-    """Bins and guarded segments read on the safe cuts only, as one published table."""
+    """Bins and guarded segments read on the safe cuts only, as one published table; nothing where
+    no cut is safe."""
     rows = durable(docs(spark, folder))
     fine = X.sweep_basis(rows.withColumn("amount", F.lit(1)), score="score", label="toxic", amount="amount")
     # At most 101 thresholds: the cuts decide which plan reads the rows next.
@@ -668,10 +669,11 @@ def validation_on_safe_cuts(spark, folder):
     bins = Q.reliability_on(rows, score="score", label="toxic", cuts=cuts or [0.0])
     segments, cells, _ = doc_segments(spark, folder)
     guarded = D.guard_segments(segments, cells)
-    return bins.select(
+    published = bins.select(
         F.lit("score").alias("dimension"), F.concat_ws(" to ", F.round("low", 2).cast("string"), F.round("high", 2).cast("string")).alias("segment"),
         "customers", F.col("churned").alias("churners"),
     ).unionByName(guarded.select("dimension", "segment", "customers", "churners"))
+    return published if cuts else published.limit(0)
 
 
 @query("g23_publish_gate", 'SELECT \'x\' AS "check", \'x\' AS at FROM region WHERE FALSE')

@@ -72,8 +72,15 @@ def test_unknown_categories_encode_to_nothing(spark, rows):
     assert len(vector) == 4 and list(vector[1:]) == [0.0, 0.0, 0.0]
 
 
-def test_calibration_method_follows_the_fold_size():
-    assert M.calibration_method(1500, 5) == "isotonic" and M.calibration_method(1499, 5) == "sigmoid"
+def test_one_score_shared_by_a_third_of_the_rows_is_one_step(spark):
+    rows = [(i % 2, 0.5) for i in range(300)] + [(int(i % 10 < i // 60), i / 600) for i in range(600)]
+    df = spark.createDataFrame(rows, f"y int, {M.SCORE} double").repartition(6)
+    fitted = M.fit_calibrator(df, "y", "isotonic")
+    got = {r[0]: r[1] for r in M.calibrated(fitted, df.select(F.col(M.SCORE).alias("x"), M.SCORE), M.SCORE, "isotonic").distinct().collect()}
+    order = sorted(got)
+    assert all(got[a] <= got[b] + 1e-12 for a, b in zip(order, order[1:], strict=False))
+    mean = sum(y for y, _ in rows) / len(rows)
+    assert abs(sum(got[p] for _, p in rows) / len(rows) - mean) < 1e-9
 
 
 def test_saved_metadata_is_checked(spark, rows, tmp_path):
