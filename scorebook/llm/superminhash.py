@@ -35,7 +35,7 @@ ELEMENTS = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SKETCH_BITS = 128
 #: Counters that order the elements of sets by frequency.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["c", "n"])
 
-    table = sets.select("elements").mapInArrow(counted, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    table = sets.select("elements").mapInArrow(counted, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts = np.zeros(COUNTERS, dtype=np.float32)
     counts[table["c"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.float32)
     shared = sets.sparkSession.sparkContext.broadcast(counts)
