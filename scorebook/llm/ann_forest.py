@@ -161,7 +161,7 @@ def nearest(
     asked = rows.where(is_query).distinct()
     distinct = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
     total = points.count()
-    drawn = points.orderBy(F.xxhash64("point"), "point").limit(sample).select("v").toPandas()["v"]
+    drawn = points.orderBy(F.xxhash64("point"), "point").limit(sample).select("v").toArrow().to_pandas()["v"]
     forest = grown(unit(drawn.tolist()), trees if total else 0, leaf, total / max(1, len(drawn)))
     budget = max(float(least), share * total)
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import held_out, learnable, slices, stored
+from scorebook.llm.common import held_out, learnable, stored
 
 CLASSES = 2048
 STATES = 6
@@ -270,7 +270,7 @@ def step(table: DataFrame, start: np.ndarray, move: np.ndarray, emit: np.ndarray
         .mapInArrow(run, "cell int, value double")
         .groupBy("cell")
         .agg(F.sum("value").alias("value"))
-        .toPandas()
+        .toArrow().to_pandas()
     )
     flat = np.zeros(sum(int(np.prod(s)) for s in shapes))
     flat[sums["cell"].to_numpy(dtype=np.int64)] = sums["value"].to_numpy(dtype=float)
@@ -313,7 +313,7 @@ def scored(
     high = F.pmod(F.shiftrightunsigned(F.col("word"), 40), F.lit(CLASSES))
     end = np.array([END], dtype=np.uint64).view(np.int64)[0]
     kind = F.when(F.col("word") == F.lit(int(end)), CLASSES).otherwise(high)
-    by_class = vocabulary.groupBy(kind.alias("kind")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    by_class = vocabulary.groupBy(kind.alias("kind")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow().to_pandas()
     n, v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     at = by_class["kind"].to_numpy(dtype=np.int64)
     n[at], v[at] = by_class["n"].to_numpy(dtype=float), by_class["v"].to_numpy(dtype=float)

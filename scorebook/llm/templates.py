@@ -164,7 +164,7 @@ def bloom(windows: DataFrame) -> np.ndarray:
             hashed = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bloom_places(hashed)).astype(np.int32))], names=["place"])
 
-    places = windows.select("hash").mapInArrow(run, "place int").distinct().toPandas()["place"].to_numpy(dtype=np.int64)
+    places = windows.select("hash").mapInArrow(run, "place int").distinct().toArrow().to_pandas()["place"].to_numpy(dtype=np.int64)
     bits = np.zeros(BLOOM_BITS, dtype=np.uint8)
     bits[places] = 1
     return np.packbits(bits)
