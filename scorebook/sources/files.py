@@ -17,7 +17,6 @@ from pyspark.errors import AnalysisException
 
 from scorebook.functions import expr as E
 from scorebook.operators.prefix import positions
-from scorebook.operators.tables import named_rows
 from scorebook.operators.validation import Contract, ContractError, clean, problems
 
 BOM = "﻿"
