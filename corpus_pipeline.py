@@ -15,11 +15,14 @@ from scorebook.llm import pieces, secret_owners, superminhash, templates, toxic_
 from scorebook.llm.common import stored, table
 
 TOXIC_FROM = 0.3
+#: Rows of an Arrow batch: texts are long, and what a batch takes off the heap stays taken.
+BATCH_ROWS = 2000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
     """``docs`` with neutral column names, the neutral name of each column, and all of them."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     safe = [f"__c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*safe), dict(zip(docs.columns, safe, strict=True)), safe
 

@@ -6,12 +6,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorebook.session import scratch_path
 
+#: Characters of text that a worker holds as strings at once.
+CHARS_AT_ONCE = 1 << 23
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark, wherever the folder lies."""
@@ -88,7 +92,7 @@ def by_text(
     """``docs`` with columns computed from whole texts, in Arrow batches.
 
     ``task`` is called once in each task and gives the function that turns a list of texts (null
-    as empty) into one list per added column.  The other columns are passed on as they are, so
+    as empty, about ``CHARS_AT_ONCE`` characters of them) into one list per added column.  The other columns are passed on as they are, so
     nulls and large numbers stay what they were.
     """
     docs = without(docs, *[name for name, _, _ in added])
@@ -98,10 +102,13 @@ def by_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = task()
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(place).to_pylist()]
-            new = [pa.array(v, type=a) for v, (_, _, a) in zip(compute(texts), added, strict=True)]
-            own = [batch.column(names.index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*own, *new], names=[*kept, *[n for n, _, _ in added]])
+        for whole in batches:
+            lengths = pc.utf8_length(whole.column(place)).fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(lengths, CHARS_AT_ONCE):
+                batch = whole.slice(lo, hi - lo)
+                texts = ["" if t is None else t for t in batch.column(place).to_pylist()]
+                new = [pa.array(v, type=a) for v, (_, _, a) in zip(compute(texts), added, strict=True)]
+                own = [batch.column(names.index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, *new], names=[*kept, *[n for n, _, _ in added]])
 
     return docs.mapInArrow(run, schema)

@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import learnable, slices, without
+from scorebook.llm.common import by_text, learnable, slices
 
 WIDTH = 1024
 SEED = 2027
@@ -117,17 +118,18 @@ def train(
     text: str = "text",
     lang: str = "lang",
     per_language: int = 3000,
+    most_languages: int = 1000,
     modulus: int = 4,
     remainder: int = 2,
 ) -> Profiles:
-    """Profiles from about ``per_language`` documents of each language, chosen by hash of the ID;
-    the bound is on learning alone."""
+    """Profiles from about ``per_language`` documents of each of the ``most_languages`` most frequent
+    languages, chosen by hash of the ID; both bounds are on learning alone."""
     rows = docs.where(
         learnable(F.col(doc_id), modulus, remainder) & F.col(lang).isNotNull() & F.col(text).isNotNull()
     ).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     share = F.xxhash64("doc_id", F.lit(5)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    sample = rows.join(sizes, "lang").where(share < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
+    sample = rows.join(F.broadcast(sizes), "lang").where(share < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
 
     def bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, sums = Letters(), {}
@@ -142,7 +144,7 @@ def train(
         sample.mapInPandas(bundled, "lang string, place int, value double")
         .groupBy("lang", "place")
         .agg(F.sum("value").alias("value"))
-        .toPandas()
+        .toArrow().to_pandas()
     )
     if cells.empty:
         return Profiles((), np.zeros((0, WIDTH)), np.zeros(WIDTH))
@@ -154,24 +156,22 @@ def train(
 
 def predicted(docs: DataFrame, model: Profiles, *, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``lang_pred`` and ``score`` (the cosine, not below 0)."""
-    docs = without(docs, "lang_pred", "score")
-    others = [c for c in docs.columns if c != text]
-    fields = [docs.schema[c] for c in others]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    names = np.array([*model.languages, UNKNOWN], dtype=object)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         letters = Letters()
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch[text]]
-            names = np.array([*model.languages, UNKNOWN], dtype=object)
+
+        def run(texts: list[str]) -> tuple:
             pick, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
             for lo, hi, vectors in in_groups(texts, letters):
                 some = np.abs(vectors).any(axis=1)
                 if len(names) > 1:
                     cosine = unit(unit(vectors) - model.middle) @ model.vectors.T
-                    best = cosine.argmax(axis=1)
-                    pick[lo:hi] = np.where(some, best, len(names) - 1)
+                    pick[lo:hi] = np.where(some, cosine.argmax(axis=1), len(names) - 1)
                     score[lo:hi] = np.where(some, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0)
-            yield batch[others].assign(lang_pred=names[pick], score=score)
+            return names[pick], score
+
+        return run
 
-    return docs.select(*others, text).mapInPandas(run, schema)
+    added = [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())]
+    return by_text(docs, text, added, task, keep_text=False)

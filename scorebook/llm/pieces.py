@@ -3,7 +3,9 @@
 An Aho-Corasick automaton over the pieces reads a text once; at every position its output links
 name the pieces that end there, and each relaxes the best score at that position (Viterbi).  What
 no piece reaches is written in byte pieces.  A text is cut where no piece can cross: before a run
-of blanks and around line breaks, so equal words are segmented once per worker.
+of blanks and around line breaks, so a worker remembers the pieces of units it has met.  New units
+in Latin signs walk a table of the automaton together, one sign at a time; units that
+are long or hold other signs are read one by one.
 
 Encoding is exact: decoding gives back the text, whatever it holds.  A null text has null pieces;
 an empty text has none.  Repeated rows are encoded row by row; other columns pass through,
@@ -20,16 +22,24 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scorebook.llm.common import without
+from scorebook.llm.common import slices, without
 
 BLANK = "▁"
 #: A run of blanks and what follows it; a line break; a literal blank sign; other text.
 UNIT = re.compile(rf" +[^ \n{BLANK}]*|\n|{BLANK}|[^ \n{BLANK}]+")
-#: Distinct units whose pieces a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 250_000
+#: Distinct units after which a worker forgets the pieces of those it has met.
+REMEMBERED = 200_000
+#: Code points below which a sign is in the tables, longest unit that walks them, cells of one walk.
+LATIN = 0x180
+LONG = 48
+CELLS = 1 << 20
+#: Characters that are encoded, and pieces that are decoded, at once.
+CHARS_AT_ONCE = 1 << 21
+PIECES_AT_ONCE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -62,12 +72,110 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, tuple(bytes_[f"<0x{b:02X}>"] for b in range(256)), size)
 
 
+class Walk:
+    """The automaton as tables, for the Latin signs and the blank, where they are pieces."""
+
+    def __init__(self, words: Vocabulary):
+        singles = sorted(p for p, _, _ in words.pieces if len(p) == 1 and (ord(p) < LATIN or p == BLANK))
+        self.signs = {ord(c): i + 1 for i, c in enumerate(singles)}
+        self.index = np.zeros(ord(BLANK) + 1, dtype=np.int16)
+        self.index[list(self.signs)] = list(self.signs.values())
+        self.only = re.compile("[" + re.escape("".join(singles)) + "]{1,%d}" % LONG) if singles else re.compile("(?!)")
+        children: list[dict[int, int]] = [{}]
+        piece, score, length = [-1], [0.0], [0]
+        for text, number, value in words.pieces:
+            if not all(ord(c) in self.signs for c in text):
+                continue
+            at = 0
+            for c in text:
+                sign = self.signs[ord(c)]
+                if sign not in children[at]:
+                    children[at][sign] = len(children)
+                    children.append({})
+                    piece.append(-1)
+                    score.append(0.0)
+                    length.append(0)
+                at = children[at][sign]
+            piece[at], score[at], length[at] = number, value, len(text)
+        self.piece, self.score, self.length = np.array(piece), np.array(score), np.array(length)
+        self.move = np.zeros((len(children), len(singles) + 1), dtype=np.uint16 if len(children) < 1 << 16 else np.int32)
+        self.link = np.zeros(len(children), dtype=np.int32)  # the next state whose piece ends here
+        fail = np.zeros(len(children), dtype=np.int32)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                row = self.move[fail[at]].copy() if at else self.move[0]
+                for sign, child in children[at].items():
+                    fail[child] = row[sign] if at else 0
+                    row[sign] = child
+                    below.append(child)
+                self.move[at] = row
+                ends = fail[at]
+                self.link[at] = ends if piece[ends] >= 0 else self.link[ends]
+            level = below
+
+    def fits(self, unit: str) -> bool:
+        return self.only.fullmatch(unit) is not None
+
+    def best(self, units: list[str]) -> Iterator[bytes]:
+        """The packed pieces of units that all fit."""
+        order = sorted(range(len(units)), key=lambda i: -len(units[i]))
+        out: list[bytes] = [b""] * len(units)
+        at = 0
+        while at < len(order):
+            width = len(units[order[at]])
+            rows = order[at : at + max(1, CELLS // (width + 1))]
+            for i, ids in zip(rows, self.together([units[i] for i in rows], width), strict=True):
+                out[i] = ids
+            at += len(rows)
+        return iter(out)
+
+    def together(self, units: list[str], width: int) -> list[bytes]:
+        """The pieces of units by falling length."""
+        n = np.array([len(u) for u in units])
+        signs = np.zeros((len(units), width), dtype=np.int16)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
+        signs[np.arange(width) < n[:, None]] = self.index[codes] if len(codes) else 0
+        score = np.full((len(units), width + 1), -np.inf)
+        score[:, 0] = 0.0
+        state = np.zeros(len(units), dtype=np.int32)
+        back = np.zeros((len(units), width + 1), dtype=np.int32)
+        for t in range(width):
+            k = int(np.searchsorted(-n, -t, side="left"))
+            state = self.move[state[:k], signs[:k, t]]
+            end = np.where(self.piece[state] >= 0, state, self.link[state])
+            rows = np.flatnonzero(end)
+            end = end[rows]
+            while len(rows):
+                total = score[rows, t + 1 - self.length[end]] + self.score[end]
+                better = total > score[rows, t + 1]
+                score[rows[better], t + 1] = total[better]
+                back[rows[better], t + 1] = end[better]
+                end = self.link[end]
+                more = end > 0
+                rows, end = rows[more], end[more]
+        steps, rows, at = [], np.arange(len(units)), n.copy()
+        while len(rows):
+            state = back[rows, at]
+            steps.append((rows, self.piece[state]))
+            at = at - self.length[state]
+            rows, at = rows[at > 0], at[at > 0]
+        if not steps:
+            return [b""] * len(units)
+        owner = np.concatenate([r for r, _ in steps[::-1]])
+        ids = np.concatenate([i for _, i in steps[::-1]])[np.argsort(owner, kind="stable")].astype(np.int32)
+        whole, ends = ids.tobytes(), (np.cumsum(np.bincount(owner, minlength=len(units))) * 4).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Segmenter(dict):
     """The pieces of each unit, as packed IDs, computed when first met."""
 
     def __init__(self, words: Vocabulary):
         super().__init__()
         self.bytes_ = words.bytes_
+        self.walk = Walk(words)
         self.automaton = ahocorasick.Automaton()
         for piece, number, score in words.pieces:
             self.automaton.add_word(piece, (len(piece), number, score))
@@ -75,13 +183,22 @@ class Segmenter(dict):
         self.fallback = min((s for _, _, s in words.pieces), default=0.0) - 10.0
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = self.in_bytes(BLANK) if unit == BLANK else self.best(unit.replace(" ", BLANK))
         packed = array("i", ids).tobytes()
         self[unit] = packed
         return packed
 
+    def packed_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """The packed pieces of every text; units not met before are segmented together first."""
+        rows = [UNIT.findall(" " + t) if t else [] for t in texts]
+        if len(self) >= REMEMBERED:
+            self.clear()
+        new = {u for row in rows for u in row}.difference(self)
+        ready = {u: u.replace(" ", BLANK) for u in new if u != BLANK}
+        fitting = [u for u, plain in ready.items() if self.walk.fits(plain)]
+        self.update(zip(fitting, self.walk.best([ready[u] for u in fitting]), strict=True))
+        return [None if t is None else b"".join(map(self.__getitem__, row)) for t, row in zip(texts, rows, strict=True)]
+
     def in_bytes(self, text: str) -> list[int]:
         return [self.bytes_[b] for b in text.encode("utf-8")]
 
@@ -110,9 +227,6 @@ class Segmenter(dict):
             at -= length
         return [i for part in reversed(parts) for i in part]
 
-    def packed(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, UNIT.findall(" " + text))) if text else b""
-
 
 def encoded(docs: DataFrame, words: Vocabulary, *, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``pieces``, the IDs of each whole text."""
@@ -122,17 +236,20 @@ def encoded(docs: DataFrame, words: Vocabulary, *, text: str = "text", keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(words)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            packed = [None if t is None else segmenter.packed(t) for t in texts]
-            sizes = np.array([0 if p is None else len(p) // 4 for p in packed], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = np.frombuffer(b"".join(p for p in packed if p), dtype=np.int32)
-            pieces = pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(values), mask=pa.array([p is None for p in packed])
-            )
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pieces], names=[*kept, "pieces"])
+        for whole in batches:
+            place = whole.schema.get_field_index(text)
+            lengths = pc.utf8_length(whole.column(place)).fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(lengths, CHARS_AT_ONCE):
+                batch = whole.slice(lo, hi - lo)
+                packed = segmenter.packed_all(batch.column(place).to_pylist())
+                sizes = np.array([0 if p is None else len(p) // 4 for p in packed], dtype=np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                values = np.frombuffer(b"".join(p for p in packed if p), dtype=np.int32)
+                pieces = pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(values), mask=pa.array([p is None for p in packed])
+                )
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pieces], names=[*kept, "pieces"])
 
     return docs.mapInArrow(run, schema)
 
@@ -145,10 +262,12 @@ def decoded(docs: DataFrame, words: Vocabulary, *, pieces: str = "pieces", into:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Decoder(words)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(pieces))
-            texts = table.texts(column)
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, into])
+        for whole in batches:
+            place = whole.schema.get_field_index(pieces)
+            lengths = pc.list_value_length(whole.column(place)).fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(lengths, PIECES_AT_ONCE):
+                batch = whole.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*batch.columns, table.texts(batch.column(place))], names=[*names, into])
 
     return docs.mapInArrow(run, schema)
 

@@ -17,23 +17,23 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import labelled_ids, slices, without
+from scorebook.llm.common import by_text, labelled_ids, slices, without
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Weights nearer to zero than this are left out of the model.
 LEAST_WEIGHT = 0.01
 #: Distinct words whose emission a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 200_000
-TOKENS_AT_ONCE = 1 << 21
+TOKENS_AT_ONCE = 1 << 20
 WINDOW = 64
 SPAN_AT = 0.5
 #: Marginals below this count as none in a document's score, whatever the length of the text.
@@ -203,7 +203,7 @@ class Emissions(dict):
 
 
 def toxic_odds(
-    texts: list[list[str]], memory: Emissions, transition: np.ndarray, start: float
+    texts: Iterable[list[str]], memory: Emissions, transition: np.ndarray, start: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of all tokens; each text's log-odds that at least one token is toxic; where each
     text ends."""
@@ -217,7 +217,7 @@ def toxic_odds(
     return p, np.clip(np.log(-np.expm1(clean) + math.exp(FLOOR)) - clean, FLOOR, -FLOOR), ends
 
 
-def fit(sample: list[tuple[str | None, int]], most_windows: int = 12_000) -> Crf | None:
+def fit(sample: list[tuple[str | None, int]], most_windows: int = 8_000) -> Crf | None:
     """The chain and the scale of the score, from (text, label) pairs."""
     texts = [WORD.findall(t or "") for t, _ in sample]
     labels = [int(y) for _, y in sample]
@@ -258,7 +258,7 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    per_class: int = 2500,
+    per_class: int = 1500,
     most_chars: int = 200_000,
     modulus: int = 4,
     remainder: int = 2,
@@ -271,7 +271,7 @@ def train(
         .where(F.length("text") <= most_chars)
         .join(F.broadcast(ids), "doc_id")
         .select("text", "label", "doc_id")
-        .toPandas()
+        .toArrow().to_pandas()
         .sort_values(["doc_id", "text"])
     )
     return fit(list(zip(rows["text"], rows["label"], strict=True)))
@@ -287,28 +287,26 @@ SPANS = T.ArrayType(
     )
 )
 
+ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+
 
 def scored(docs: DataFrame, model: Crf | None, *, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``score`` (0 to 1), ``n_toxic`` (tokens whose marginal is at
     least one half) and ``spans`` (their offsets in code points, end exclusive, and marginals;
     neighbours form one span)."""
     docs = without(docs, "score", "n_toxic", "spans")
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_toxic", T.LongType()), T.StructField("spans", SPANS)]
-    )
     if model is None:
         return docs.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_toxic"), F.array().cast(SPANS).alias("spans"))
-    place = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         memory = Emissions(model.weights)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch.iloc[:, place]]
+
+        def run(texts: list[str]) -> tuple:
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) // 6 + 1
-            score, count, spans = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), [[]] * len(texts)
+            score, count = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+            spans: list[list[dict]] = [[]] * len(texts)
             for lo, hi in slices(sizes, TOKENS_AT_ONCE):
-                words = [WORD.findall(t) for t in texts[lo:hi]]
-                p, log_odds, ends = toxic_odds(words, memory, model.transition, model.start)
+                p, log_odds, ends = toxic_odds(map(WORD.findall, texts[lo:hi]), memory, model.transition, model.start)
                 lengths = np.diff(ends, prepend=0)
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(model.scale[0] + model.scale[1] * log_odds, -30, 30)))
                 hot = np.flatnonzero(p >= SPAN_AT)
@@ -317,9 +315,12 @@ def scored(docs: DataFrame, model: Crf | None, *, text: str = "text") -> DataFra
                     at = hot[owner == k] - (ends[k] - lengths[k])
                     count[lo + k] = len(at)
                     spans[lo + k] = located(texts[lo + k], at, p[hot[owner == k]])
-            yield batch.assign(score=score, n_toxic=count, spans=spans)
+            return score, count, spans
+
+        return run
 
-    return docs.mapInPandas(run, schema)
+    added = [("score", T.DoubleType(), pa.float64()), ("n_toxic", T.LongType(), pa.int64()), ("spans", SPANS, ARROW_SPANS)]
+    return by_text(docs, text, added, task)
 
 
 def located(text: str, tokens: np.ndarray, p: np.ndarray) -> list[dict]:
