@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders, so a question and the same question with other
 parameters are one template.  Windows of a template are joined by hash with those of the benchmark;
-a document has an item if it has enough of the item's windows and the values in its slots are
-consistent: one value of the item always stands for one value of the document, and the reverse.
+a document has an item if some occurrence in it has enough of the item's windows with consistent
+slots: one value of the item always stands for one value of the document, and the reverse.  Other
+occurrences, and stray windows with other values, take nothing from it.
 
 A name is a capitalised word that does not begin a sentence; a unit is a word of a fixed list next
 to a number.  Windows with fewer literal words than placeholders say too little and are left out;
@@ -15,6 +16,7 @@ documents pass through, and ``hits`` takes the place of a column with its name.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,11 +115,17 @@ def window_hashes(owner: np.ndarray, kind: np.ndarray, template: np.ndarray, wid
 
 
 HIT = T.ArrayType(
-    T.StructType([T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))])
+    T.StructType(
+        [
+            T.StructField("hash", T.LongType()),
+            T.StructField("begin", T.IntegerType()),
+            T.StructField("slots", T.ArrayType(T.LongType())),
+        ]
+    )
 )
 
 
-ARROW_HIT = pa.list_(pa.struct([("hash", pa.int64()), ("slots", pa.list_(pa.int64()))]))
+ARROW_HIT = pa.list_(pa.struct([("hash", pa.int64()), ("begin", pa.int32()), ("slots", pa.list_(pa.int64()))]))
 
 
 def item_windows(benchmark: DataFrame, *, item_id: str, text: str) -> DataFrame:
@@ -172,7 +180,7 @@ def bloom(windows: DataFrame) -> np.ndarray:
 
 def with_hits(docs: DataFrame, filter_: np.ndarray, widths: list[int], *, text: str, keep_text: bool) -> DataFrame:
     """``docs`` with ``hits``: the windows of each whole text that may be the benchmark's, each
-    with its slots once."""
+    with its slots and the token it begins at."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def task():
@@ -184,16 +192,13 @@ def with_hits(docs: DataFrame, filter_: np.ndarray, widths: list[int], *, text:
                 if len(memory) > REMEMBERED:
                     memory.forget()
                 owner, kind, template, value = canonical(texts[lo : lo + TEXTS_AT_ONCE], memory)
+                heads = np.searchsorted(owner, np.arange(TEXTS_AT_ONCE))
                 for width in widths:
                     begin, hashed = confirmed(*window_hashes(owner, kind, template, width), bits)
-                    seen = set()
                     for b, h in zip(begin.tolist(), hashed.view(np.int64).tolist(), strict=True):
                         inside = slice(b, b + width)
                         slots = value[inside][kind[inside] != LITERAL].view(np.int64).tolist()
-                        key = (owner[b], h, tuple(slots))
-                        if key not in seen:
-                            seen.add(key)
-                            hits[lo + owner[b]].append({"hash": h, "slots": slots})
+                        hits[lo + owner[b]].append({"hash": h, "begin": b - int(heads[owner[b]]), "slots": slots})
             return (hits,)
 
         return run
@@ -212,41 +217,92 @@ def confirmed(begin: np.ndarray, hashed: np.ndarray, bits: np.ndarray) -> tuple[
     return begin, hashed
 
 
+def extended(there: dict, back: dict, pairs: list[tuple]) -> tuple[dict, dict] | None:
+    """The values of an item and their partners, and the reverse, with ``pairs`` added; None if a
+    value would have two partners."""
+    there, back = dict(there), dict(back)
+    for b, d in pairs:
+        if there.setdefault(b, d) != d or back.setdefault(d, b) != b:
+            return None
+    return there, back
+
+
+def occurrence(parts: list[dict], length: int) -> tuple[int, bool]:
+    """(windows, whether all values are the item's) of the best consistent occurrence of an item.
+
+    A part holds the windows at one place of the document.  An occurrence is a part and the parts
+    within an item's length that agree with it, nearest first, so words put in or left out do not
+    break it; or the whole document, if all of it agrees; or all windows with the item's own values.
+    """
+    parts = sorted(({**p, "pairs": [(x["b"], x["d"]) for x in p["pairs"]]} for p in parts), key=lambda p: p["at"])
+    at = [p["at"] for p in parts]
+    every = {x for p in parts for x in p["places"]}
+    best = (len({x for p in parts for x in p["exact"]}), True)
+    whole = extended({}, {}, [x for p in parts for x in p["pairs"]])
+    if whole is not None:
+        best = max(best, (len(every), all(b == d for b, d in whole[0].items())))
+    for seed in sorted(range(len(parts)), key=lambda i: -len(parts[i]["places"])):
+        if best == (len(every), True):
+            break
+        values = extended({}, {}, parts[seed]["pairs"])
+        if values is None:
+            continue
+        places = set(parts[seed]["places"])
+        near = range(bisect_left(at, at[seed] - length), bisect_right(at, at[seed] + length))
+        for i in sorted(near, key=lambda i: abs(at[i] - at[seed])):
+            if not places.issuperset(parts[i]["places"]):
+                more = extended(*values, parts[i]["pairs"])
+                if more is not None:
+                    values = more
+                    places.update(parts[i]["places"])
+        best = max(best, (len(places), all(b == d for b, d in values[0].items())))
+    return best
+
+
 def matches(hits: DataFrame, windows: DataFrame, *, key: str, coverage: float) -> DataFrame:
-    """(key, item_id, n_windows, coverage, same_values) of documents with enough of an item's
-    windows and consistent slots.
+    """(key, item_id, n_windows, coverage, same_values) of documents with an occurrence that has
+    enough of an item's windows and consistent slots.
 
-    A passage that a third of the documents have is counted per document before it is grouped by
-    anything, and the join by hash is one that Spark splits where it is skewed.
+    The join by hash is one that Spark splits where it is skewed.  Windows are gathered by document,
+    item and place first, which has no more of them than the item.
     """
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("place").alias("of"))
-    each = hits.select(F.col(key), F.explode("hits").alias("h")).select(key, F.col("h.hash").alias("hash"), F.col("h.slots").alias("d"))
-    met = each.join(windows.select("hash", "item_id", "place", F.col("slots").alias("b")), "hash").select(key, "item_id", "place", "b", "d")
-    found = (
-        met.groupBy(key, "item_id")
-        .agg(F.countDistinct("place").alias("n_windows"), F.min((F.col("b") == F.col("d")).cast("int")).alias("same"))
-        .join(sizes, "item_id")
-        .where(F.col("n_windows") >= coverage * F.col("of"))
+    sizes = windows.groupBy("item_id").agg(
+        F.countDistinct("place").alias("of"), F.max(F.col("place") + F.col("width")).alias("length")
     )
-    slots = (
-        met.where(F.size("b") > 0)
-        .select(key, "item_id", F.explode(F.arrays_zip("b", "d")).alias("s"))
-        .select(key, "item_id", F.col("s.b").alias("b"), F.col("s.d").alias("d"))
-        .distinct()
+    each = hits.select(F.col(key), F.explode("hits").alias("h")).select(key, "h.hash", "h.begin", F.col("h.slots").alias("d"))
+    met = each.join(windows.select("hash", "item_id", "place", F.col("slots").alias("b")), "hash")
+    parts = met.groupBy(key, "item_id", (F.col("begin") - F.col("place")).alias("at")).agg(
+        F.collect_set("place").alias("places"),
+        F.collect_set(F.when(F.col("b") == F.col("d"), F.col("place"))).alias("exact"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("b", "d")))).alias("pairs"),
     )
-
-    def clash(one: str, other: str) -> DataFrame:
-        return slots.groupBy(key, "item_id", one).agg(F.count(other).alias("n")).where("n > 1").select(key, "item_id")
-
-    clashing = clash("b", "d").unionByName(clash("d", "b")).distinct()
-    return found.join(clashing, [key, "item_id"], "left_anti").select(
-        key,
-        "item_id",
-        "n_windows",
-        (F.col("n_windows") / F.col("of")).alias("coverage"),
-        (F.col("same") == 1).alias("same_values"),
+    met_places = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["places"])))
+    enough = (
+        parts.groupBy(key, "item_id")
+        .agg(F.collect_list(F.struct("at", "places", "exact", "pairs")).alias("parts"))
+        .join(sizes, "item_id")
+        .where(F.size(met_places) >= coverage * F.col("of"))
+        .select(key, "item_id", "of", "length", "parts")
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i in range(batch.num_rows):
+                of, length, own = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                n, same = occurrence(own, length)
+                if n >= coverage * of:
+                    at.append(i)
+                    found.append((n, n / of, same))
+            kept = batch.take(pa.array(at, type=pa.int64()))
+            new = [pa.array([f[c] for f in found], type=t) for c, t in enumerate((pa.int64(), pa.float64(), pa.bool_()))]
+            names = [key, "item_id", "n_windows", "coverage", "same_values"]
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *new], names=names)
+
+    added = [("n_windows", T.LongType()), ("coverage", T.DoubleType()), ("same_values", T.BooleanType())]
+    schema = T.StructType([enough.schema[key], enough.schema["item_id"], *[T.StructField(n, t) for n, t in added]])
+    return enough.mapInArrow(run, schema)
+
 
 def contaminated(
     docs: DataFrame,

@@ -29,6 +29,17 @@ def test_reparameterised_items(spark):
     assert found(spark, docs, [ITEM, "two words", ""]) == {(0, 0): True, (1, 0): False}
 
 
+def test_other_copies_and_stray_windows_take_nothing_away(spark):
+    other = ITEM.replace("120", "75").replace("Anna", "Otto")
+    put_in = ITEM.replace("to meet", "just to meet")
+    stray = "goes 31 km to meet Bob who walks 8 km"
+    texts = [f"{ITEM}. {other}", f"{other}. {ITEM}", f"{ITEM}. {'Some other words. ' * 9}{stray}", f"{other}. {stray}", f"{put_in}. {'And so on. ' * 20}{other}"]
+    got = found(spark, table(spark, texts), [ITEM, other])
+    assert {k for k in got if k[1] == 0} == {(i, 0) for i in range(5)}
+    assert {k: v for k, v in got.items() if k[0] < 2} == {(i, j): True for i in (0, 1) for j in (0, 1)}
+    assert got[3, 0] is False and got[3, 1] is True
+
+
 def test_kinds_of_tokens():
     memory = D.Tokens()
     _, kind, template, _ = D.canonical(["Then Bob ran 5 km in May. Then he sat in a km"], memory)
