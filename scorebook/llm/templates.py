@@ -6,6 +6,9 @@ a document has an item if some occurrence in it has enough of the item's windows
 slots: one value of the item always stands for one value of the document, and the reverse.  Other
 occurrences, and stray windows with other values, take nothing from it.
 
+Windows of plain words in lower case are joined too, so a verbatim copy is found whatever stands in
+front of it and however it is cased; such a window has the item's own values in its slots.
+
 A name is a capitalised word that does not begin a sentence; a unit is a word of a fixed list next
 to a number.  Windows with fewer literal words than placeholders say too little and are left out;
 an item shorter than a window is one window, and one of fewer than ``LEAST`` words is never found.
@@ -114,6 +117,19 @@ def window_hashes(owner: np.ndarray, kind: np.ndarray, template: np.ndarray, wid
     return begin, hashed[begin]
 
 
+def plain_hashes(owner: np.ndarray, kind: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, hash) of all windows of ``width`` words as they are, in lower case."""
+    return window_hashes(owner, np.full_like(kind, LITERAL), value, width)
+
+
+def typed_hashes(owner: np.ndarray, kind: np.ndarray, template: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, hash) of the telling windows that have slots; without any they are plain ones."""
+    begin, hashed = window_hashes(owner, kind, template, width)
+    slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
+    slotted = slots[begin + width] > slots[begin]
+    return begin[slotted], hashed[slotted]
+
+
 HIT = T.ArrayType(
     T.StructType(
         [
@@ -129,12 +145,14 @@ ARROW_HIT = pa.list_(pa.struct([("hash", pa.int64()), ("begin", pa.int32()), ("s
 
 
 def item_windows(benchmark: DataFrame, *, item_id: str, text: str) -> DataFrame:
-    """(item_id, width, place, hash, slots) of every telling window of the benchmark."""
+    """(item_id, width, place, plain, hash, slots) of every telling window of the benchmark, typed
+    and as plain words."""
     schema = T.StructType(
         [
             T.StructField("item_id", benchmark.schema[item_id].dataType),
             T.StructField("width", T.IntegerType()),
             T.StructField("place", T.IntegerType()),
+            T.StructField("plain", T.BooleanType()),
             T.StructField("hash", T.LongType()),
             T.StructField("slots", T.ArrayType(T.LongType())),
         ]
@@ -149,11 +167,14 @@ def item_windows(benchmark: DataFrame, *, item_id: str, text: str) -> DataFrame:
                 width = min(WINDOW, len(owner))
                 if width < LEAST:
                     continue
-                for begin, hashed in zip(*window_hashes(owner, kind, template, width), strict=True):
-                    inside = slice(begin, begin + width)
-                    slots = value[inside][kind[inside] != LITERAL].view(np.int64).tolist()
-                    rows.append((item, width, int(begin), int(hashed.view(np.int64)), slots))
-            yield pd.DataFrame(rows, columns=["item_id", "width", "place", "hash", "slots"])
+                telling = set(window_hashes(owner, kind, template, width)[0].tolist())
+                for plain, windows in (True, plain_hashes(owner, kind, value, width)), (False, typed_hashes(owner, kind, template, width)):
+                    for begin, hashed in zip(*windows, strict=True):
+                        if int(begin) in telling:
+                            inside = slice(begin, begin + width)
+                            slots = value[inside][kind[inside] != LITERAL].view(np.int64).tolist()
+                            rows.append((item, width, int(begin), plain, int(hashed.view(np.int64)), slots))
+            yield pd.DataFrame(rows, columns=["item_id", "width", "place", "plain", "hash", "slots"])
 
     named = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
     return named.mapInPandas(run, schema)
@@ -194,11 +215,12 @@ def with_hits(docs: DataFrame, filter_: np.ndarray, widths: list[int], *, text:
                 owner, kind, template, value = canonical(texts[lo : lo + TEXTS_AT_ONCE], memory)
                 heads = np.searchsorted(owner, np.arange(TEXTS_AT_ONCE))
                 for width in widths:
-                    begin, hashed = confirmed(*window_hashes(owner, kind, template, width), bits)
-                    for b, h in zip(begin.tolist(), hashed.view(np.int64).tolist(), strict=True):
-                        inside = slice(b, b + width)
-                        slots = value[inside][kind[inside] != LITERAL].view(np.int64).tolist()
-                        hits[lo + owner[b]].append({"hash": h, "begin": b - int(heads[owner[b]]), "slots": slots})
+                    for plain, windows in (True, plain_hashes(owner, kind, value, width)), (False, typed_hashes(owner, kind, template, width)):
+                        begin, hashed = confirmed(*windows, bits)
+                        for b, h in zip(begin.tolist(), hashed.view(np.int64).tolist(), strict=True):
+                            inside = slice(b, b + width)
+                            slots = [] if plain else value[inside][kind[inside] != LITERAL].view(np.int64).tolist()
+                            hits[lo + owner[b]].append({"hash": h, "begin": b - int(heads[owner[b]]), "slots": slots})
             return (hits,)
 
         return run
@@ -270,7 +292,8 @@ def matches(hits: DataFrame, windows: DataFrame, *, key: str, coverage: float) -
         F.countDistinct("place").alias("of"), F.max(F.col("place") + F.col("width")).alias("length")
     )
     each = hits.select(F.col(key), F.explode("hits").alias("h")).select(key, "h.hash", "h.begin", F.col("h.slots").alias("d"))
-    met = each.join(windows.select("hash", "item_id", "place", F.col("slots").alias("b")), "hash")
+    met = each.join(windows.select("hash", "item_id", "place", "plain", F.col("slots").alias("b")), "hash")
+    met = met.withColumn("d", F.when(F.col("plain"), F.col("b")).otherwise(F.col("d")))
     parts = met.groupBy(key, "item_id", (F.col("begin") - F.col("place")).alias("at")).agg(
         F.collect_set("place").alias("places"),
         F.collect_set(F.when(F.col("b") == F.col("d"), F.col("place"))).alias("exact"),

@@ -40,6 +40,14 @@ def test_other_copies_and_stray_windows_take_nothing_away(spark):
     assert got[3, 0] is False and got[3, 1] is True
 
 
+def test_verbatim_copies_in_any_context_and_case(spark):
+    short, names = "What is the capital of France", "When did Maria Keller and Otto Braun meet Anna Weiss in the town of Bern"
+    texts = [f"{a}{short}" for a in ("Q: ", "so '", "- ", "(", "he said what ", "")]
+    texts += [short.lower(), short.upper(), names.lower(), names.upper(), f"Q: {names}", "What is the shape of France"]
+    want = {(i, 0): True for i in range(8)} | {(i, 1): True for i in range(8, 11)}
+    assert found(spark, table(spark, texts), [short, names]) == want
+
+
 def test_kinds_of_tokens():
     memory = D.Tokens()
     _, kind, template, _ = D.canonical(["Then Bob ran 5 km in May. Then he sat in a km"], memory)
