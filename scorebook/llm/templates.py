@@ -11,7 +11,8 @@ front of it and however it is cased; such a window has the item's own values in
 
 A name is a capitalised word that does not begin a sentence; a unit is a word of a fixed list next
 to a number.  Windows with fewer literal words than placeholders say too little and are left out;
-an item shorter than a window is one window, and one of fewer than ``LEAST`` words is never found.
+an item shorter than a window is one window.  An item without any other window, or of fewer than
+``LEAST`` words, has its plain windows alone: it is found verbatim, with its own values.
 Null and empty texts have no windows.  Repeated rows are judged row by row; other columns of the
 documents pass through, and ``hits`` takes the place of a column with its name.
 """
@@ -146,7 +147,7 @@ ARROW_HIT = pa.list_(pa.struct([("hash", pa.int64()), ("begin", pa.int32()), ("s
 
 def item_windows(benchmark: DataFrame, *, item_id: str, text: str) -> DataFrame:
     """(item_id, width, place, plain, hash, slots) of every telling window of the benchmark, typed
-    and as plain words."""
+    and as plain words; of items without any, every window as plain words."""
     schema = T.StructType(
         [
             T.StructField("item_id", benchmark.schema[item_id].dataType),
@@ -165,12 +166,15 @@ def item_windows(benchmark: DataFrame, *, item_id: str, text: str) -> DataFrame:
             for item, text_ in zip(batch["item_id"], batch["text"], strict=True):
                 owner, kind, template, value = canonical([text_ or ""], memory)
                 width = min(WINDOW, len(owner))
-                if width < LEAST:
+                if not width:
                     continue
-                telling = set(window_hashes(owner, kind, template, width)[0].tolist())
-                for plain, windows in (True, plain_hashes(owner, kind, value, width)), (False, typed_hashes(owner, kind, template, width)):
+                telling = set(window_hashes(owner, kind, template, width)[0].tolist()) if width >= LEAST else set()
+                both = [(True, plain_hashes(owner, kind, value, width))]
+                if telling:
+                    both.append((False, typed_hashes(owner, kind, template, width)))
+                for plain, windows in both:
                     for begin, hashed in zip(*windows, strict=True):
-                        if int(begin) in telling:
+                        if not telling or int(begin) in telling:
                             inside = slice(begin, begin + width)
                             slots = value[inside][kind[inside] != LITERAL].view(np.int64).tolist()
                             rows.append((item, width, int(begin), plain, int(hashed.view(np.int64)), slots))
@@ -215,7 +219,10 @@ def with_hits(docs: DataFrame, filter_: np.ndarray, widths: list[int], *, text:
                 owner, kind, template, value = canonical(texts[lo : lo + TEXTS_AT_ONCE], memory)
                 heads = np.searchsorted(owner, np.arange(TEXTS_AT_ONCE))
                 for width in widths:
-                    for plain, windows in (True, plain_hashes(owner, kind, value, width)), (False, typed_hashes(owner, kind, template, width)):
+                    both = [(True, plain_hashes(owner, kind, value, width))]
+                    if width >= LEAST:
+                        both.append((False, typed_hashes(owner, kind, template, width)))
+                    for plain, windows in both:
                         begin, hashed = confirmed(*windows, bits)
                         for b, h in zip(begin.tolist(), hashed.view(np.int64).tolist(), strict=True):
                             inside = slice(b, b + width)

@@ -48,6 +48,12 @@ def test_verbatim_copies_in_any_context_and_case(spark):
     assert found(spark, table(spark, texts), [short, names]) == want
 
 
+def test_items_without_telling_windows_are_found_verbatim(spark):
+    items = ["Compute 12 + 7 - 3 * 5", "Anna, Otto, Bern, Rome", "Five songs", "1.5 kg, 2 kg, 3 kg, 4 kg, 5 kg, 6 kg", "Yes"]
+    texts = [f"so: {i} then" for i in items] + ["Compute 12 + 8 - 3 * 5", "Anna, Otto, Bern, Oslo", "six songs", "yesterday"]
+    assert found(spark, table(spark, texts), items) == {(i, i): True for i in range(5)}
+
+
 def test_kinds_of_tokens():
     memory = D.Tokens()
     _, kind, template, _ = D.canonical(["Then Bob ran 5 km in May. Then he sat in a km"], memory)
