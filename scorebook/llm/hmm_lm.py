@@ -240,13 +240,13 @@ def vectors(
 
 
 def step(table: DataFrame, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Expected counts over all training texts of the blocks.
+    """Expected counts over all training texts of the blocks, and their log-likelihood.
 
     Every task adds up its blocks; the sums of tasks are added by Spark cell by cell, and only the
     fixed number of cells comes to the driver.
     """
     states = len(start)
-    shapes = [(states,), (states, states), emit.shape]
+    shapes = [(states,), (states, states), emit.shape, ()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -258,8 +258,8 @@ def step(table: DataFrame, start: np.ndarray, move: np.ndarray, emit: np.ndarray
                     continue
                 all_kinds = unpacked(kinds, "u2")[unpacked(places, "u4")]
                 own = all_kinds[np.repeat(known, sizes)]
-                _, found = vectors(own, sizes[known], start, move, emit, True)
-                flat = np.concatenate([f.ravel() for f in found])
+                logs, found = vectors(own, sizes[known], start, move, emit, True)
+                flat = np.concatenate([*[f.ravel() for f in found], [logs.sum()]])
                 total = flat if total is None else total + flat
         if total is not None:
             some = np.flatnonzero(total)
@@ -298,14 +298,15 @@ def scored(
     text: str = "text",
     modulus: int = 10,
     remainder: int = 0,
-    warm_blocks: int = 4,
     warm_rounds: int = 12,
     rounds: int = 2,
+    tolerance: float = 1e-3,
 ) -> DataFrame:
     """One row per document: ID, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``warm_rounds`` iterations over ``warm_blocks`` blocks give Baum-Welch its starting point;
-    ``rounds`` iterations over every training text follow.
+    Every Baum-Welch round runs over every training text, at every size.  ``warm_rounds`` lead out of
+    the flat start, at least ``rounds`` follow, until one adds less than ``tolerance`` to the
+    natural log-likelihood of a training word.
     """
     table = blocks(docs, doc_id=doc_id, text=text, modulus=modulus, remainder=remainder)
     known = stored(counted(table), "hmm-counts")
@@ -325,10 +326,14 @@ def scored(
     move = np.full((STATES, STATES), 0.02) + np.eye(STATES) * (1 - 0.02 * STATES)
     emit = shares[:, None] * rng.uniform(0.4, 1.6, (CLASSES + 1, STATES))
     emit /= emit.sum(axis=0)
-    chosen = [r["block"] for r in table.select("block").orderBy(F.xxhash64("block")).limit(warm_blocks).collect()]
-    warm = table.where(F.col("block").isin(chosen)) if chosen else table
-    for i in range(warm_rounds + rounds):
-        start, move, emit = maximised(step(warm if i < warm_rounds else table, start, move, emit), shares)
+    before, done = -np.inf, 0
+    while True:
+        *counts, reached = step(table, start, move, emit)
+        start, move, emit = maximised(tuple(counts), shares)
+        done += 1
+        if done >= warm_rounds + rounds and not reached - before >= tolerance * max(1, total):
+            break
+        before = reached
 
     inside = np.log10(n + ALPHA * (v + 1))
     base = np.log10(total + ALPHA * (distinct + 1))

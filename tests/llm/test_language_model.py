@@ -91,3 +91,19 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     docs = odd.odd_docs(spark)
     compare(H.scored(docs, warm_rounds=1, rounds=1).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
     assert H.scored(odd.empty_docs(spark), warm_rounds=1, rounds=1).count() == 0
+
+
+def test_every_round_runs_over_all_blocks_until_the_gain_is_small(spark, monkeypatch):
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('a word ', id % 7, ' and another ', id % 3) AS text")
+    rounds, step = [], H.step
+
+    def seen(table, *model):
+        found = step(table, *model)
+        rounds.append((table.count(), found[-1]))
+        return found
+
+    monkeypatch.setattr(H, "step", seen)
+    rows = H.scored(docs.repartition(8), warm_rounds=1, rounds=1, tolerance=1e-2).collect()
+    assert {n for n, _ in rounds} == {8}
+    gains = np.diff([x for _, x in rounds]) / rows[0]["train_tokens"]
+    assert gains[-1] < 1e-2 and (gains[:-1] >= 1e-2).all()
