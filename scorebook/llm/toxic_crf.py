@@ -218,7 +218,8 @@ def toxic_odds(
 
 
 def fit(sample: list[tuple[str | None, int]], most_windows: int = 8_000) -> Crf | None:
-    """The chain and the scale of the score, from (text, label) pairs."""
+    """The chain and the scale of the score, from (text, label) pairs; the chain is fitted on at most
+    ``most_windows`` windows, half of them with toxic tokens, taken by their hash."""
     texts = [WORD.findall(t or "") for t, _ in sample]
     labels = [int(y) for _, y in sample]
     if not 0 < sum(labels) < len(labels):
@@ -234,7 +235,8 @@ def fit(sample: list[tuple[str | None, int]], most_windows: int = 8_000) -> Crf
             (marked if any(piece[1]) else rest).append(piece)
     if not marked:
         return None
-    rest.sort(key=lambda piece: zlib.crc32(" ".join(piece[0]).encode("utf-8", "replace")))
+    for pieces in marked, rest:
+        pieces.sort(key=lambda piece: zlib.crc32(" ".join(piece[0]).encode("utf-8", "replace")))
     weights, transition, start = fit_chain(marked[: most_windows // 2] + rest[: most_windows // 2])
     memory = Emissions(weights)
     values = np.zeros(len(texts))
@@ -260,12 +262,16 @@ def train(
     label: str = "toxic",
     per_class: int = 1500,
     most_chars: int = 200_000,
+    most_windows: int = 8_000,
     modulus: int = 4,
     remainder: int = 2,
 ) -> Crf | None:
-    """Fit on at most ``per_class`` labelled documents of each class, of at most ``most_chars``
-    characters; both bounds limit what reaches the driver, and only learning is bounded."""
-    ids = labelled_ids(labels, label, per_class=per_class, modulus=modulus, remainder=remainder)
+    """Fit on at most ``per_class`` labelled documents of each class among those of at most
+    ``most_chars`` characters, and the chain on at most ``most_windows`` of their windows; these
+    bounds limit what reaches the driver, and only learning is bounded."""
+    short = docs.where(F.length(text) <= most_chars).select(F.col(doc_id).alias("doc_id"))
+    known = labels.join(short, "doc_id", "left_semi")
+    ids = labelled_ids(known, label, per_class=per_class, modulus=modulus, remainder=remainder)
     rows = (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         .where(F.length("text") <= most_chars)
@@ -274,7 +280,7 @@ def train(
         .toArrow().to_pandas()
         .sort_values(["doc_id", "text"])
     )
-    return fit(list(zip(rows["text"], rows["label"], strict=True)))
+    return fit(list(zip(rows["text"], rows["label"], strict=True)), most_windows)
 
 
 SPANS = T.ArrayType(

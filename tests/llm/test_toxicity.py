@@ -80,3 +80,22 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{folder}/labels.parquet")
     rows = got.join(truth, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.9
+
+
+def test_the_chain_sees_marked_windows_of_all_documents(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxic_crf, "telling", lambda *_: {"wvile"})
+    monkeypatch.setattr(toxic_crf, "fit_chain", lambda pieces: seen.extend(pieces) or ({}, np.eye(2) * 0.8 + 0.1, 0.1))
+    long = " ".join(f"vile w{i} and more plain words of a long text here" for i in range(400))
+    late = [(f"nasty {'abcdefghij'[i % 10] * (i // 10 + 2)} vile", 1) for i in range(40)]
+    toxic_crf.fit([(long, 1), *late, *[(f"a plain kind text {i}", 0) for i in range(41)]], most_windows=60)
+    assert any("nasty" in [w.lower() for w in piece[0]] for piece in seen)
+
+
+def test_long_documents_are_replaced_before_the_choice(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (50 if i % 2 else 5)) for i in range(400)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 < 2 as int) AS toxic")
+    got = []
+    monkeypatch.setattr(toxic_crf, "fit", lambda sample, *_: got.extend(sample))
+    toxic_crf.train(docs, labels, per_class=20, most_chars=10)
+    assert len(got) == 40
