@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import ann_forest, chat_roundtrip, hmm_lm, lang_hd, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
-from scorebook.llm.common import held_out, stored, table
+from scorebook.llm import ann_forest, chat_roundtrip, hmm_lm, lang_hd, merkle, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
+from scorebook.llm.common import bucket, held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,78 @@ def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
     return ann_forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per language; where 7 divides the ID's crc32, the proof is tried on a changed row."""
+    docs = table(spark, folder, "documents")
+    changed = F.col("n_chars").cast("decimal(20,0)") + 1
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    rows = docs.select(
+        merkle.group_key(F.col("lang")).alias("grp"),
+        "doc_id",
+        merkle.leaf(*fields).alias("leaf"),
+        F.when(bucket(F.col("doc_id"), 7) == 0, merkle.leaf(*fields[:3], changed, fields[4])).alias("tampered"),
+    )
+    found = merkle.manifest(rows)
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof(F.col("path")).alias("proof_sha256"),
+        merkle.refolded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(field_sql, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def tree_sql(name: str, base: str) -> str:
+    """All nodes of the trees over ``base`` (g, idx, n, h) as (g, lvl, idx, n, h)."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, idx, n, h FROM {base} UNION ALL
+  SELECT g, any_value(lvl) + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx))
+  FROM {name} WHERE n > 1 GROUP BY g, idx // 2)"""
+
+
+CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> ascii(c)::BIGINT)), lambda crc, b:
+      list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, i:
+        CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))""".replace("c -> ", "lambda c: ")
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf_sql('n_chars')} AS leaf,
+    CASE WHEN {CRC32_SQL} % 7 = 0 THEN {leaf_sql('(n_chars + 1)')} END AS tampered FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+  count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM leaves),
+{tree_sql('tree', 'placed')},
+subroots AS (SELECT g AS own, h FROM tree WHERE n = 1),
+ranked AS (SELECT '' AS g, own, row_number() OVER (ORDER BY encode(own)) - 1 AS idx, count(*) OVER () AS n, h FROM subroots),
+{tree_sql('top', 'ranked')},
+members AS (SELECT p.doc_id, p.leaf, p.tampered, p.g, p.idx, r.idx AS up, r.h AS subroot, t.h AS root,
+    row_number() OVER () AS row
+  FROM placed p JOIN ranked r ON r.own = p.g JOIN top t ON t.n = 1),
+steps AS (
+  SELECT m.row, n.lvl AS step, (m.idx >> n.lvl) % 2 AS side, coalesce(s.h, '') AS sibling
+  FROM members m JOIN tree n ON n.g = m.g AND n.n > 1 AND n.idx = m.idx >> n.lvl
+  LEFT JOIN tree s ON s.g = m.g AND s.lvl = n.lvl AND s.idx = xor(m.idx >> n.lvl, 1)
+  UNION ALL
+  SELECT m.row, 1000 + n.lvl, (m.up >> n.lvl) % 2, coalesce(s.h, '')
+  FROM members m JOIN top n ON n.n > 1 AND n.idx = m.up >> n.lvl
+  LEFT JOIN top s ON s.lvl = n.lvl AND s.idx = xor(m.up >> n.lvl, 1)),
+counted AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY step) AS k FROM steps),
+fold AS (
+  SELECT row, 0 AS k, coalesce(tampered, leaf) AS h FROM members UNION ALL
+  SELECT f.row, c.k, sha256(CASE WHEN c.side = 0 THEN f.h || c.sibling ELSE c.sibling || f.h END)
+  FROM fold f JOIN counted c ON c.row = f.row AND c.k = f.k + 1),
+proofs AS (SELECT row, string_agg(sibling, '' ORDER BY k) AS path, max(k) AS k FROM counted GROUP BY row)
+SELECT m.doc_id, m.leaf, m.subroot, m.root, sha256(coalesce(p.path, '')) AS proof_sha256, f.h AS folded_root, f.h = m.root AS verified
+FROM members m LEFT JOIN proofs p ON p.row = m.row JOIN fold f ON f.row = m.row AND f.k = coalesce(p.k, 0)
+"""
