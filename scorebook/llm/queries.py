@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import ann_forest, chat_roundtrip, hmm_lm, lang_hd, merkle, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
+from scorebook.llm import ann_forest, chat_roundtrip, fm_phrases, hmm_lm, lang_hd, merkle, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
 from scorebook.llm.common import bucket, held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,39 @@ proofs AS (SELECT row, string_agg(sibling, '' ORDER BY k) AS path, max(k) AS k F
 SELECT m.doc_id, m.leaf, m.subroot, m.root, sha256(coalesce(p.path, '')) AS proof_sha256, f.h AS folded_root, f.h = m.root AS verified
 FROM members m LEFT JOIN proofs p ON p.row = m.row JOIN fold f ON f.row = m.row AND f.k = coalesce(p.k, 0)
 """
+
+
+@query
+def op12_fm_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("lang", "text")
+    return fm_phrases.collocations(docs, group=F.col("lang")).withColumnRenamed("grp", "lang")
+
+
+UPPER = "".join(map(chr, range(65, 91)))
+
+ORACLES["op12_fm_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+said AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM said UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM said UNION ALL
+  SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM said),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+cuts AS (SELECT lang, size, phrase, w, n AS a, unnest(range(1, size)) AS k FROM candidates),
+sides AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.n AS l, t.n AS r, (1000000::HUGEINT * c.a * c.a) // (h.n::HUGEINT * t.n) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+lowest AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, n, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE size = 3),
+most AS (SELECT lang, phrase, max(n) AS n FROM inner_ GROUP BY ALL),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN most m USING (lang, phrase) WHERE m.n IS NULL OR 100 * m.n < 50 * l.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals t USING (lang) WHERE rank <= 2000
+"""
