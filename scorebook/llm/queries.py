@@ -252,14 +252,16 @@ grams AS (
   SELECT lang, 1 AS size, unnest(w) AS phrase FROM said UNION ALL
   SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM said UNION ALL
   SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM said),
-f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
 candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
-cuts AS (SELECT lang, size, phrase, w, n AS a, unnest(range(1, size)) AS k FROM candidates),
+cuts AS (SELECT lang, phrase, w, n AS a, unnest(range(1, size)) AS k FROM candidates),
+halves AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM cuts),
 sides AS (
   SELECT c.lang, c.phrase, c.a, c.k, h.n AS l, t.n AS r, (1000000::HUGEINT * c.a * c.a) // (h.n::HUGEINT * t.n) AS score
-  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.k], ' ')
-  JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+  FROM halves c JOIN f h ON h.lang = c.lang AND h.phrase = c.head
+  JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
 lowest AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_ AS (
   SELECT lang, n, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE size = 3),
