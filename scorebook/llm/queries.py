@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import ann_forest, chat_roundtrip, fm_phrases, hmm_lm, lang_hd, merkle, pieces, quality_rules, secret_owners, superminhash, templates, toxic_crf
+from scorebook.llm import ann_forest, chat_roundtrip, fm_phrases, hmm_lm, lang_hd, merkle, pieces, quality_rules, secret_owners, super_kmers, superminhash, templates, toxic_crf
 from scorebook.llm.common import bucket, held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +270,32 @@ kept AS (SELECT l.* FROM lowest l LEFT JOIN most m USING (lang, phrase) WHERE m.
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals t USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op11_super_kmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return super_kmers.deduplicated(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op11_super_kmer_dedup"] = """
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS row,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs),
+wins AS MATERIALIZED (
+  SELECT row, doc_id, unnest(range(1, len(w) - 48)) AS j,
+    unnest(list_transform(range(1, len(w) - 48), lambda i: sha256(array_to_string(w[i:i + 49], ' ')))) AS h
+  FROM docs WHERE len(w) >= 50),
+least AS MATERIALIZED (SELECT h, min(doc_id) AS lo FROM wins GROUP BY h),
+repeats AS MATERIALIZED (SELECT row, j FROM wins JOIN least USING (h) WHERE lo < doc_id),
+marked AS (
+  SELECT w.row, w.j, w.word, max(r.j) OVER (PARTITION BY w.row ORDER BY w.j ROWS UNBOUNDED PRECEDING) AS seen
+  FROM words w LEFT JOIN repeats r ON r.row = w.row AND r.j = w.j),
+cut AS (
+  SELECT row, count(*) FILTER (WHERE seen >= j - 49) AS n_removed,
+    string_agg(word, ' ' ORDER BY j) FILTER (WHERE seen IS NULL OR seen < j - 49) AS kept
+  FROM marked GROUP BY row)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_removed, 0) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN cut c ON c.row = d.row
+"""
