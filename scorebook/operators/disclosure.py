@@ -19,6 +19,9 @@ from scorebook.operators.economics import customers_of
 from scorebook.operators.quality import SEGMENT_OUTCOMES
 from scorebook.operators.tables import beside, named_rows
 
+#: Thresholds nearer than this are one threshold.
+SAME_PLACE = 1e-9
+
 # --- reasons --------------------------------------------------------------------------------------
 
 
@@ -245,7 +248,7 @@ def safe_cuts(
     Left to right, a cut is taken as soon as enough rows of each outcome lie behind it and
     before the next required one.  The walk is a fold over the basis' at most 101 cuts, one
     per key, so many segments are cut in one job.  ``forbidden`` names steps (low, high; a
-    null high is the top) other publications rule out.
+    null high is the top; with the keys, if there are any) other publications rule out.
     """
     options = [
         [*required, *chosen]
@@ -267,10 +270,9 @@ def safe_cuts(
         ).alias("cuts")
     )
     if forbidden is not None:
-        banned = forbidden.agg(
-            F.collect_set(F.struct("low", F.coalesce("high", F.lit(2.0)).alias("high"))).alias("banned")
-        )
-        rows = beside(rows, banned)
+        step = F.struct("low", F.coalesce("high", F.lit(2.0)).alias("high"))
+        banned = forbidden.groupBy(*keys).agg(F.collect_set(step).alias("banned"))
+        rows = rows.join(banned, list(keys), "left") if keys else beside(rows, banned)
     else:
         rows = rows.withColumn("banned", F.lit(None).cast("array<struct<low:double,high:double>>"))
     rows = rows.select("*", F.inline(wanted)).withColumn("k", F.size("cuts"))
@@ -351,116 +353,135 @@ def churner_range(points: DataFrame, positives: Column, decimals: int = 2) -> Da
     )
 
 
-def pieces(basis: DataFrame, stated: DataFrame) -> DataFrame:
-    """The score pieces an outsider reads from own cuts and thresholds stated elsewhere together.
+def line_of(df: DataFrame, name: str, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Per key, the rows as one array in the order of their thresholds."""
+    row = F.struct("threshold", *fields)
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias(name))
 
-    ``stated`` is (threshold, flagged, low, high): exact flagged counts, churners as a range.
-    Where both have a cut the own counts are exact.  Each piece carries the fewest churners
-    and stayers it may hold, and whether it is this publication's to answer for.
-    """
-    own = basis.select(
-        "threshold",
-        (F.col("true_positives") + F.col("false_positives")).alias("flagged"),
-        F.col("true_positives").alias("low"),
-        F.col("true_positives").alias("high"),
-        F.lit(True).alias("own"),
-    )
-    place = F.round(F.col("threshold") * 1e9).cast("bigint")
-    others = (
-        stated.select("threshold", "flagged", "low", "high", F.lit(False).alias("own"))
-        .withColumn("__p", place)
-        .join(own.select(place.alias("__p")), "__p", "left_anti")
-        .drop("__p")
-    )
-    line = Window.orderBy("threshold")
-    edges = own.unionByName(others).withColumns(
+
+def both_lines(basis: DataFrame, stated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key, own cuts and stated thresholds as two arrays of edges."""
+    own = basis.withColumns(
         {
-            "to": F.lead("threshold").over(line),
-            "b_flagged": F.coalesce(F.lead("flagged").over(line), F.lit(0)),
-            "b_low": F.coalesce(F.lead("low").over(line), F.lit(0)),
-            "b_high": F.coalesce(F.lead("high").over(line), F.lit(0)),
-            "b_own": F.coalesce(F.lead("own").over(line), F.lit(False)),
+            "flagged": F.col("true_positives") + F.col("false_positives"),
+            "low": F.col("true_positives"),
+            "high": F.col("true_positives"),
         }
     )
-    answers = (F.col("own") & (F.col("threshold") != 0.0)) | F.col("b_own")
-    return edges.select(
-        F.col("threshold").alias("from"),
-        "to",
-        (F.col("low") - F.col("b_high")).alias("churners"),
-        ((F.col("flagged") - F.col("high")) - (F.col("b_flagged") - F.col("b_low"))).alias("stayers"),
+    fields = ("flagged", "low", "high")
+    cuts, others = line_of(own, "own", fields, keys), line_of(stated, "stated", fields, keys)
+    rows = cuts.join(others, list(keys), "left") if keys else beside(cuts, others)
+    empty = F.array().cast("array<struct<threshold:double,flagged:bigint,low:bigint,high:bigint>>")
+
+    own_rows = F.transform("own", lambda o: edge(o["threshold"], *[o[f].cast("bigint") for f in fields]))
+    known = F.transform(F.coalesce("stated", empty), lambda s: edge(s["threshold"], *[s[f].cast("bigint") for f in fields]))
+    return rows.where(F.size("own") > 0).select(*keys, own_rows.alias("own"), known.alias("stated"))
+
+
+def edge(threshold: Column, flagged: Column, low: Column, high: Column) -> Column:
+    return F.struct(threshold.alias("threshold"), flagged.alias("flagged"), low.alias("low"), high.alias("high"))
+
+
+def between(upper: Column, lower: Column) -> tuple[Column, Column]:
+    """The fewest churners and stayers that a piece from one edge to the next may hold."""
+    churners = upper["low"] - lower["high"]
+    stayers = (upper["flagged"] - upper["high"]) - (lower["flagged"] - lower["low"])
+    return churners, stayers
+
+
+def pieces(basis: DataFrame, stated: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The score pieces an outsider reads from own cuts and thresholds stated elsewhere together.
+
+    ``stated`` is (keys, threshold, flagged, low, high): exact flagged counts, churners as a
+    range.  Where both have a cut the own counts are exact.  Each piece carries the fewest
+    churners and stayers it may hold, and whether it is this publication's to answer for.
+    """
+    lines = both_lines(basis, stated, keys)
+
+    def at_own(s: Column) -> Column:
+        return F.exists("own", lambda o: F.abs(o["threshold"] - s["threshold"]) <= SAME_PLACE)
+
+    lines = lines.withColumn("stated", F.filter("stated", lambda s: ~at_own(s)))
+
+    def marked(name: str, own: bool) -> Column:
+        return F.transform(name, lambda e: F.struct(e["threshold"].alias("threshold"), F.lit(own).alias("own"), e.alias("e")))
+
+    merged = lines.select(*keys, F.array_sort(F.concat(marked("own", True), marked("stated", False))).alias("edges"))
+    top = edge(F.lit(None).cast("double"), *[F.lit(0).cast("bigint")] * 3)
+    last = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("own"), top.alias("e"))
+    steps = F.transform(
+        F.sequence(F.lit(0), F.size("edges") - 1),
+        lambda i: F.struct(F.get("edges", i).alias("a"), F.coalesce(F.get("edges", i + 1), last).alias("b")),
+    )
+    each = merged.select(*keys, F.explode(steps).alias("s")).select(*keys, "s.a", "s.b")
+    churners, stayers = between(F.col("a")["e"], F.col("b")["e"])
+    answers = (F.col("a")["own"] & (F.col("a")["threshold"] != 0.0)) | F.col("b")["own"]
+    return each.select(
+        *keys,
+        F.col("a")["threshold"].alias("from"),
+        F.col("b")["threshold"].alias("to"),
+        churners.alias("churners"),
+        stayers.alias("stayers"),
         answers.alias("answers"),
     )
 
 
-def legacy_holds(basis: DataFrame, stated: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
-    """Whether own cuts, read with the stated ones, cut no piece the rule forbids."""
+def legacy_holds(
+    basis: DataFrame, stated: DataFrame, minimum: int = MIN_CELL, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Whether own cuts, read with the stated ones, cut no piece the rule forbids (per key)."""
     thin = (F.col("churners") < minimum) | (F.col("stayers") < minimum)
-    return pieces(basis, stated).agg(
+    return pieces(basis, stated, keys).groupBy(*keys).agg(
         F.coalesce(~F.bool_or(thin & F.col("answers")), F.lit(True)).alias("holds")
     )
 
 
-def forbidden_steps(basis: DataFrame, stated: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
+def forbidden_steps(
+    basis: DataFrame, stated: DataFrame, minimum: int = MIN_CELL, keys: Sequence[str] = ()
+) -> DataFrame:
     """Steps between two grid cuts that stated thresholds inside them split too thinly.
 
-    For ``safe_cuts``: one row per (low, high), a null high being the top.  The steps are
-    those of a grid of at most 101 cuts.
+    For ``safe_cuts``: one row per (keys, low, high), a null high being the top.  The steps are
+    those of a grid of at most 101 cuts per key; thresholds are compared as they stand, on the
+    grid or off it, and one that lies at a grid cut still splits the steps that pass over that
+    cut.  Of the pieces of a step only the first and the last touch an own cut and are this
+    publication's, so each step looks at its outermost stated thresholds alone.
     """
-    place = F.round(F.col("threshold") * 100).cast("int")
-    exact = basis.select(
-        place.alias("p"), "threshold", F.col("true_positives").alias("tp"),
-        (F.col("true_positives") + F.col("false_positives")).alias("flagged"),
-    )
-    grid = exact.agg(F.array_sort(F.collect_list("p")).alias("grid"))
-    lows = beside(exact, grid).select(
-        F.col("p").alias("i"),
-        F.explode(F.array_append(F.filter("grid", lambda x: x > F.col("p")), F.lit(1000))).alias("j"),
-    )
-    inner = stated.select(
-        place.alias("p"),
-        F.struct(F.col("flagged"), F.col("low"), F.col("high")).alias("known"),
-    )
-    names = inner.agg(
-        F.array_sort(F.collect_list(F.struct("p", "known"))).alias("stated")
-    )
-    own = exact.select(
-        F.col("p").alias("q"),
-        F.struct(F.col("flagged"), F.col("tp").alias("low"), F.col("tp").alias("high")).alias("at"),
-    )
-    top = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("flagged", "low", "high")])
-    steps = (
-        beside(lows, names)
-        .join(own.withColumnsRenamed({"q": "i", "at": "first"}), "i")
-        .join(own.withColumnsRenamed({"q": "j", "at": "last"}), "j", "left")
-        .withColumn("last", F.coalesce("last", top))
-        .withColumn(
-            "inside",
-            F.transform(
-                F.filter("stated", lambda s: (s.getField("p") > F.col("i")) & (s.getField("p") < F.col("j"))),
-                lambda s: s.getField("known"),
-            ),
-        )
+    lines = both_lines(basis, stated, keys)
+
+    # How many stated thresholds lie below each own cut, and how many below it or at it.
+    below = F.transform(
+        "own", lambda o: F.size(F.filter("stated", lambda s: s["threshold"] < o["threshold"] - SAME_PLACE))
+    )
+    upto = F.transform(
+        "own", lambda o: F.size(F.filter("stated", lambda s: s["threshold"] <= o["threshold"] + SAME_PLACE))
+    )
+    top = edge(F.lit(None).cast("double"), *[F.lit(0).cast("bigint")] * 3)
+    lines = lines.withColumns({"below": below, "passed": upto, "n": F.size("own")})
+    first = lines.select("*", F.posexplode("own").alias("i", "a"))
+    steps = first.select("*", F.explode(F.sequence(F.col("i") + 1, F.col("n"))).alias("j"))
+    at_top = F.col("j") == F.col("n")
+    steps = steps.withColumns(
+        {
+            "b": F.coalesce(F.get("own", F.col("j")), top),
+            "from_": F.get("passed", F.col("i")),
+            "upto": F.when(at_top, F.size("stated")).otherwise(F.get("below", F.col("j"))),
+        }
     )
-    edges = F.concat(F.array("first"), F.col("inside"), F.array("last"))
-    steps = steps.withColumn("edges", edges)
+    inside = F.col("upto") > F.col("from_")
+    head = F.when(inside, F.get("stated", F.col("from_"))).otherwise(F.col("b"))
+    tail = F.when(inside, F.get("stated", F.col("upto") - 1)).otherwise(F.col("a"))
 
-    def thin(k: Column) -> Column:
-        a, b = F.get("edges", k), F.get("edges", k + 1)
-        churners = a.getField("low") - b.getField("high")
-        stayers = (a.getField("flagged") - a.getField("high")) - (
-            b.getField("flagged") - b.getField("low")
-        )
-        is_first = (k == 0) & (F.col("i") != 0)
-        is_last = (k == F.size("edges") - 2) & (F.col("j") != 1000)
-        return ((churners < minimum) | (stayers < minimum)) & (is_first | is_last)
+    def thin(upper: Column, lower: Column) -> Column:
+        churners, stayers = between(upper, lower)
+        return (churners < minimum) | (stayers < minimum)
 
-    broken = F.exists(F.sequence(F.lit(0), F.size("edges") - 2), thin)
-    by_place = exact.select(F.col("p"), F.col("threshold"))
-    return (
-        steps.where(broken)
-        .join(by_place.withColumnsRenamed({"p": "i", "threshold": "low"}), "i")
-        .join(by_place.withColumnsRenamed({"p": "j", "threshold": "high"}), "j", "left")
-        .select("low", "high")
+    own_first = F.col("a")["threshold"] != 0.0
+    broken = (thin(F.col("a"), head) & (own_first | (~inside & ~at_top))) | (
+        thin(tail, F.col("b")) & (~at_top | (~inside & own_first))
+    )
+    return steps.where(broken).select(
+        *keys, F.col("a")["threshold"].alias("low"), F.col("b")["threshold"].alias("high")
     )
 
 

@@ -12,7 +12,7 @@ from scorebook.operators import joint as J
 from scorebook.operators import quality as Q
 from scorebook.operators import segments as S
 from scorebook.operators.prefix import medians
-from scorebook.operators.tables import named_rows
+from scorebook.operators.tables import beside, named_rows
 from scorebook.plans import books
 from scorebook.plans.quality_queries import BASIS, CELLS, VALID, basis_sql, validation_basis
 from scorebook.plans.registry import (
@@ -286,6 +286,57 @@ def cuts_safe_with_stated(spark, folder):
     return D.legacy_holds(D.basis_on(basis, cuts), stated)
 
 
+# Thresholds off the grid of cuts, some just above or below a cut, so the step between is thin.
+OFF_GRID = (0.0451, 0.1234, 0.2003, 0.2897, 0.3499, 0.405)
+
+
+def off_grid_points(spark, folder):
+    """What lies at or above ``OFF_GRID``: flagged rows exactly, churners to within three."""
+    rows = lines(spark, folder)
+    at = F.explode(F.array(*[F.lit(t) for t in OFF_GRID])).alias("threshold")
+    known = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("returned").alias("k"))
+    each = known.select("*", at).where(F.col("score") >= F.col("threshold"))
+    sums = each.groupBy("threshold").agg(F.sum("n").alias("flagged"), F.sum("k").alias("k"))
+    return sums.select(
+        "threshold", "flagged", F.greatest(F.col("k") - 3, F.lit(0)).alias("low"), F.least(F.col("k") + 3, F.col("flagged")).alias("high")
+    )
+
+
+OFF_GRID_SQL = f"""stated AS (SELECT threshold, CAST(n AS BIGINT) AS flagged, greatest(CAST(k AS BIGINT) - 3, 0) AS low, least(CAST(k AS BIGINT) + 3, n) AS high
+  FROM (SELECT t.threshold, count(*) AS n, sum(l.returned) AS k FROM lines l JOIN
+    (SELECT unnest([{", ".join(f"{t!r}e0" for t in OFF_GRID)}]) AS threshold) t ON l.score >= t.threshold GROUP BY t.threshold))"""
+
+
+@query(
+    "g12_steps_forbidden_off_the_grid",
+    f"""WITH {LINES_BASIS}, {OFF_GRID_SQL},
+own AS (SELECT threshold AS t, true_positives + false_positives AS flagged, true_positives AS low, true_positives AS high FROM basis
+  UNION ALL SELECT 2.0e0, 0, 0, 0),
+steps AS (SELECT a.t AS a, b.t AS b FROM own a JOIN own b ON a.t < b.t),
+edges AS (
+  SELECT s.a, s.b, o.t, o.flagged, o.low, o.high FROM steps s JOIN own o ON o.t IN (s.a, s.b) UNION ALL
+  SELECT s.a, s.b, x.threshold, x.flagged, x.low, x.high FROM steps s JOIN stated x ON x.threshold > s.a + 1e-9 AND x.threshold < s.b - 1e-9),
+pieces AS (
+  SELECT a, b, t, lead(t) OVER w AS t2, low - lead(high) OVER w AS churners,
+    (flagged - high) - (lead(flagged) OVER w - lead(low) OVER w) AS stayers FROM edges WINDOW w AS (PARTITION BY a, b ORDER BY t))
+SELECT DISTINCT a AS low, CASE WHEN b < 2 THEN b END AS high FROM pieces
+WHERE t2 IS NOT NULL AND (churners < 20 OR stayers < 20) AND ((t = a AND a <> 0) OR (t2 = b AND b < 2))""",
+    "lines",
+)
+def steps_forbidden_off_the_grid(spark, folder):
+    return D.forbidden_steps(lines_basis(spark, folder), off_grid_points(spark, folder))
+
+
+@query("g11_safe_cuts_beside_off_grid_ones")
+def safe_cuts_off_the_grid(spark, folder):
+    """The cuts to publish beside thresholds off the grid, and whether the two together keep the rule."""
+    basis = durable(lines_basis(spark, folder))
+    stated = durable(off_grid_points(spark, folder))
+    cuts = D.safe_cuts(basis, minimum=20, forbidden=D.forbidden_steps(basis, stated))
+    holds = D.legacy_holds(D.basis_on(basis, cuts), stated)
+    return beside(cuts, holds)
+
+
 PRINTED = "SELECT cut, threshold, true_positives + false_positives AS flagged, round(true_positives / CAST(true_positives + false_positives AS DOUBLE), 2) AS precision, round(true_positives / CAST(true_positives + false_negatives AS DOUBLE), 2) AS recall, true_positives + false_negatives AS positives FROM basis WHERE cut % 10 = 0 AND true_positives + false_positives > 0"
 
 

@@ -132,9 +132,76 @@ def test_stated_thresholds_forbid_thin_steps(spark):
     got = sorted(round(r[0], 2) for r in cuts.collect())
     assert D.legacy_holds(D.basis_on(basis, cuts), stated, MIN).first()[0]
     assert len(got) > 2
-    # The same steps without the ban: a cut just above the stated one would give the piece away.
-    wrong = named_rows(spark, "threshold double, flagged bigint, low bigint, high bigint", [(0.05, 90, 40, 41)])
-    assert not D.legacy_holds(X.at_cuts(basis, [0.0, 0.04, 0.05, 0.06]), wrong, MIN).first()[0]
+    # At an own cut the own counts are exact, whatever is stated there.
+    same = named_rows(spark, "threshold double, flagged bigint, low bigint, high bigint", [(0.05, 90, 40, 41)])
+    assert D.legacy_holds(X.at_cuts(basis, [0.0, 0.04, 0.05, 0.06]), same, MIN).first()[0]
+
+
+@pytest.mark.parametrize("at", [0.045, 0.041, 0.0499])
+def test_stated_thresholds_off_the_grid(spark, at):
+    rows = [(i, i * 0.01, 100 - 10 * i, 100 - 10 * i, 10 * i, 0.0) for i in range(10)]
+    schema = "cut int, threshold double, true_positives bigint, false_positives bigint, false_negatives bigint, flagged_churner_charges double"
+    basis = named_rows(spark, schema, rows)
+    # Two rows of each outcome lie between the stated threshold and the cut at 0.05.
+    stated = named_rows(spark, "threshold double, flagged bigint, low bigint, high bigint", [(at, 104, 52, 52)])
+    steps = D.forbidden_steps(basis, stated, MIN)
+    assert {(round(r[0], 2), r[1] and round(r[1], 2)) for r in steps.collect()} >= {(0.04, 0.05), (0.03, 0.05)}
+    cuts = D.safe_cuts(basis, minimum=MIN, forbidden=steps)
+    got = sorted(round(r[0], 2) for r in cuts.collect())
+    assert 0.05 not in got and len(got) > 2
+    assert D.legacy_holds(D.basis_on(basis, cuts), stated, MIN).first()[0]
+    assert not D.legacy_holds(X.at_cuts(basis, [0.0, 0.04, 0.05, 0.06]), stated, MIN).first()[0]
+
+
+def plain_step(cuts, stated, i, j):
+    """Whether the pieces between two cuts (the top is None) keep the rule, edge by edge."""
+    low, high = cuts[i][0], None if j is None else cuts[j][0]
+    exact = {c[0]: (c[1] + c[2], c[1], c[1]) for c in cuts}
+    inner = [s for s in sorted(stated) if s[0] > low + 1e-9 and (high is None or s[0] < high - 1e-9)]
+    edges = [(low, *exact[low]), *inner, (None, 0, 0, 0) if high is None else (high, *exact[high])]
+    for a, b in itertools.pairwise(edges):
+        churners, stayers = a[2] - b[3], (a[1] - a[3]) - (b[1] - b[2])
+        own = (a[0] == low and low != 0.0) or (b[0] is not None and b[0] == high)
+        if min(churners, stayers) < MIN and own:
+            return False
+    return True
+
+
+def test_many_books_are_cut_beside_their_own_stated_thresholds(spark):
+    rng = random.Random(41)
+    basis, stated, plain = [], [], {}
+    for seed in range(50):
+        tp, fp, cuts, points = 0, 0, [], []
+        for k in reversed(range(12)):
+            if rng.random() < 0.5:
+                exact = (tp + rng.randint(0, 9), fp + rng.randint(0, 9))
+                slack = rng.choice([0, 0, 1, 3])
+                at = 0.01 * k + rng.choice([0.0051, 0.0001, 0.01 - 1e-10, 0.0099])
+                points.append((at, sum(exact), max(exact[0] - slack, 0), min(exact[0] + slack, sum(exact))))
+                tp, fp = exact
+            tp, fp = tp + rng.randint(0, 12), fp + rng.randint(0, 12)
+            cuts.append((0.01 * k, tp, fp))
+        cuts.sort()
+        basis += [(seed, i, t, a, b, tp - a, 0.0) for i, (t, a, b) in enumerate(cuts)]
+        stated += [(seed, *p) for p in points]
+        plain[seed] = (cuts, points)
+    schema = "seed int, cut int, threshold double, true_positives bigint, false_positives bigint, false_negatives bigint, flagged_churner_charges double"
+    books = named_rows(spark, schema, basis)
+    known = named_rows(spark, "seed int, threshold double, flagged bigint, low bigint, high bigint", stated)
+    steps = D.forbidden_steps(books, known, MIN, keys=["seed"])
+    got = {(r["seed"], r["low"], r["high"]) for r in steps.collect()}
+    want = set()
+    for seed, (cuts, points) in plain.items():
+        for i in range(len(cuts)):
+            for j in [*range(i + 1, len(cuts)), None]:
+                if not plain_step(cuts, points, i, j):
+                    want.add((seed, cuts[i][0], None if j is None else cuts[j][0]))
+    assert got == want
+    chosen = D.safe_cuts(books, minimum=MIN, forbidden=steps, keys=["seed"])
+    held = D.legacy_holds(D.basis_on(books, chosen, ["seed"]), known, MIN, keys=["seed"]).collect()
+    assert len(held) > 20 and all(r["holds"] for r in held)
+    free = D.basis_on(books, D.safe_cuts(books, minimum=MIN, keys=["seed"]), ["seed"])
+    assert not all(r["holds"] for r in D.legacy_holds(free, known, MIN, keys=["seed"]).collect())
 
 
 @pytest.mark.parametrize("tp", [3, 40, 77])

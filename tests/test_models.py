@@ -49,7 +49,7 @@ def test_training_takes_no_test_rows_and_learns(spark, rows):
     train, held = rows.where("id % 4 <> 0"), rows.where("id % 4 = 0")
     out = M.train_all(
         train, held, INPUTS, keys=("dummy", "logistic_regression"), folds=2,
-        grids={"logistic_regression": {"regParam": [0.01]}},
+        grids={"logistic_regression": {"regParam": [0.01]}}, calibration="sigmoid",
     )
     assert out.key == "logistic_regression"
     assert out.validation["roc_auc"] > 0.6
