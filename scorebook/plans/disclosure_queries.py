@@ -9,6 +9,7 @@ from scorebook.functions import fixed
 from scorebook.operators import disclosure as D
 from scorebook.operators import economics as X
 from scorebook.operators import joint as J
+from scorebook.operators import publish as P
 from scorebook.operators import quality as Q
 from scorebook.operators import segments as S
 from scorebook.operators.prefix import medians
@@ -19,7 +20,7 @@ from scorebook.plans.registry import (
     SHOWN, THRESHOLD, book, docs, keeps_sql, lines, query, ratio_sql, rounded, shown, train, validation,
 )
 from scorebook.plans.segment_queries import DIMS, TRAIN, cells_sql
-from scorebook.session import durable
+from scorebook.session import durable, scratch_path
 
 JOINT = {k: books.DIMENSIONS[k] for k in ("segment", "region", "in_debit", "tenure_bucket")}
 ALWAYS_HIDDEN = {"region": ("EUROPE",)}
@@ -745,3 +746,109 @@ def publish_gate(spark, folder):
         F.lit("a group can be differenced").alias("check"), F.col("low").cast("string").alias("at")
     )
     return hides_more.unionByName(differenced).unionByName(D.integrity(basis=basis))
+
+
+# --- publications ---------------------------------------------------------------------------------------
+
+LINE_DIMENSIONS = ("l_linestatus", "ship_year", "quantity_band")
+
+
+def offer_sql(cuts: str = "TRUE", minimum: int = 20) -> str:
+    """``cuts_to_publish`` as SQL: the walk for each way to keep the peak and one half, the first
+    that reaches the top.  Number 101 stands for the top, which every walk has to step to."""
+    def enough(a: str, b: str) -> str:
+        return f"{a}.tp - {b}.tp >= {minimum} AND {a}.fp - {b}.fp >= {minimum}"
+
+    return f"""own AS (SELECT * FROM basis WHERE {cuts}),
+worth AS (SELECT cut, threshold, 0.65e0 * 0.3e0 * 12 * flagged_churner_charges - 50 * (true_positives + false_positives) AS net FROM own),
+best AS (SELECT cut AS peak FROM worth ORDER BY net DESC, threshold LIMIT 1),
+pts AS (SELECT cut, true_positives AS tp, false_positives AS fp FROM own UNION ALL SELECT 101, 0, 0),
+options AS (SELECT 0 AS o, [29, peak, 50, 101] AS stops FROM best UNION ALL SELECT 1, [29, peak, 101] FROM best
+  UNION ALL SELECT 2, [29, 50, 101] UNION ALL SELECT 3, [29, 101]),
+nxt AS (SELECT p.o, w.cut, min(b.cut) AS nx FROM options p, pts w, pts b, pts s
+  WHERE s.cut = list_min(list_filter(p.stops, lambda x: x > w.cut)) AND b.cut > w.cut AND b.cut <= s.cut AND {enough('w', 'b')}
+    AND (b.cut = s.cut OR ({enough('b', 's')})) GROUP BY p.o, w.cut),
+walk AS (SELECT o, 0 AS cut FROM options UNION ALL SELECT nxt.o, nxt.nx FROM walk JOIN nxt ON nxt.o = walk.o AND nxt.cut = walk.cut),
+kept AS (SELECT cut FROM walk WHERE cut < 101 AND o = (SELECT min(o) FROM walk WHERE cut = 101)),
+cuts AS (SELECT b.*, coalesce(lead(b.threshold) OVER (ORDER BY b.cut), 1.0e0) AS high FROM own b JOIN kept USING (cut))"""
+
+
+ON_CUTS = """SELECT c.threshold AS low, c.high, c.true_positives, c.false_positives, c.false_negatives,
+  (SELECT count(*) FROM lines l WHERE l.score >= c.threshold AND (l.score < c.high OR c.high = 1)) AS customers,
+  (SELECT CAST(sum(l.returned) AS BIGINT) FROM lines l WHERE l.score >= c.threshold AND (l.score < c.high OR c.high = 1)) AS churned
+FROM cuts c"""
+
+
+def on_cuts(publication: P.Publication):
+    """A publication's sweep and bins side by side."""
+    place = F.round(F.col("low") * 100).cast("int")
+    bins = publication.reliability.select(place.alias("cut"), "low", "high", "customers", "churned")
+    sums = publication.basis.select("cut", "true_positives", "false_positives", "false_negatives")
+    return bins.join(sums, "cut").drop("cut")
+
+
+def line_publication(spark, folder):
+    rows = lines(spark, folder).withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return P.figures_on_safe_cuts(
+        rows, LINE_DIMENSIONS, score="score", label="returned", amount="amount", id="line", threshold=0.29
+    )
+
+
+@query("g22_figures_on_safe_cuts", f"WITH RECURSIVE {LINES_BASIS}, {offer_sql()} {ON_CUTS}", "lines")
+def figures_on_safe_cuts(spark, folder):
+    """The sweep and its bins on the cuts that may be published beside the served one."""
+    return on_cuts(line_publication(spark, folder))
+
+
+OLD_CUTS = (0.0, 0.05, 0.11, 0.2, 0.29, 0.35, 0.41, 0.5, 0.55)
+
+
+def old_publication(spark, folder):
+    """What an earlier release, under looser rules, left behind: aggregates only."""
+    basis = durable(X.at_cuts(lines_basis(spark, folder), OLD_CUTS))
+    # The bins lie between the sweep's own thresholds, to the last bit.
+    cuts = sorted(r["threshold"] for r in basis.select("threshold").collect())
+    return P.Publication(
+        basis=basis,
+        reliability=durable(Q.reliability_on(lines(spark, folder), score="score", label="returned", cuts=cuts)),
+    )
+
+
+@query(
+    "g21_republished_from_its_own_tables",
+    f"WITH RECURSIVE {LINES_BASIS}, {offer_sql('cut IN (0, 5, 11, 20, 29, 35, 41, 50, 55)', 100)} {ON_CUTS}",
+    "lines",
+)
+def republished_from_its_own_tables(spark, folder):
+    """An old release under a stricter rule: cuts dropped and bins summed, from its own tables."""
+    return on_cuts(P.republished(old_publication(spark, folder), threshold=0.29, minimum=100))
+
+
+@query("g23_published_and_read_back", f"WITH RECURSIVE {LINES_BASIS}, {offer_sql()} {ON_CUTS}", "lines")
+def published_and_read_back(spark, folder):
+    """A publication through the gate: written, audited as written, committed, read by its commit."""
+    path = scratch_path(spark, "publication")
+    P.publish(spark, line_publication(spark, folder), path)
+    return on_cuts(P.published(spark, path))
+
+
+@query(
+    "g23_refused_with_findings",
+    f"""WITH {BASIS}, {runs_sql('0, 5, 6, 11, 29, 41')}
+SELECT 'a group can be differenced' AS "check", CAST(low AS VARCHAR) AS at FROM v
+UNION ALL SELECT 'the operating point is not the sweep at its cut', '0.11' FROM (SELECT 1 FROM book LIMIT 1)""",
+    "book",
+)
+def refused_with_findings(spark, folder):
+    """A sweep on cuts too close together, with a changed operating point: why it is not published."""
+    rows = validation(spark, folder)
+    cuts = (0.0, 0.05, 0.06, 0.11, 0.29, 0.41)
+    metrics = Q.confusion(rows, score="score", label="churn", threshold=0.11).withColumns(
+        {"fp": F.col("fp") + 1, "tn": F.col("tn") - 1, "threshold": F.lit(0.11)}
+    )
+    thin = P.Publication(basis=X.at_cuts(validation_basis(spark, folder), cuts), metrics=Q.with_rates(metrics))
+    try:
+        P.publish(spark, thin, scratch_path(spark, "publication"))
+    except P.Refused as refused:
+        return named_rows(spark, "check string, at string", refused.findings)
+    return spark.createDataFrame([], "check string, at string")
