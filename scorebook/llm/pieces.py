@@ -31,8 +31,10 @@ from scorebook.llm.common import slices, without
 BLANK = "▁"
 #: A run of blanks and what follows it; a line break; a literal blank sign; other text.
 UNIT = re.compile(rf" +[^ \n{BLANK}]*|\n|{BLANK}|[^ \n{BLANK}]+")
-#: Distinct units after which a worker forgets the pieces of those it has met.
-REMEMBERED = 200_000
+#: Bytes of units and their pieces after which a worker forgets those it has met.
+REMEMBERED = 32 << 20
+#: What a unit takes besides its signs and its pieces.
+BESIDES = 180
 #: Code points below which a sign is in the tables, longest unit that walks them, cells of one walk.
 LATIN = 0x180
 LONG = 48
@@ -174,6 +176,7 @@ class Segmenter(dict):
 
     def __init__(self, words: Vocabulary):
         super().__init__()
+        self.held = 0
         self.bytes_ = words.bytes_
         self.walk = Walk(words)
         self.automaton = ahocorasick.Automaton()
@@ -186,17 +189,24 @@ class Segmenter(dict):
         ids = self.in_bytes(BLANK) if unit == BLANK else self.best(unit.replace(" ", BLANK))
         packed = array("i", ids).tobytes()
         self[unit] = packed
+        self.held += BESIDES + len(unit) + len(packed)
         return packed
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def packed_all(self, texts: list[str | None]) -> list[bytes | None]:
         """The packed pieces of every text; units not met before are segmented together first."""
         rows = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if len(self) >= REMEMBERED:
-            self.clear()
+        if self.held >= REMEMBERED:
+            self.forget()
         new = {u for row in rows for u in row}.difference(self)
         ready = {u: u.replace(" ", BLANK) for u in new if u != BLANK}
         fitting = [u for u, plain in ready.items() if self.walk.fits(plain)]
-        self.update(zip(fitting, self.walk.best([ready[u] for u in fitting]), strict=True))
+        for unit, packed in zip(fitting, self.walk.best([ready[u] for u in fitting]), strict=True):
+            self[unit] = packed
+            self.held += BESIDES + len(unit) + len(packed)
         return [None if t is None else b"".join(map(self.__getitem__, row)) for t, row in zip(texts, rows, strict=True)]
 
     def in_bytes(self, text: str) -> list[int]:
@@ -228,32 +238,53 @@ class Segmenter(dict):
         return [i for part in reversed(parts) for i in part]
 
 
-def encoded(docs: DataFrame, words: Vocabulary, *, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``pieces``, the IDs of each whole text."""
-    docs = without(docs, "pieces")
-    kept = [c for c in docs.columns if keep_text or c != text]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("pieces", T.ArrayType(T.IntegerType(), False))])
+def encoded(
+    docs: DataFrame, words: Vocabulary, *, text: str = "text", keep_text: bool = True, back: str | None = None, same: str | None = None
+) -> DataFrame:
+    """``docs`` with ``pieces``, the IDs of each whole text.
+
+    The same pass decodes again where asked to: ``back`` names a column for the text that the
+    pieces give back (the text's own name replaces it), ``same`` one for whether it is the text.
+    """
+    extra = [c for c in (back, same) if c is not None and c != text]
+    docs = without(docs, "pieces", *extra)
+    kept = [c for c in docs.columns if c != text or (keep_text and back != text)]
+    added = [T.StructField("pieces", T.ArrayType(T.IntegerType(), False))]
+    added += [T.StructField(back, T.StringType())] if back else []
+    added += [T.StructField(same, T.BooleanType())] if same else []
+    schema = T.StructType([*[docs.schema[c] for c in kept], *added])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(words)
+        decoder = Decoder(words) if back or same else None
         for whole in batches:
             place = whole.schema.get_field_index(text)
             lengths = pc.utf8_length(whole.column(place)).fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(lengths, CHARS_AT_ONCE):
                 batch = whole.slice(lo, hi - lo)
-                packed = segmenter.packed_all(batch.column(place).to_pylist())
-                sizes = np.array([0 if p is None else len(p) // 4 for p in packed], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                values = np.frombuffer(b"".join(p for p in packed if p), dtype=np.int32)
-                pieces = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(values), mask=pa.array([p is None for p in packed])
-                )
-                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pieces], names=[*kept, "pieces"])
+                pieces = listed(segmenter.packed_all(batch.column(place).to_pylist()))
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pieces]
+                if decoder:
+                    texts = decoder.texts(pieces)
+                    columns += [texts] if back else []
+                    columns += [pc.equal(texts, batch.column(place)).fill_null(True)] if same else []
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        # Workers serve other tasks next: what this one took goes back.
+        segmenter.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
 
+def listed(packed: list[bytes | None]) -> pa.ListArray:
+    """Packed pieces as one array of lists."""
+    sizes = np.array([0 if p is None else len(p) // 4 for p in packed], dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    values = np.frombuffer(b"".join(p for p in packed if p), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([p is None for p in packed]))
+
+
 def decoded(docs: DataFrame, words: Vocabulary, *, pieces: str = "pieces", into: str = "text") -> DataFrame:
     """``docs`` with the text of each row's pieces in the column ``into``."""
     docs = without(docs, into)
@@ -268,6 +299,7 @@ def decoded(docs: DataFrame, words: Vocabulary, *, pieces: str = "pieces", into:
             for lo, hi in slices(lengths, PIECES_AT_ONCE):
                 batch = whole.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*batch.columns, table.texts(batch.column(place))], names=[*names, into])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

@@ -89,14 +89,8 @@ def op4_owned_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     words = pieces.vocabulary(MODEL)
-    coded = pieces.encoded(docs, words)
-    back = pieces.decoded(coded, words, into="decoded")
-    return back.select(
-        "doc_id",
-        F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
-        "pieces",
-        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
-    )
+    coded = pieces.encoded(docs, words, keep_text=False, same="round_trip")
+    return coded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "round_trip")
 
 
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
