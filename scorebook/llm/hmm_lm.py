@@ -15,7 +15,7 @@ learned.  Repeated rows count each.  Without training texts all counts are 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,14 @@ CLASSES = 2048
 STATES = 6
 BLOCK = 1 << 19
 #: Words of a text that one vector recursion runs over; longer texts are chained by matrices.
-STRETCH = 2048
+STRETCH = 1024
 END = xxhash.xxh3_64_intdigest(b"\n")
 ALPHA = 0.1
+#: Classes of the table of neighbours, and rounds over that table.
+COARSE = 256
+PAIR_ROUNDS = 200
+#: Tasks that add up what the tasks over blocks have counted.
+GATHERERS = 16
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -143,12 +148,16 @@ def vectors(
     """Natural log-likelihood of each text's classes, exactly; with ``learn`` also the expected
     counts of starts, moves and emissions.
 
-    Texts are cut into stretches that all advance together.  The stretches of a long text are
-    chained by their matrices, so its likelihood and its counts are those of the whole chain.
+    Texts are cut into stretches that all advance together, the longest first, and words lie in
+    the order the recursion takes them: every stretch's first, every stretch's second, and so on.
+    One step is a few operations on neighbouring cells, states by stretches.  The stretches of a
+    long text are chained by their matrices, so its likelihood and its counts are those of the
+    whole chain.
     """
     states = len(start)
-    texts = np.repeat(np.arange(len(lengths)), -(-lengths // STRETCH))
-    firsts = np.cumsum(-(-lengths // STRETCH)) - -(-lengths // STRETCH)
+    pieces = -(-lengths // STRETCH)
+    texts = np.repeat(np.arange(len(lengths)), pieces)
+    firsts = np.cumsum(pieces) - pieces
     part = np.arange(len(texts)) - firsts[texts]
     begin = (np.cumsum(lengths) - lengths)[texts] + part * STRETCH
     size = np.minimum(lengths[texts] - part * STRETCH, STRETCH)
@@ -156,124 +165,198 @@ def vectors(
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     size, begin, initial = size[order], begin[order], part[order] == 0
-    active = len(size) - np.searchsorted(size[::-1], np.arange(size.max(initial=0)), side="right")
-    entry = np.where(initial[:, None], start, 0.0)  # the states before the first word's factor
-    after = np.ones((len(size), states))
-    shift = np.zeros(len(texts))
-
-    chained = np.flatnonzero((lengths > STRETCH)[texts[order]])
+    steps = int(size.max(initial=0))
+    active = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
+    offset = np.concatenate([[0], np.cumsum(active)])
+    at_step = np.repeat(np.arange(steps), active)
+    row = np.arange(len(kinds)) - offset[at_step]
+    kinds = kinds[begin[row] + at_step]
+    factor = np.ascontiguousarray(emit.T)[:, kinds]
+    onward = np.ascontiguousarray(move.T)
+    entry = np.where(initial, start[:, None], 0.0)  # the states before the first word's factor
+    after = np.ones((states, len(size)))
+    chained = np.flatnonzero((pieces > 1)[texts[order]])
     if len(chained):
-        n = len(chained)
-        matrix = np.tile(np.eye(states), (n, 1, 1))
-        logs = np.zeros(n)
-        own_size, own_begin, own_initial = size[chained], begin[chained], initial[chained]
-        for t in range(int(own_size.max())):
-            k = int(np.searchsorted(-own_size, -t, side="left"))
-            factor = emit[kinds[own_begin[:k] + t]]
-            if t == 0:
-                moved = np.where(own_initial[:k, None, None], matrix[:k], (matrix[:k].reshape(-1, states) @ move).reshape(-1, states, states))
-            else:
-                moved = (matrix[:k].reshape(-1, states) @ move).reshape(-1, states, states)
-            matrix[:k] = moved * factor[:, None, :]
-            if t % 16 == 15 or t == int(own_size.max()) - 1:
-                scale = matrix.max(axis=(1, 2))
-                matrix /= scale[:, None, None]
-                logs += np.log(scale)
-        where = {int(s): j for j, s in enumerate(chained)}
-        for text in np.flatnonzero(lengths > STRETCH):
-            parts = [int(place[firsts[text] + j]) for j in range(int(-(-lengths[text] // STRETCH)))]
-            state = start
-            for s in parts[:-1]:
-                state = state @ matrix[where[s]]
-                total = state.sum()
-                state = state / total
-                entry[parts[parts.index(s) + 1]] = state
-            ahead = np.ones(states)
-            for s in reversed(parts[1:]):
-                ahead = matrix[where[s]] @ ahead
-                ahead /= ahead.sum()
-                after[parts[parts.index(s) - 1]] = ahead
-
-    forward = np.empty((len(kinds), states)) if learn else None
-    norms = np.ones(len(kinds)) if learn else None
+        chain(entry, after, factor, start, move, chained, size, initial, offset, place, firsts, pieces)
+
+    forward = np.empty((states, len(kinds))) if learn else None
+    norms = np.ones(len(kinds))
     state = entry
     for t, n in enumerate(active):
-        at = begin[:n] + t
-        if t == 0:
-            state = np.where(initial[:n, None], state[:n], state[:n] @ move)
-        else:
-            state = state[:n] @ move
-        state = state * emit[kinds[at]]
-        total = state.sum(axis=1)
-        state = state / total[:, None]
-        shift[:n] += np.log(total)
+        cells = slice(offset[t], offset[t + 1])
+        moved = onward @ state[:, :n]
+        state = np.where(initial[:n], state[:, :n], moved) if t == 0 else moved
+        state *= factor[:, cells]
+        total = state.sum(axis=0)
+        state /= total
+        norms[cells] = total
         if learn:
-            forward[at], norms[at] = state, total
+            forward[:, cells] = state
+    shift = np.bincount(row, weights=np.log(norms), minlength=len(size))
     per_text = np.bincount(texts, weights=shift[place], minlength=len(lengths))
     if not learn:
         return per_text, None
 
-    backward = np.empty((len(kinds), states))
-    state = np.empty((0, states))
-    for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        kept = len(state)
-        ended = after[kept:n]
+    # Scaled so that forward and backward multiply to the shares of the states of a word.
+    ends = forward[:, offset[size - 1] + np.arange(len(size))]
+    after /= (ends * after).sum(axis=0)
+    backward = np.empty((states, len(kinds)))
+    factor /= norms
+    moves = np.zeros((states, states))
+    state = np.empty((states, 0))
+    for t in range(steps - 1, -1, -1):
+        n, kept = active[t], state.shape[1]
+        own = backward[:, offset[t] : offset[t + 1]]
+        own[:, kept:] = after[:, kept:n]
         if kept:
-            at = begin[:kept] + t + 1
-            state = (state * emit[kinds[at]] / norms[at][:, None]) @ move.T
-        state = np.concatenate([state, ended])
-        backward[begin[:n] + t] = state
-    joint = forward * backward
-    joint /= joint.sum(axis=1, keepdims=True)
-    emitted = np.stack([np.bincount(kinds, weights=joint[:, k], minlength=emit.shape[0]) for k in range(states)], axis=1)
-    heads = np.cumsum(lengths) - lengths
-    inner = np.ones(len(kinds), dtype=bool)
-    inner[heads] = False
-    into = np.flatnonzero(inner)
-    # The state before a stretch's first word is the state its predecessor ended in.
-    right = backward[into] * emit[kinds[into]]
-    left = forward[into - 1]
-    weight = np.einsum("ij,ij->i", left @ move, right)
-    moves = move * (left.T @ (right / weight[:, None]))
-    return per_text, (joint[heads].sum(axis=0), moves, emitted)
+            right = state * factor[:, offset[t + 1] : offset[t + 1] + kept]
+            np.matmul(move, right, out=own[:, :kept])
+            moves += forward[:, offset[t] : offset[t] + kept] @ right.T
+        state = own
+    # The state before a stretch is the one that its predecessor ended in.
+    going = np.flatnonzero(~initial)
+    left = ends[:, place[firsts[texts[order[going]]] + part[order[going]] - 1]]
+    right = state[:, going] * factor[:, going]
+    moves += left @ (right / ((onward @ left) * right).sum(axis=0)).T
+    moves *= move
+    joint = np.multiply(forward, backward, out=backward)
+    emitted = np.stack([np.bincount(kinds, weights=joint[k], minlength=emit.shape[0]) for k in range(states)], axis=1)
+    starts = joint[:, : len(size)][:, initial].sum(axis=1)
+    return per_text, (starts, moves, emitted)
+
+
+def chain(
+    entry: np.ndarray, after: np.ndarray, factor: np.ndarray, start: np.ndarray, move: np.ndarray, chained: np.ndarray,
+    size: np.ndarray, initial: np.ndarray, offset: np.ndarray, place: np.ndarray, firsts: np.ndarray, pieces: np.ndarray,
+) -> None:
+    """Fill in what reaches each stretch of a long text from the left and from the right."""
+    states = len(start)
+    own_size, own_initial = size[chained], initial[chained]
+    onward = np.ascontiguousarray(move.T)
+    matrix = np.repeat(np.eye(states)[:, :, None], len(chained), axis=2)
+    steps = int(own_size.max())
+    for t in range(steps):
+        k = int(np.searchsorted(-own_size, -t, side="left"))
+        moved = np.matmul(onward, matrix[:, :, :k])
+        if t == 0:
+            moved = np.where(own_initial[:k], matrix[:, :, :k], moved)
+        moved *= factor[:, offset[t] + chained[:k]]
+        if t % 16 == 15 or t == steps - 1:
+            # Only the direction counts: what arrives is normalised below.
+            moved /= moved.max(axis=(0, 1))
+        matrix[:, :, :k] = moved
+    matrix /= matrix.max(axis=(0, 1))
+    where = np.full(len(size), -1)
+    where[chained] = np.arange(len(chained))
+    for text in np.flatnonzero(pieces > 1):
+        parts = place[firsts[text] : firsts[text] + pieces[text]]
+        state = start
+        for s, following in zip(parts[:-1], parts[1:], strict=True):
+            state = state @ matrix[:, :, where[s]]
+            state = state / state.sum()
+            entry[:, following] = state
+        ahead = np.ones(states)
+        for s, preceding in zip(parts[:0:-1], parts[-2::-1], strict=True):
+            ahead = matrix[:, :, where[s]] @ ahead
+            ahead = ahead / ahead.sum()
+            after[:, preceding] = ahead
+
+
+def cell_sums(table: DataFrame, columns: list[str], size: int, add: Callable[..., np.ndarray | None]) -> np.ndarray:
+    """Sums of ``size`` cells over the blocks.
+
+    ``add`` gives a block's cells.  Every task adds up its blocks, ``GATHERERS`` tasks add up the
+    sums of tasks, and only theirs, a fixed number of fixed size, come to the driver.
+    """
 
+    def summed(rows: Iterator[np.ndarray | None]) -> np.ndarray | None:
+        total = None
+        for flat in rows:
+            if flat is not None:
+                total = flat.astype(float) if total is None else total + flat
+        return total
 
-def step(table: DataFrame, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Expected counts over all training texts of the blocks, and their log-likelihood.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = summed(add(*values) for batch in batches for values in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        if total is not None:
+            place = TaskContext.get().partitionId() % GATHERERS
+            yield pa.RecordBatch.from_arrays([pa.array([place], type=pa.int32()), pa.array([total.tobytes()], type=pa.binary())], names=["place", "cells"])
 
-    Every task adds up its blocks; the sums of tasks are added by Spark cell by cell, and only the
-    fixed number of cells comes to the driver.
-    """
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = summed(np.frombuffer(cells.as_py()) for batch in batches for cells in batch.column(0))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["cells"])
+
+    parts = table.select(*columns).mapInArrow(run, "place int, cells binary")
+    sums = parts.repartition(GATHERERS, "place").select("cells").mapInArrow(gather, "cells binary").toArrow()
+    found = summed(np.frombuffer(cells.as_py()) for cells in sums.column(0))
+    return np.zeros(size) if found is None else found
+
+
+def coarse(kinds: np.ndarray) -> np.ndarray:
+    """Classes by their number modulo ``COARSE``; the end stays apart."""
+    return np.where(kinds == CLASSES, COARSE, kinds % COARSE).astype(np.int64)
+
+
+def neighbours(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each coarse class follows another in the training texts, and how often it heads one."""
+    wide = COARSE + 1
+
+    def add(learn: list, lengths: list, places: bytes, kinds: bytes) -> np.ndarray | None:
+        sizes, known = np.array(lengths, dtype=np.int64), np.array(learn, dtype=bool)
+        if not known.any():
+            return None
+        own = coarse(unpacked(kinds, "u2"))[unpacked(places, "u4")][np.repeat(known, sizes)]
+        heads = np.cumsum(sizes[known]) - sizes[known]
+        inner = np.ones(len(own), dtype=bool)
+        inner[heads] = False
+        into = np.flatnonzero(inner)
+        pairs = np.bincount(own[into - 1] * wide + own[into], minlength=wide * wide)
+        return np.concatenate([pairs, np.bincount(own[heads], minlength=wide)])
+
+    flat = cell_sums(table, ["learn", "lengths", "places", "kinds"], wide * wide + wide, add)
+    return flat[: wide * wide].reshape(wide, wide), flat[wide * wide :]
+
+
+def beginning(pairs: np.ndarray, heads: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, moves and emissions from the pairs of neighbours of the whole corpus: Baum-Welch on
+    texts of two words, over a table of a fixed size."""
+    rng = np.random.default_rng(9)
+    group = coarse(np.arange(CLASSES + 1))
+    mass = np.bincount(group, weights=shares, minlength=COARSE + 1)
+    emit = mass[:, None] * rng.uniform(0.4, 1.6, (COARSE + 1, STATES))
+    emit /= emit.sum(axis=0)
+    weight, move = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.02) + np.eye(STATES) * (1 - 0.02 * STATES)
+    for _ in range(PAIR_ROUNDS):
+        first = emit * weight
+        second = first @ move
+        ratio = pairs / np.maximum(second @ emit.T, 1e-300)
+        moves = move * (first.T @ ratio @ emit)
+        leads = first * (ratio @ (emit @ move.T))
+        emitted = leads + emit * (ratio.T @ second) + 20.0 * mass[:, None]
+        weight = (leads.sum(axis=0) + 1.0) / (leads.sum(axis=0) + 1.0).sum()
+        move = (moves + 1.0) / (moves + 1.0).sum(axis=1, keepdims=True)
+        emit = emitted / emitted.sum(axis=0)
+    likely = emit * weight
+    start = (heads[:, None] * likely / likely.sum(axis=1, keepdims=True)).sum(axis=0) + 1.0
+    fine = shares[:, None] * (emit / mass[:, None])[group]
+    return start / start.sum(), move, fine / fine.sum(axis=0)
+
+
+def step(table: DataFrame, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Expected counts over all training texts of the blocks, and their log-likelihood."""
     states = len(start)
     shapes = [(states,), (states, states), emit.shape, ()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for learn, lengths, places, kinds in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                sizes = np.array(lengths, dtype=np.int64)
-                known = np.array(learn, dtype=bool)
-                if not known.any():
-                    continue
-                all_kinds = unpacked(kinds, "u2")[unpacked(places, "u4")]
-                own = all_kinds[np.repeat(known, sizes)]
-                logs, found = vectors(own, sizes[known], start, move, emit, True)
-                flat = np.concatenate([*[f.ravel() for f in found], [logs.sum()]])
-                total = flat if total is None else total + flat
-        if total is not None:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "value"])
-
-    sums = (
-        table.select("learn", "lengths", "places", "kinds")
-        .mapInArrow(run, "cell int, value double")
-        .groupBy("cell")
-        .agg(F.sum("value").alias("value"))
-        .toArrow().to_pandas()
-    )
-    flat = np.zeros(sum(int(np.prod(s)) for s in shapes))
-    flat[sums["cell"].to_numpy(dtype=np.int64)] = sums["value"].to_numpy(dtype=float)
+    def add(learn: list, lengths: list, places: bytes, kinds: bytes) -> np.ndarray | None:
+        sizes, known = np.array(lengths, dtype=np.int64), np.array(learn, dtype=bool)
+        if not known.any():
+            return None
+        own = unpacked(kinds, "u2")[unpacked(places, "u4")][np.repeat(known, sizes)]
+        logs, found = vectors(own, sizes[known], start, move, emit, True)
+        return np.concatenate([*[f.ravel() for f in found], [logs.sum()]])
+
+    flat = cell_sums(table, ["learn", "lengths", "places", "kinds"], sum(int(np.prod(x)) for x in shapes), add)
     out, at = [], 0
     for shape in shapes:
         n = int(np.prod(shape))
@@ -298,15 +381,14 @@ def scored(
     text: str = "text",
     modulus: int = 10,
     remainder: int = 0,
-    warm_rounds: int = 12,
     rounds: int = 2,
     tolerance: float = 1e-3,
 ) -> DataFrame:
     """One row per document: ID, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Every Baum-Welch round runs over every training text, at every size.  ``warm_rounds`` lead out of
-    the flat start, at least ``rounds`` follow, until one adds less than ``tolerance`` to the
-    natural log-likelihood of a training word.
+    The first parameters come from the counts of neighbouring classes over the whole corpus.  Then
+    every Baum-Welch round runs over every training text, at every size, ``rounds`` at least, until
+    one adds less than ``tolerance`` to the natural log-likelihood of a training word.
     """
     table = blocks(docs, doc_id=doc_id, text=text, modulus=modulus, remainder=remainder)
     known = stored(counted(table), "hmm-counts")
@@ -321,17 +403,13 @@ def scored(
     total, distinct = int(n.sum()), int(v.sum())
     shares = (n + 0.5) / (n + 0.5).sum()
 
-    rng = np.random.default_rng(9)
-    start = np.full(STATES, 1 / STATES)
-    move = np.full((STATES, STATES), 0.02) + np.eye(STATES) * (1 - 0.02 * STATES)
-    emit = shares[:, None] * rng.uniform(0.4, 1.6, (CLASSES + 1, STATES))
-    emit /= emit.sum(axis=0)
+    start, move, emit = beginning(*neighbours(table), shares)
     before, done = -np.inf, 0
     while True:
         *counts, reached = step(table, start, move, emit)
         start, move, emit = maximised(tuple(counts), shares)
         done += 1
-        if done >= warm_rounds + rounds and not reached - before >= tolerance * max(1, total):
+        if done >= rounds and not reached - before >= tolerance * max(1, total):
             break
         before = reached
 

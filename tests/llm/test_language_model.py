@@ -89,8 +89,8 @@ def test_query_equals_a_counter_and_beats_the_base(spark, small):
 
 def test_small_blocks_give_the_same(spark, monkeypatch):
     docs = odd.odd_docs(spark)
-    compare(H.scored(docs, warm_rounds=1, rounds=1).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert H.scored(odd.empty_docs(spark), warm_rounds=1, rounds=1).count() == 0
+    compare(H.scored(docs, rounds=2).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert H.scored(odd.empty_docs(spark), rounds=2).count() == 0
 
 
 def test_every_round_runs_over_all_blocks_until_the_gain_is_small(spark, monkeypatch):
@@ -103,7 +103,7 @@ def test_every_round_runs_over_all_blocks_until_the_gain_is_small(spark, monkeyp
         return found
 
     monkeypatch.setattr(H, "step", seen)
-    rows = H.scored(docs.repartition(8), warm_rounds=1, rounds=1, tolerance=1e-2).collect()
+    rows = H.scored(docs.repartition(8), rounds=2, tolerance=1e-2).collect()
     assert {n for n, _ in rounds} == {8}
     gains = np.diff([x for _, x in rounds]) / rows[0]["train_tokens"]
     assert gains[-1] < 1e-2 and (gains[:-1] >= 1e-2).all()
