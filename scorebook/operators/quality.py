@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,18 +147,11 @@ def scored_counts(df: DataFrame, *, score: str, label: str, keys: Sequence[str]
     )
 
 
-def ranking_metrics(
-    df: DataFrame,
-    *,
-    score: str,
-    label: str,
-    keys: Sequence[str] = (),
+def ranked(
+    df: DataFrame, *, score: str, label: str, keys: Sequence[str] = (), extra: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """ROC-AUC (ties count half) and average precision (steps over distinct scores), per key.
-
-    Both come from one running total along the score, highest first.  Null where a key holds
-    a single class.
-    """
+    """Per key: positives, negatives, ROC-AUC, average precision and ``extra`` aggregates over the
+    counts (``pos``, ``neg``) per distinct score, all from one pass over the rows."""
     per_score = scored_counts(df, score=score, label=label, keys=keys)
     run = running_totals(per_score, score, {"tp": "pos", "fp": "neg"}, keys=keys, descending=True)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
@@ -170,6 +163,7 @@ def ranking_metrics(
         F.sum("neg").alias("negatives"),
         F.sum(beaten).alias("__pairs"),
         F.sum(step).alias("__steps"),
+        *[value.alias(name) for name, value in (extra or {}).items()],
     )
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
@@ -179,9 +173,25 @@ def ranking_metrics(
         "negatives",
         F.when(both, F.col("__pairs") / (p * n)).alias("roc_auc"),
         F.when(F.col("positives") > 0, F.col("__steps") / p).alias("average_precision"),
+        *(extra or {}),
     )
 
 
+def ranking_metrics(
+    df: DataFrame,
+    *,
+    score: str,
+    label: str,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """ROC-AUC (ties count half) and average precision (steps over distinct scores), per key.
+
+    Both come from one running total along the score, highest first.  Null where a key holds
+    a single class.
+    """
+    return ranked(df, score=score, label=label, keys=keys)
+
+
 def confusion(
     df: DataFrame, *, score: str, label: str, threshold: float, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -211,12 +221,22 @@ def evaluate(df: DataFrame, *, score: str, label: str, threshold: float = 0.5) -
     """All classification figures at one threshold, in one row."""
     if not 0.0 <= threshold <= 1.0:
         raise ValueError(f"threshold must lie in [0, 1], got {threshold}")
-    df = df.withColumn(score, measurable(score))
-    cells = with_rates(confusion(df, score=score, label=label, threshold=threshold))
-    error = F.col(score) - F.col(label)
-    brier = df.agg(F.avg(error * error).alias("brier"))
-    ranking = ranking_metrics(df, score=score, label=label).select("roc_auc", "average_precision")
-    return beside(cells.withColumn("threshold", F.lit(float(threshold))), brier, ranking)
+    hit = F.col(score) >= F.lit(float(threshold))
+
+    def cell(count: str, at: Column) -> Column:
+        return F.coalesce(F.sum(F.when(at, F.col(count))), F.lit(0)).cast("bigint")
+
+    miss, p = ~hit, F.col(score)
+    # The error of a score is that of its positives and its negatives, so counts are enough.
+    squares = F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p
+    extra = {
+        "tn": cell("neg", miss), "fp": cell("neg", hit), "fn": cell("pos", miss), "tp": cell("pos", hit),
+        "brier": F.sum(squares) / F.sum(F.col("pos") + F.col("neg")),
+    }
+    found = ranked(df.withColumn(score, measurable(score)), score=score, label=label, extra=extra)
+    rates = with_rates(found.withColumn("threshold", F.lit(float(threshold))).drop("positives", "negatives"))
+    last = ["threshold", "brier", "roc_auc", "average_precision"]
+    return rates.select(*[c for c in rates.columns if c not in last], *last)
 
 
 def measurable(score: str) -> Column:
