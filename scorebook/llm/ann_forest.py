@@ -7,8 +7,9 @@ it has reached should hold enough candidates; the candidates are ranked by their
 Equal vectors are one candidate that carries its smallest IDs, as many as a result may need, so a
 vector that a third of the rows have is compared once and loses no neighbour.  Vectors that are
 null, zero or hold null or non-finite components take no part, nor do rows without an ID or vectors
-of another length than the most frequent one.  Ties go to the smaller ID; rows that repeat an ID
-with the same vector are one.  A table without vectors gives no rows.
+of another length than the most frequent one.  Ties go to the smaller ID, however many vectors of
+one direction tie; rows that repeat an ID with the same vector are one.  A table without vectors
+gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from scorebook.llm.common import stored
 
 #: Members of a leaf that one task compares; larger leaves are dealt out in chunks.
 CHUNK = 4096
+#: More than the fast and the exact score of a pair can differ by, and pairs ranked at once.
+MARGIN = 1e-9
+PAIRS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -125,7 +129,12 @@ def unit(rows) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision, always summed in the same order."""
+    """Row by row, in double precision, always summed in the same order.
+
+    Vectors are scaled by a power of two first, which changes no bit of the result and keeps
+    squares of very large and very small components within range.
+    """
+    a, b = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1]) for v in (a, b))
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 
@@ -190,15 +199,19 @@ def nearest(
         members_, raw = unit(right["v"].tolist()), np.stack(right["v"].tolist())
         ids = right["point"].to_numpy()
         out = []
-        keep = min(len(ids), k + 8)
-        for lo in range(0, len(left), 1024):
-            part = left.iloc[lo : lo + 1024]
+        keep = min(len(ids), k + 1)
+        for lo in range(0, len(left), 256):
+            part = left.iloc[lo : lo + 256]
             asked_ = np.stack(part["v"].tolist())
-            near = np.argpartition(-(unit(part["v"].tolist()) @ members_.T), keep - 1, axis=1)[:, :keep]
-            score = cosine(asked_[:, None, :], raw[near])
-            found = pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), keep), "point": ids[near].ravel(), "score": score.ravel()})
-            found = found.sort_values(["query", "score", "point"], ascending=[True, False, True])
-            out.append(found.groupby("query").head(k + 1))
+            fast = unit(part["v"].tolist()) @ members_.T
+            # All that may be among the best, however many tie there, is ranked by the exact score.
+            last = np.partition(fast, len(ids) - keep, axis=1)[:, len(ids) - keep]
+            row, near = np.nonzero(fast >= last[:, None] - MARGIN)
+            for at in range(0, len(row), PAIRS):
+                r, n = row[at : at + PAIRS], near[at : at + PAIRS]
+                found = pd.DataFrame({"query": part["query"].to_numpy()[r], "point": ids[n], "score": cosine(asked_[r], raw[n])})
+                found = found.sort_values(["query", "score", "point"], ascending=[True, False, True])
+                out.append(found.groupby("query").head(k + 1))
         return pd.concat(out)
 
     sides = walks.select("leaf", "chunk", "query", "v").groupBy("leaf", "chunk").cogroup(members.select("leaf", "chunk", "point", "v").groupBy("leaf", "chunk"))

@@ -60,3 +60,18 @@ def test_equal_vectors_ties_and_odd_rows(spark):
     assert A.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
     few = A.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], SCHEMA), F.col("vec_id") == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in few] == [(0, 1, 1, 0.8)]
+
+
+def test_many_parallel_vectors_and_extreme_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(100)]
+    # Sixty vectors of one direction, exactly: powers of two, far beyond what squares can hold.
+    rows += [(900 + i, [x * 2.0 ** (20 * i - 600) for x in (3.0, 1.0, 2.0, 5.0)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = {}
+    for r in A.nearest(table, F.col("vec_id").isin(900, 933, 7)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert [v for _, v, _ in sorted(got[933])] == [900, 901, 902, 903, 904]
+    assert [v for _, v, _ in sorted(got[900])] == [901, 902, 903, 904, 905]
+    assert all(abs(s - 1) < 1e-12 for q in (900, 933) for _, _, s in got[q])
+    assert len(got[7]) == 5
