@@ -118,12 +118,16 @@ def cleaning_report(spark, folder):
 
 @query(
     "b4_required_columns",
-    """SELECT 'missing column' AS "check", c AS "column", CAST(1 AS BIGINT) AS n FROM (VALUES ('score'), ('amount')) v(c)""",
+    """SELECT 'missing column' AS "check", c AS "column", CAST(1 AS BIGINT) AS n, (SELECT count(*) FROM book) AS "rows"
+FROM (VALUES ('score'), ('amount')) v(c)""",
+    "book",
 )
 def required_columns(spark, folder):
+    """Columns the contract asks for and the file lacks, and how many rows go without them."""
     rows = raw(spark, folder).select("customer_id", "segment")
     found = V.problems(rows, CONTRACT, columns=["customer_id", "segment", "score", "amount"])
-    return found.where(F.col("check") == "missing column").select("check", "column", "n")
+    missing = found.where(F.col("check") == "missing column").select("check", "column", "n")
+    return beside(missing, rows.agg(F.count("*").alias("rows")))
 
 
 @query(
