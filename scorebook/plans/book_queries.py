@@ -13,6 +13,8 @@ from scorebook.plans import books
 from scorebook.plans.registry import (
     SHOWN, THRESHOLD, book, plain, lines, money_sql, query, ratio_sql, rounded, shown, train, validation,
 )
+from scorebook.session import scratch_path
+from scorebook.sources import stored as T
 
 DIGEST = (
     "CAST('0x' || substr(md5(length(CAST(customer_id AS VARCHAR)) || ':' || CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
@@ -514,3 +516,19 @@ def explorer_table(spark, folder):
 )
 def contact_list(spark, folder):
     return B.contact_list(plain(spark, folder), 0.3, ["customer_id", "score", "tenure", "monthly_charges"])
+
+
+@query(
+    "c4_lookups_in_the_stored_book",
+    """SELECT b.segment, b.partition_name, b.customer_id IS NOT NULL AS found, count(*) AS lookups, count(DISTINCT o.o_custkey * 2) AS ids
+FROM orders o LEFT JOIN book b ON b.customer_id = o.o_custkey * 2 GROUP BY 1, 2, 3""",
+    "book",
+)
+def lookups_in_the_stored_book(spark, folder):
+    """The book stored in buckets by ID, and one lookup per order, of an ID that may not be there."""
+    kept = T.store_book(books.book_orders(spark, folder), scratch_path(spark, "book"), id="customer_id")
+    asked = books.table(spark, folder, "orders").select((F.col("o_custkey") * 2).alias("customer_id"))
+    found = T.looked_up(T.read_book(spark, kept), asked, id="customer_id")
+    return found.groupBy("segment", "partition_name", "found").agg(
+        F.count("*").alias("lookups"), F.count_distinct("customer_id").alias("ids")
+    )
