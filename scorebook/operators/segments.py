@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -303,44 +304,71 @@ def observed_overall(labelled: DataFrame, *, label: str, minimum: int = MIN_CELL
 # --- every one- and two-way breakdown ---------------------------------------------------------
 
 
-def breakdown_counts(df: DataFrame, dimensions: Sequence[str], *, label: str) -> DataFrame:
+#: Cells of one shared table of counts, at most, where the dimensions' sizes are known.
+PARENT_CELLS = 100_000
+
+
+def shared_parents(sizes: Mapping[str, int], most: int = PARENT_CELLS) -> list[list[str]]:
+    """Groups of dimensions, each with at most ``most`` combinations of levels, that hold every pair
+    of dimensions; one group where all of them fit, else as few as a greedy choice finds.
+
+    A pair that is larger by itself is a group of its own.
+    """
+    names = list(sizes)
+    open_ = set(itertools.combinations(range(len(names)), 2)) or {(i, i) for i in range(len(names))}
+    out: list[list[str]] = []
+
+    def cells(members: set[int]) -> int:
+        return math.prod(sizes[names[i]] for i in members)
+
+    def covered(members: set[int]) -> set[tuple[int, int]]:
+        return {p for p in open_ if set(p) <= members}
+
+    while open_:
+        # The widest pair left is the hardest to place.
+        members = set(max(sorted(open_), key=lambda p: cells(set(p))))
+        while True:
+            fits = [i for i in range(len(names)) if i not in members and cells(members | {i}) <= most]
+            if not fits:
+                break
+            members.add(max(fits, key=lambda i: (len(covered(members | {i})), -sizes[names[i]], -i)))
+        open_ -= covered(members)
+        out.append([names[i] for i in sorted(members)])
+    return out
+
+
+def breakdown_counts(
+    df: DataFrame, dimensions: Sequence[str], *, label: str, sizes: Mapping[str, int] | None = None, most: int = PARENT_CELLS
+) -> DataFrame:
     """Size and positives of every level, every pair of levels and the whole, in one scan.
 
-    The rows are first counted per combination of all dimensions, which the map side collapses;
-    grouping sets then expand that table and not the rows.  Output: ``rows``, ``cols`` (null
-    for one-way), ``row``, ``col``, ``customers``, ``churned``; the total has null ``rows``.
+    The rows are first counted per combination of the dimensions, which the map side collapses;
+    only that table is then expanded into the levels and pairs.  With ``sizes``, how many levels
+    each dimension has, the combinations are those of a few groups of dimensions that share all
+    pairs among them, so what is shuffled is bounded by ``most`` cells a group, however many
+    dimensions there are; without, they are those of all dimensions.  Output: ``rows``, ``cols``
+    (null for one-way), ``row``, ``col``, ``customers``, ``churned``; the total has null ``rows``.
     """
     dims = list(dimensions)
-    base = df.groupBy(*dims).agg(*counts(label))
-    sets = [[], *[[d] for d in dims], *[list(p) for p in itertools.combinations(dims, 2)]]
-    rolled = base.groupingSets(sets, *dims).agg(
-        F.grouping_id().alias("__gid"),
-        F.sum("customers").alias("customers"),
-        F.sum("churned").alias("churned"),
-    )
-    width = len(dims)
-
-    def gid(members: Sequence[str]) -> int:
-        return sum(1 << (width - 1 - i) for i, d in enumerate(dims) if d not in members)
-
-    def text(d: str) -> Column:
-        return F.col(d).cast("string")
-
-    cases = [
-        (
-            F.col("__gid") == gid(members),
-            F.struct(
-                F.lit(members[0]).alias("rows"),
-                F.lit(members[1] if len(members) > 1 else None).cast("string").alias("cols"),
-                text(members[0]).alias("row"),
-                (text(members[1]) if len(members) > 1 else F.lit(None).cast("string")).alias("col"),
-            ),
-        )
-        for members in sets[1:]
-    ]
-    place = E.pick(cases)
-    return rolled.select(place.alias("__at"), "customers", "churned").select(
-        "__at.*", "customers", "churned"
+    parents = [dims] if sizes is None else shared_parents({d: sizes[d] for d in dims}, most)
+    # The bits of the grouping number: set where a dimension is not grouped by.
+    numbers = [sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in parent) for parent in parents]
+    base = df.groupingSets(parents, *dims).agg(F.grouping_id().alias("__gid"), *counts(label))
+    places: dict[tuple[str, ...], int] = {(): 0}
+    for k, parent in enumerate(parents):
+        for members in [*itertools.combinations(parent, 1), *itertools.combinations(parent, 2)]:
+            places.setdefault(members, k)
+
+    def cell(members: tuple[str, ...]) -> Column:
+        texts = [F.col(d).cast("string") for d in members] + [F.lit(None).cast("string")] * (2 - len(members))
+        names = [F.lit(d) for d in members] + [F.lit(None).cast("string")] * (2 - len(members))
+        return F.struct(*[c.alias(a) for c, a in zip([*names, *texts], ("rows", "cols", "row", "col"), strict=True)])
+
+    own = [F.array(*[cell(m) for m, at in places.items() if at == k]) for k in range(len(parents))]
+    at = E.pick([(F.col("__gid") == number, cells) for number, cells in zip(numbers, own, strict=True)])
+    each = base.select(F.explode(at).alias("__at"), "customers", "churned").select("__at.*", "customers", "churned")
+    return each.groupBy("rows", "cols", "row", "col").agg(
+        F.sum("customers").alias("customers"), F.sum("churned").alias("churned")
     )
 
 

@@ -256,6 +256,49 @@ def all_breakdowns(spark, folder):
     return rounded(breakdown_cells(train(spark, folder)), 9, "low", "high")
 
 
+# Fourteen dimensions of a line: name, levels at most, as Spark and as SQL.
+FOURTEEN = (
+    ("l_returnflag", 3, "l_returnflag", None),
+    ("l_linestatus", 2, "l_linestatus", None),
+    ("l_linenumber", 7, "l_linenumber", None),
+    ("quantity_band", 5, "cast(floor((l_quantity - 1) / 10) as int)", None),
+    ("discount", 11, "cast(round(l_discount * 100) as int)", None),
+    ("tax", 9, "cast(round(l_tax * 100) as int)", None),
+    ("ship_year", 8, "year(l_shipdate)", None),
+    ("ship_quarter", 4, "quarter(l_shipdate)", None),
+    ("ship_month", 12, "month(l_shipdate)", None),
+    ("ship_day", 31, "day(l_shipdate)", None),
+    ("weekday", 7, "weekday(l_shipdate)", "(dayofweek(l_shipdate) + 6) % 7"),
+    ("price_band", 12, "cast(floor(l_extendedprice / 10000) as int)", None),
+    ("supplier_group", 10, "l_suppkey % 10", None),
+    ("part_group", 25, "l_partkey % 25", None),
+)
+FOURTEEN_CELLS = """WITH e AS MATERIALIZED (SELECT """ + ", ".join(
+    f"CAST({sql or spark} AS VARCHAR) AS {name}" for name, _, spark, sql in FOURTEEN
+) + """, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)
+""" + "\nUNION ALL ".join(
+    [
+        """SELECT CAST(NULL AS VARCHAR) AS "rows", CAST(NULL AS VARCHAR) AS cols, CAST(NULL AS VARCHAR) AS "row", CAST(NULL AS VARCHAR) AS col,
+  count(*) AS customers, CAST(sum(y) AS BIGINT) AS churned FROM e"""
+    ]
+    + [f"SELECT '{a[0]}', NULL, {a[0]}, NULL, count(*), CAST(sum(y) AS BIGINT) FROM e GROUP BY {a[0]}" for a in FOURTEEN]
+    + [
+        f"SELECT '{a[0]}', '{b[0]}', {a[0]}, {b[0]}, count(*), CAST(sum(y) AS BIGINT) FROM e GROUP BY {a[0]}, {b[0]}"
+        for a, b in itertools.combinations(FOURTEEN, 2)
+    ]
+)
+
+
+@query("d11_fourteen_dimensions", FOURTEEN_CELLS)
+def fourteen_dimensions(spark, folder):
+    """All 91 pairs of fourteen dimensions: together they have more combinations than there are rows."""
+    columns = [F.expr(spark_sql).alias(name) for name, _, spark_sql, _ in FOURTEEN]
+    returned = F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y")
+    rows = books.table(spark, folder, "lineitem").select(*columns, returned)
+    sizes = {name: levels for name, levels, _, _ in FOURTEEN}
+    return S.breakdown_counts(rows, list(sizes), label="y", sizes=sizes)
+
+
 @query(
     "c9_dense_cells",
     f"""WITH {cells_sql()} SELECT "rows", cols, "row", col, row_pos, col_pos, customers, churned FROM cells""",

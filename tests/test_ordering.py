@@ -1,5 +1,7 @@
 """Ordering helpers on skewed input, against plain Python."""
 
+import itertools
+import math
 import random
 import statistics
 
@@ -7,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorebook.operators import book as B
+from scorebook.operators import segments as S
 from scorebook.operators.prefix import medians, positions, running_totals
 from scorebook.operators.segments import breakdown_counts, dense, level_grid
 from scorebook.operators.split import fingerprint, stratified_folds, stratified_split
+from scorebook.operators.tables import named_rows
 
 
 def skewed(spark, n=3000):
@@ -111,3 +115,29 @@ def test_an_undeclared_level_is_an_error(spark):
     assert {r["row"] for r in dense(found, level_grid(spark, {"g": ["a", "b", "z", "never"]})).collect()} == {"a", "b", "z", "never"}
     with pytest.raises(Exception, match="undeclared level z"):
         dense(found, level_grid(spark, {"g": ["a", "b"]})).collect()
+
+
+def test_shared_parents_hold_every_pair_within_the_bound():
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = {f"d{i}": rng.randint(1, 60) for i in range(rng.randint(1, 14))}
+        most = rng.choice([100, 5_000, 100_000])
+        parents = S.shared_parents(sizes, most)
+        for a, b in itertools.combinations(sizes, 2):
+            assert any(a in p and b in p for p in parents)
+        assert all(math.prod(sizes[d] for d in p) <= most or len(p) <= 2 for p in parents)
+        assert {d for p in parents for d in p} == set(sizes)
+        if math.prod(sizes.values()) <= most:
+            assert parents == [list(sizes)]
+
+
+def test_breakdowns_are_the_same_through_any_parents(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([None, "x", "y"]), rng.randint(0, 4), rng.choice("pqr"), rng.randint(0, 1)) for _ in range(300)]
+    df = named_rows(spark, "a string, b string, c int, d string, y int", rows)
+    dims = ["a", "b", "c", "d"]
+    whole = sorted(map(str, breakdown_counts(df, dims, label="y").collect()))
+    sizes = {"a": 2, "b": 3, "c": 5, "d": 3}
+    for most in (6, 16, 30, 1000):
+        assert sorted(map(str, breakdown_counts(df, dims, label="y", sizes=sizes, most=most).collect())) == whole
+    assert len(whole) == 1 + (2 + 3 + 5 + 3) + (6 + 10 + 6 + 15 + 9 + 15)
