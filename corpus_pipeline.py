@@ -15,14 +15,11 @@ from scorebook.llm import pieces, secret_owners, superminhash, templates, toxic_
 from scorebook.llm.common import stored, table
 
 TOXIC_FROM = 0.3
-#: Rows of an Arrow batch: texts are long, and what a batch takes off the heap stays taken.
-BATCH_ROWS = 2000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
     """``docs`` with neutral column names, the neutral name of each column, and all of them."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     safe = [f"__c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*safe), dict(zip(docs.columns, safe, strict=True)), safe
 
@@ -65,8 +62,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str, *, model: s
     """All documents with ``pieces`` and ``n_pieces``; their texts are those the pieces give back."""
     safe, name, columns = renamed(docs)
     words = pieces.vocabulary(model)
-    coded = pieces.encoded(safe, words, text=name["text"], keep_text=False)
-    back = pieces.decoded(coded, words, into=name["text"])
+    back = pieces.encoded(safe, words, text=name["text"], back=name["text"])
     size = F.coalesce(F.size("pieces"), F.lit(0)).cast("long")
     own = [c for c in docs.columns if c.lower() not in ("pieces", "n_pieces")]
     return back.select(*[F.col(name[c]).alias(c) for c in own], "pieces", size.alias("n_pieces"))
