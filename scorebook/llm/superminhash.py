@@ -34,6 +34,8 @@ MISS = 1e-5
 ELEMENTS = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SKETCH_BITS = 128
+#: Registers of a signature at most, while one row a band is enough for it.
+REGISTERS = 256
 #: Counters that order the elements of sets by frequency.
 COUNTERS = 1 << 18
 
@@ -46,10 +48,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """(bands, rows) for which a pair at the threshold shares no band with a chance below MISS."""
+    """(bands, rows) for which a pair at the threshold shares no band with a chance below MISS, of as
+    many rows as ``REGISTERS`` allow."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"a similarity is from 1 to 100 percent, not {percent!r}")
     similarity = percent / 100
-    rows = 6 if percent >= 85 else 5
-    return math.ceil(math.log(MISS) / math.log(1 - similarity**rows)), rows
+    for rows in (6,) if percent >= 85 else (5, 4, 3, 2, 1):
+        apart = 1 - similarity**rows
+        bands = math.ceil(math.log(MISS) / math.log(apart)) if apart > 0 else 1
+        if bands * rows <= REGISTERS:
+            return bands, rows
+    # Less alike than one band of one row each can tell within the registers: more of them.
+    return bands, rows
+
+
+def sketch_bits(percent: int) -> int:
+    """Registers that give a bit to a sketch."""
+    bands, rows = banding(percent)
+    return min(SKETCH_BITS, bands * rows)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -97,7 +113,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
                 break
             if walk is None:
                 element, owner, step = element[keep], owner[keep], step[keep]
-                walk = np.tile(np.arange(size, dtype=np.uint8), (len(element), 1))
+                walk = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(element), 1))
                 rows = np.arange(len(element))
                 walk[rows, step] = 0
                 walk[:, 0] = step
@@ -116,9 +132,10 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(registers: np.ndarray) -> np.ndarray:
-    """Two words of one random bit per register; equal registers have equal bits."""
+    """Two words of one random bit per register, the rest 0; equal registers have equal bits."""
     with np.errstate(over="ignore"):
         bits = (mixed(registers[:, :SKETCH_BITS].copy().view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    bits = np.pad(bits, ((0, 0), (0, SKETCH_BITS - bits.shape[1])))
     return np.packbits(bits, axis=1).copy().view(np.int64)
 
 
@@ -166,8 +183,8 @@ def signed(docs: DataFrame, *, doc_id: str, text: str, width: int, percent: int)
 
 def room(percent: int):
     """Whether two nodes may be linked: exact for sizes, five and a half deviations for sketches."""
-    p = (1 - percent / 100) / 2
-    most = math.floor(SKETCH_BITS * p + 5.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    p, bits = (1 - percent / 100) / 2, sketch_bits(percent)
+    most = math.floor(bits * p + 5.5 * math.sqrt(bits * p * (1 - p)))
     apart = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     return (small * 100 >= large * percent) & (apart <= most)
@@ -278,13 +295,12 @@ def groups(edges: DataFrame) -> DataFrame:
         return out.where("u <> v").distinct()
 
     pairs = stored(forest(edges), "minhash-forest")
-    before = None
     while True:
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h")).first()
-        if not now["n"] or (now["n"], now["h"]) == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = (now["n"], now["h"])
-        pairs = stored(stars(stars(pairs, True), False), "minhash-stars")
+        # Pairs are distinct, so as many that are all there before are the same ones.
+        handed = stored(stars(stars(pairs, True), False), "minhash-stars")
+        if handed.count() == pairs.count() and handed.join(pairs, ["u", "v"], "left_anti").isEmpty():
+            return handed.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        pairs = handed
 
 
 def grouped(

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import odd
 from scorebook.llm import superminhash as M
@@ -98,3 +99,33 @@ def test_odd_documents(spark):
     assert [by_id[i]["n_shingles"] for i in (2, 3, 4)] == [0, 0, 0] and all(by_id[i]["kept"] for i in (2, 3, 4))
     assert by_id[5]["n_shingles"] == 5 and by_id[odd.BIG]["n_shingles"] == 1
     assert M.grouped(odd.empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [30, 50, 70, 90, 95, 100])
+def test_any_threshold_equals_all_pairs(spark, percent):
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(3, 90))]
+        for _ in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(rng.choice((0, 0, 1, 2, 5, 12))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    agree(M.grouped(docs, percent=percent).collect(), list(enumerate(texts)), 3, percent)
+
+
+def test_registers_and_sketches_fit_every_threshold():
+    for percent in range(1, 101):
+        bands, rows = M.banding(percent)
+        assert bands * rows <= M.REGISTERS or rows == 1
+        assert (1 - (percent / 100) ** rows) ** bands <= M.MISS
+    assert M.banding(85) == (25, 6) and M.banding(80) == (29, 5)
+    with pytest.raises(ValueError):
+        M.banding(0)
+    few = M.signatures([np.arange(1, 5, dtype=np.uint64)], 12)
+    assert M.sketches(few).shape == (1, 2)
+    many = M.signatures([np.arange(1, 4000, dtype=np.uint64), np.arange(1, 3, dtype=np.uint64)], 300)
+    assert np.isfinite(many).all()
