@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from scorebook.functions import expr as E
@@ -111,8 +113,8 @@ def margins_guarded(spark, folder, dims):
 
 @query("g5_two_way_complementary")
 def two_way_complementary(spark, folder):
-    dims = {k: DIMS[k] for k in ("segment", "tenure_bucket")}
-    _, cells, total = margins_guarded(spark, folder, dims)
+    """The tables of all pairs of dimensions, each guarded on its own."""
+    _, cells, total = margins_guarded(spark, folder, DIMS)
     return J.guard_two_way(cells, total).select("rows", "cols", "row", "col", "customers", "churned", "reason")
 
 
@@ -144,6 +146,46 @@ def joint_guard_property(spark, folder):
     )
 
 
+EVERY = {**DIMS, "nation": tuple(f"NATION_{i}" for i in range(25))}
+
+
+def guarded_with_medians(spark, folder, dims):
+    """The joint guard of all tables over ``dims``, read with the published medians of tenure."""
+    truth, cells, total = margins_guarded(spark, folder, dims)
+    found = {r["churn"]: r["median"] for r in medians(train(spark, folder), "tenure", keys=["churn"]).collect()}
+    size = total.first()
+    capped = J.median_caps(
+        J.system_of(cells, total), "tenure_bucket", books.TENURE_LABELS, books.TENURE_EDGES,
+        churned=found.get(1), stayed=found.get(0), customers=size["customers"], churners=size["churned"],
+    )
+    settled = J.guard(capped)
+    return truth, J.guarded_cells(cells, settled), settled
+
+
+@query(
+    "g6_joint_guard_of_every_dimension",
+    f"""SELECT CAST(0 AS BIGINT) AS shown_and_breaking, CAST(0 AS BIGINT) AS bounds_wrong, CAST(0 AS BIGINT) AS given_away,
+  CAST({sum(len(v) for v in EVERY.values()) + sum(len(EVERY[a]) * len(EVERY[b]) for a, b in itertools.combinations(EVERY, 2))} AS BIGINT) AS cells
+FROM region LIMIT 1""",
+)
+def joint_guard_of_every_dimension(spark, folder):
+    """All fifteen tables of six dimensions, nations within regions among them, with medians: no
+    shown count breaks the rule, bounds hold the true counts and fix none that breaks it."""
+    truth, cells, settled = guarded_with_medians(spark, folder, EVERY)
+    keeps = E.two_sided(F.col("churned"), F.col("customers") - F.col("churned"))
+    shown = cells.agg(
+        F.count_if(F.col("churned").isNotNull() & (F.col("customers") > 0) & ~keeps).alias("shown_and_breaking"),
+        F.count(F.lit(1)).alias("cells"),
+    )
+    audit = J.bounds(settled)
+    known = truth.select(J.node_of().alias("node"), F.col("churned").alias("true"))
+    outside = audit.join(known, "node").agg(
+        F.count_if(~F.col("true").between(F.col("lo"), F.col("hi"))).alias("bounds_wrong")
+    )
+    given = J.determined(settled, audit=audit).where("breaks").agg(F.count(F.lit(1)).alias("given_away"))
+    return beside(shown, outside, given)
+
+
 @query("g7_guard_again_changes_nothing", "SELECT CAST(0 AS BIGINT) AS changed FROM region LIMIT 1")
 def guard_again(spark, folder):
     _, cells, total, _ = joint_tables(spark, folder)
