@@ -36,8 +36,8 @@ STRETCH = 1024
 END = xxhash.xxh3_64_intdigest(b"\n")
 ALPHA = 0.1
 #: Classes of the table of neighbours, and rounds over that table.
-COARSE = 512
-PAIR_ROUNDS = 1000
+COARSE = 256
+PAIR_ROUNDS = 200
 #: Tasks that add up what the tasks over blocks have counted.
 GATHERERS = 16
 
