@@ -7,16 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import (
     Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,23 +151,6 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
 # --- search ----------------------------------------------------------------------------------------
 
 
-class AveragePrecision(Evaluator):
-    """Average precision by steps over distinct scores (not interpolated)."""
-
-    def __init__(self, label: str) -> None:
-        super().__init__()
-        self.label = label
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        rows = dataset.select(
-            F.col(self.label).alias("y"), vector_to_array("probability").getItem(1).alias("p")
-        )
-        return float(Q.ranking_metrics(rows, score="p", label="y").first()["average_precision"])
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 @dataclass(frozen=True)
 class Candidate:
     key: str
@@ -208,25 +192,64 @@ def tune(
         ).first()
         return Candidate(key, PriorModel.fit(rows, inputs.label), {}, rates["m"], rates["s"], folds)
     pipeline = candidate(key, inputs, seed=seed)
-    last = pipeline.getStages()[-1]
+    *prepared, last = pipeline.getStages()
     builder = ParamGridBuilder()
     for name, values in (GRIDS[key] if grid is None else grid).items():
         builder = builder.addGrid(getattr(last, name), list(values))
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=builder.build(),
-        evaluator=AveragePrecision(inputs.label),
-        numFolds=folds,
-        foldCol=FOLD,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    fitted = search.fit(rows)
-    best = max(range(len(fitted.avgMetrics)), key=lambda i: fitted.avgMetrics[i])
-    settings = {p.name: v for p, v in search.getEstimatorParamMaps()[best].items()}
-    return Candidate(
-        key, fitted.bestModel, settings, fitted.avgMetrics[best], fitted.stdMetrics[best], folds
-    )
+    maps = builder.build()
+    scores = fold_scores(Pipeline(stages=prepared), last, maps, rows, inputs, folds, parallelism)
+    means = [sum(per) / folds for per in scores]
+    best = max(range(len(maps)), key=lambda i: means[i])
+    spread = (sum((s - means[best]) ** 2 for s in scores[best]) / folds) ** 0.5
+    settings = {p.name: v for p, v in maps[best].items()}
+    return Candidate(key, pipeline.fit(rows, maps[best]), settings, means[best], spread, folds)
+
+
+def fold_scores(
+    prepared: Pipeline,
+    last: Estimator,
+    maps: Sequence[Mapping],
+    rows: DataFrame,
+    inputs: Inputs,
+    folds: int,
+    parallelism: int,
+) -> list[list[float]]:
+    """Average precision of every setting in every fold.
+
+    What comes before the classifier does not depend on its settings: it is fitted once per fold,
+    and the settings share its features.  Held-out scores of all folds are ranked together.
+    """
+    spark = rows.sparkSession
+    columns = [inputs.label, WEIGHT, "features"]
+    held = None
+    with ThreadPool(min(parallelism, len(maps))) as pool:
+        for i in range(folds):
+            seen = rows.where(F.col(FOLD) != i)
+            ready = prepared.fit(seen)
+            data = ready.transform(seen).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+
+            def fit(setting: Mapping, data: DataFrame = data) -> Model:
+                return last.fit(data, setting)
+
+            # Every task has its own copy of the thread's properties: Spark changes them while a
+            # command runs, so two threads must not share one.
+            tasks = [
+                pool.apply_async(inheritable_thread_target(spark)(fit), (setting,)) for setting in maps
+            ]
+            models = [task.get() for task in tasks]
+            data.unpersist()
+            out = ready.transform(rows.where(F.col(FOLD) == i)).select(inputs.label, "features")
+            for k, model in enumerate(models):
+                p = vector_to_array("probability").getItem(1).alias(f"__p{k}")
+                out = model.transform(out).select(*out.columns, p)
+            each = [F.struct(F.lit(k).alias("setting"), F.col(f"__p{k}").alias("p")) for k in range(len(maps))]
+            part = out.select(F.lit(i).alias(FOLD), F.col(inputs.label).alias("y"), F.inline(F.array(*each)))
+            held = part if held is None else held.unionByName(part)
+    found = {
+        (r["setting"], r[FOLD]): r["average_precision"]
+        for r in Q.ranking_metrics(held, score="p", label="y", keys=[FOLD, "setting"]).collect()
+    }
+    return [[float(found[k, i]) for i in range(folds)] for k in range(len(maps))]
 
 
 # --- selection ----------------------------------------------------------------------------------------

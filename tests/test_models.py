@@ -100,6 +100,32 @@ def test_saved_metadata_is_checked(spark, rows, tmp_path):
         M.load(spark, bad)
 
 
+def test_settings_fitted_at_once_share_no_thread_properties(spark, rows, monkeypatch):
+    """A command takes its execution out of the properties when it ends; a thread that shares them
+    fails on what is missing ("Cannot parse null string")."""
+    system, context, seen = spark.sparkContext._jvm.java.lang.System, spark.sparkContext._jsc.sc(), []
+    fit = M.LogisticRegression._fit
+
+    def watched(self, dataset):
+        seen.append(system.identityHashCode(context.getLocalProperties()))
+        return fit(self, dataset)
+
+    monkeypatch.setattr(M.LogisticRegression, "_fit", watched)
+    folded = M.fold_rows(rows, INPUTS, 2, 1)
+    grid = {"regParam": [0.0, 0.001, 0.01, 0.1]}
+    got = M.tune("logistic_regression", folded, INPUTS, grid=grid, folds=2, parallelism=4)
+    assert len(seen) == 9 and len(set(seen)) == 9
+    # The chosen setting's figures are those of fits of the whole pipeline, fold by fold.
+    parts = []
+    for i in range(2):
+        chosen = M.candidate("logistic_regression", INPUTS)
+        chosen.getStages()[-1].setParams(**got.settings)
+        held = M.scored(chosen.fit(folded.where(F.col(M.FOLD) != i)), folded.where(F.col(M.FOLD) == i))
+        parts.append(M.Q.ranking_metrics(held, score=M.SCORE, label="y").first()["average_precision"])
+    assert got.cv_score == pytest.approx(sum(parts) / 2, abs=1e-9)
+    assert got.cv_std == pytest.approx(abs(parts[0] - parts[1]) / 2, abs=1e-9)
+
+
 # --- attributions ----------------------------------------------------------------------------------------
 
 
