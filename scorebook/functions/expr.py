@@ -128,9 +128,14 @@ def interval_index(score: ColumnOrName, cuts: Sequence[float]) -> Column:
 # --- numbers -----------------------------------------------------------------------------
 
 
+def clamp_margin(rows: int) -> float:
+    """Half an observation of ``rows``."""
+    return min(1.0 / (2 * max(int(rows), 1)), 0.49)
+
+
 def clamp(score: ColumnOrName, rows: int) -> Column:
     """A score clipped into ``[e, 1 - e]`` with ``e`` half an observation of ``rows``."""
-    e = min(1.0 / (2 * max(int(rows), 1)), 0.49)
+    e = clamp_margin(rows)
     return F.greatest(F.least(col(score), F.lit(1.0 - e)), F.lit(e))
 
 

@@ -4,6 +4,9 @@ A step of an ordering scores rows that take the explained row's value for the fe
 far and a background row's for the rest.  Only the *set* of placed features matters, so the sets
 of all orderings are made once, each is scored against the bounded background in one transform,
 and a feature's contribution is a fixed combination of the sets' mean scores.
+
+Where the score is a link of one term per feature, a set's margin is a sum of terms of the row and
+of the background, so the terms are made once per row and no mixed row is built (``Additive``).
 """
 
 from __future__ import annotations
@@ -11,7 +14,10 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +28,23 @@ from scorebook.operators.tables import beside, named_rows
 
 Score = Callable[[DataFrame], DataFrame]
 
+TERMS = "__terms"
+# Explained rows whose margins are held at once: times the background, in doubles.
+BLOCK = 1024
+
+
+@dataclass(frozen=True)
+class Additive:
+    """A score that is ``link`` of ``constant`` plus one term per feature.
+
+    ``terms`` adds ``TERMS``, the terms in the order of the features, to rows; ``link`` goes from
+    arrays of margins to arrays of scores.
+    """
+
+    terms: Score
+    constant: float
+    link: Callable[[np.ndarray], np.ndarray]
+
 
 def orderings(features: Sequence[str], n: int, seed: int) -> list[list[str]]:
     """``n`` seeded orderings and their reverses."""
@@ -79,6 +102,58 @@ def hybrid_rows(
     return wide.select(id, "__mask", *values)
 
 
+def set_means(
+    explained: DataFrame,
+    reference: DataFrame,
+    additive: Additive,
+    features: Sequence[str],
+    weights: Mapping[int, Mapping[str, float]],
+    *,
+    id: str,
+    output: str,
+) -> DataFrame:
+    """Per id the contributions as an array, the base value and the score.
+
+    Every explained row meets every set and every background row, as margins in blocks of rows; the
+    background is a bounded sample.
+    """
+    behind = additive.terms(reference.select(*features)).select(TERMS).collect()
+    terms = np.array([r[0] for r in behind], dtype=float).reshape(len(behind), len(features))
+    masks, constant, link, block = sorted(weights), additive.constant, additive.link, BLOCK
+    placed = np.array([[m >> i & 1 for i in range(len(features))] for m in masks], dtype=float)
+    shift = constant + (1.0 - placed) @ terms.T
+    combine = np.array([[weights[m].get(f, 0.0) for f in features] for m in masks])
+    empty, whole = masks.index(0), masks.index((1 << len(features)) - 1)
+
+    def blocks(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                own = np.asarray(part.column(1).flatten(), dtype=float).reshape(part.num_rows, -1) @ placed.T
+                means = np.stack(
+                    [link(own[:, k, None] + shift[k]).mean(axis=1) for k in range(len(shift))], axis=1
+                )
+                parts = pa.array(list(means @ combine), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), parts, pa.array(means[:, empty]), pa.array(means[:, whole])],
+                    names=["id", "parts", "base", "score"],
+                )
+
+    # Each row costs thousands of scores: spread them first, over a fixed number of tasks.
+    tasks = int(explained.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = explained.where(F.col(id).isNotNull()).select(id, *features).repartition(tasks, id)
+    kind = explained.schema[id].dataType.simpleString()
+    rows = additive.terms(known).select(F.col(id).alias("id"), TERMS).mapInArrow(
+        blocks, f"id {kind}, parts array<double>, base double, score double"
+    )
+    # An id that comes several times has the mean of its rows.
+    return rows.groupBy(F.col("id").alias(id)).agg(
+        F.array(*[F.avg(F.get("parts", F.lit(i))) for i in range(len(features))]).alias("__parts"),
+        F.avg("base").alias("base_value"),
+        F.avg("score").alias(output),
+    )
+
+
 def attributions(
     explained: DataFrame,
     reference: DataFrame,
@@ -89,12 +164,27 @@ def attributions(
     n_orderings: int = fixed.ORDERINGS,
     seed: int = 0,
     output: str = "score",
+    additive: Additive | None = None,
 ) -> DataFrame:
     """Long attributions (id, feature, value, contribution, base_value, score).
 
     Contributions add up to the row's score less the base value, the background's mean score.
+    ``additive`` says how ``score`` is made of terms, where it is; the attributions are the same.
     """
     weights = set_weights(features, n_orderings, seed)
+    values = explained.select(id, *[F.col(f).cast("string").alias(f) for f in features]).unpivot(
+        id, list(features), "feature", "value"
+    )
+    if additive is not None:
+        means = set_means(explained, reference, additive, features, weights, id=id, output=output)
+        each = [
+            F.struct(F.lit(f).alias("feature"), F.get("__parts", F.lit(i)).alias("contribution"))
+            for i, f in enumerate(features)
+        ]
+        long = means.select(id, "base_value", output, F.inline(F.array(*each)))
+        return long.join(values, [id, "feature"]).select(
+            id, "feature", "contribution", "value", "base_value", output
+        )
     everything = (1 << len(features)) - 1
     rows = hybrid_rows(explained, reference, features, sorted(weights), id=id)
     means = score(rows).groupBy(id, "__mask").agg(F.avg(output).alias("__v"))
@@ -109,9 +199,6 @@ def attributions(
         F.max(F.when(F.col("__mask") == 0, F.col("__v"))).alias("base_value"),
         F.max(F.when(F.col("__mask") == everything, F.col("__v"))).alias(output),
     )
-    values = explained.select(id, *[F.col(f).cast("string").alias(f) for f in features]).unpivot(
-        id, list(features), "feature", "value"
-    )
     return contributions.join(values, [id, "feature"]).join(ends, id)
 
 

@@ -9,11 +9,15 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier,
+)
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
+    Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel,
+    VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from scorebook.functions import expr as E
 from scorebook.functions import fixed
 from scorebook.functions.fixed import Business
+from scorebook.ml.explain import TERMS, Additive
 from scorebook.operators import economics as X
 from scorebook.operators import quality as Q
 from scorebook.operators.split import stratified_folds
@@ -339,6 +344,38 @@ class Scorer:
     def score(self, df: DataFrame, output: str = SCORE) -> DataFrame:
         return self.raw(df, output).withColumn(output, E.clamp(output, self.clamp_rows))
 
+    def additive(self, inputs: Inputs) -> Additive | None:
+        """The score as one term per input under the logistic curve; None where it is not, as of
+        trees, of several parts or of a calibrated one."""
+        (model, calibrator), last = self.parts[0], self.parts[0][0].stages[-1]
+        if len(self.parts) > 1 or calibrator is not None or not isinstance(last, LogisticRegressionModel):
+            return None
+        sizes = [1] * len(inputs.numeric)
+        for stage in model.stages:
+            if isinstance(stage, StringIndexerModel):
+                sizes += [len(known) for known in stage.labelsArray]
+        weights = [float(w) for w in last.coefficients]
+        if len(weights) != sum(sizes) or len(sizes) != len(inputs.columns):
+            return None
+        before = PipelineModel(stages=model.stages[:-1])
+
+        def terms(df: DataFrame) -> DataFrame:
+            out = before.transform(df).withColumn("__v", vector_to_array("features"))
+            parts, start = [], 0
+            for size in sizes:
+                places = range(start, start + size)
+                parts.append(sum((F.get("__v", F.lit(j)) * weights[j] for j in places), F.lit(0.0)))
+                start += size
+            return out.select(*df.columns, F.array(*parts).alias(TERMS))
+
+        low = E.clamp_margin(self.clamp_rows)
+
+        def link(margin: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return np.clip(1.0 / (1.0 + np.exp(-margin)), low, 1.0 - low)
+
+        return Additive(terms, float(last.intercept), link)
+
 
 def logit(c: str):
     p = F.greatest(F.least(F.col(c), F.lit(1 - 1e-12)), F.lit(1e-12))
@@ -520,7 +557,6 @@ def load(spark, path: str, *, data: str | None = None) -> tuple[Scorer, dict]:
         raise ContractError(f"unknown model {row['key']!r}")
     if data is not None and row["data_fingerprint"] != data:
         raise ContractError("the model was trained on other data")
-    from pyspark.ml.classification import LogisticRegressionModel
     from pyspark.ml.regression import IsotonicRegressionModel
 
     kind: Callable | None = {

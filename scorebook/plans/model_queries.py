@@ -174,7 +174,9 @@ def explained_table(spark, folder):
         H.background(train(spark, folder).select("customer_id", *INPUTS.columns), id="customer_id", seed=3)
     )
     rows = durable(validation(spark, folder).select("customer_id", *INPUTS.columns))
-    return H.attributions(rows, reference, scorer.score, INPUTS.columns, id="customer_id", seed=3)
+    return H.attributions(
+        rows, reference, scorer.score, INPUTS.columns, id="customer_id", seed=3, additive=scorer.additive(INPUTS)
+    )
 
 
 @query("l9_c18_attributions")

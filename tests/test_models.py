@@ -157,6 +157,40 @@ def test_attributions_of_an_interaction_are_shared(spark):
     assert {r["feature"]: r["contribution"] for r in got.collect()} == {"x": 0.5, "z": 0.5}
 
 
+def test_attributions_by_terms_are_those_of_mixed_rows(spark, rows, monkeypatch):
+    folded = M.fold_rows(rows, INPUTS, 2, 1)
+    grid = {"regParam": [0.01]}
+    best = M.tune("logistic_regression", folded, INPUTS, grid=grid, folds=2)
+    scorer = M.Scorer([(best.model, None)], None, 20)
+    reference = H.background(rows.where("id >= 100"), 30, id="id", seed=1)
+    odd = spark.createDataFrame(
+        [(1, None, "a"), (1, 0.5, "b"), (2, 0.9, None), (3, 0.1, "unseen"), (None, 0.2, "c")], "id int, x double, g string"
+    )
+    explained = rows.where("id >= 10 AND id < 30").select("id", "x", "g").unionByName(odd)
+    plain = H.attributions(explained, reference, scorer.score, ["x", "g"], id="id", n_orderings=2)
+    want = sorted((r.asDict() for r in plain.collect()), key=lambda r: (r["id"], r["feature"], r["value"] or ""))
+    monkeypatch.setattr(H, "hybrid_rows", None)
+    fast = H.attributions(
+        explained, reference, scorer.score, ["x", "g"], id="id", n_orderings=2, additive=scorer.additive(INPUTS)
+    )
+    assert fast.columns == plain.columns
+    got = sorted((r.asDict() for r in fast.collect()), key=lambda r: (r["id"], r["feature"], r["value"] or ""))
+    assert len(got) == len(want) == 48
+    for a, b in zip(got, want, strict=True):
+        assert (a["id"], a["feature"], a["value"]) == (b["id"], b["feature"], b["value"])
+        assert all(a[c] == pytest.approx(b[c], abs=1e-12) for c in ("contribution", "base_value", "score"))
+
+
+def test_only_a_single_uncalibrated_logistic_score_is_made_of_terms(spark, rows):
+    folded = M.fold_rows(rows, INPUTS, 2, 1)
+    tree = M.tune("random_forest", folded, INPUTS, grid={"numTrees": [2], "maxDepth": [2]}, folds=2)
+    line = M.tune("logistic_regression", folded, INPUTS, grid={"regParam": [0.1]}, folds=2)
+    prior = M.tune("dummy", folded, INPUTS, folds=2)
+    for parts in ([(tree.model, None)], [(prior.model, None)], [(line.model, None)] * 2, [(line.model, line.model)]):
+        assert M.Scorer(parts, None, 20).additive(INPUTS) is None
+    assert M.Scorer([(line.model, None)], None, 20).additive(INPUTS) is not None
+
+
 def test_orderings_are_antithetic_and_seeded():
     walks = H.orderings(["a", "b", "c"], 3, 7)
     assert walks == H.orderings(["a", "b", "c"], 3, 7) and len(walks) == 6
