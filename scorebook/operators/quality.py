@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorebook.functions import expr as E
 from scorebook.functions import fixed
 from scorebook.functions.fixed import MIN_CELL
-from scorebook.operators.prefix import running_totals
+from scorebook.operators.prefix import RANGE, running_totals, with_range
 from scorebook.operators.segments import members
 from scorebook.operators.tables import beside, named_rows
 
@@ -315,11 +315,20 @@ def calibration_error(df: DataFrame, *, score: str, label: str, bins: int = fixe
 def reliability_on(df: DataFrame, *, score: str, label: str, cuts: Sequence[float]) -> DataFrame:
     """Reliability on the intervals between given cuts, the last one closed at 1.
 
-    The cuts are a short list in the plan, so there is no range join.
+    The cuts are a short list in the plan, so there is no range join.  A score's interval is found
+    by bisection: a hundred comparisons written out make a method too long to be compiled, and
+    every row would be interpreted.
     """
     cuts = [float(t) for t in cuts]
+    edges = sorted({t + 0.0 for t in cuts})
+    places = [-1] + [sum(t <= edge for t in cuts) - 1 for edge in edges]
+    # Zero is added as the search tells -0 from 0; a score that is not a number lies above all.
+    placed = with_range(
+        df.select(F.col(score), F.col(label), (F.col(score) + F.lit(0.0)).alias("__at")), "__at", edges
+    )
+    place = F.get(F.array(*[F.lit(i) for i in places]), F.least(F.col(RANGE), F.lit(len(edges))))
     table = (
-        df.groupBy(E.interval_index(score, cuts).alias("i"))
+        placed.groupBy(F.when(F.col(RANGE).isNotNull(), place).alias("i"))
         .agg(
             F.count(F.lit(1)).alias("customers"),
             F.avg(score).alias("__mean"),

@@ -13,7 +13,7 @@ from scorebook.functions import expr as E
 from scorebook.functions import fixed
 from scorebook.functions.fixed import MIN_CELL
 from scorebook.operators.prefix import medians
-from scorebook.operators.split import row_hash, sums
+from scorebook.operators.split import checksum, half_sums, row_hash
 from scorebook.operators.tables import beside, named_rows
 
 Levels = Mapping[str, Sequence[str]]
@@ -521,12 +521,20 @@ def members(df: DataFrame, columns: Sequence[str], *, carry: Sequence[str] = ())
 def identical_segments(df: DataFrame, columns: Sequence[str], *, id: str) -> DataFrame:
     """Segments of different dimensions with exactly the same members: one row per segment,
     with the group it shares.  Members are compared by an order-free fingerprint, so no member
-    list is ever gathered."""
-    hashed = df.withColumn("__h", row_hash([id]))
+    list is ever gathered.  Each row is hashed once, and rows with the same levels in every
+    dimension are counted once before the dimensions are read off."""
+    hashed = df.select(*columns, row_hash([id]).alias("__h"))
+    upper, lower = half_sums(F.col("__h"))
+    found = hashed.groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("__n"), F.bit_xor("__h").alias("__x"), upper.alias("__u"), lower.alias("__l")
+    )
     groups = (
-        members(hashed, columns, carry=["__h"])
+        members(found, columns, carry=["__n", "__x", "__u", "__l"])
         .groupBy("dimension", "segment")
-        .agg(F.count(F.lit(1)).alias("customers"), *sums(F.col("__h"), "members"))
+        .agg(
+            F.sum("__n").alias("customers"), F.bit_xor("__x").alias("members"),
+            checksum(F.sum("__u"), F.sum("__l")).alias("checksum"),
+        )
     )
     same = Window.partitionBy("customers", "members", "checksum")
     return (

@@ -122,10 +122,19 @@ def fingerprint(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] =
 
 def sums(hashed: Column, name: str) -> list[Column]:
     """The XOR of hashes under ``name`` and their exact sum as ``checksum``."""
-    return [
-        F.bit_xor(hashed).alias(name),
-        F.sum(hashed.cast("decimal(20,0)")).cast("string").alias("checksum"),
-    ]
+    return [F.bit_xor(hashed).alias(name), checksum(*half_sums(hashed)).alias("checksum")]
+
+
+def half_sums(hashed: Column) -> tuple[Column, Column]:
+    """Sums of the upper and lower 30 bits of 60-bit hashes: whole numbers, which add up much
+    faster than decimals."""
+    return F.sum(F.shiftright(hashed, 30)), F.sum(hashed.bitwiseAND(F.lit((1 << 30) - 1)))
+
+
+def checksum(upper: Column, lower: Column) -> Column:
+    """The exact sum of hashes from those of their halves, as text."""
+    whole = upper.cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + lower.cast("decimal(20,0)")
+    return whole.cast("string")
 
 
 def split_digest(df: DataFrame, *, id: str, partition: str = "partition_name") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from scorebook.functions.fixed import Business
 from scorebook.operators import economics as X
 from scorebook.operators import quality as Q
+from scorebook.operators import segments as S
+from scorebook.operators.split import fingerprint, row_hash
 from scorebook.operators.tables import named_rows
 
 
@@ -194,3 +196,43 @@ def test_two_lookups_at_one_threshold_are_two_rows(spark, data):
     looked = named_rows(spark, "name string, at double", [("a", 0.2), ("b", 0.2), ("c", 0.55)])
     got = sorted((r["name"], round(r["threshold"], 2)) for r in X.nearest_cuts(looked, sweep).collect())
     assert got == [("a", 0.2), ("b", 0.2), ("c", 0.55)]
+
+
+def test_intervals_between_a_hundred_cuts_are_found_by_compiled_code(spark):
+    cuts = [i * 0.01 for i in range(0, 100)]
+    scores = [-0.0, 0.0, 0.005, 0.01, 0.29, 0.5, 0.985, 0.99, 1.0, None]
+    df = spark.createDataFrame([(p, i % 2) for i, p in enumerate(scores)], "p double, y int")
+    table = Q.reliability_on(df, score="p", label="y", cuts=cuts)
+    got = {r["low"]: (r["customers"], r["churned"]) for r in table.collect()}
+    want = {c: [0, 0] for c in cuts}
+    for i, p in enumerate(scores):
+        if p is not None:
+            low = max(c for c in cuts if p >= c)
+            want[low] = [want[low][0] + 1, want[low][1] + i % 2]
+    assert got == {c: tuple(v) for c, v in want.items()}
+    # HotSpot compiles no method of 8,000 bytes or more; it interprets it for every row.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = Q.reliability_on(df, score="p", label="y", cuts=cuts)
+        text = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(part.split(";")[0]) for part in text.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) < 8000
+
+
+def test_identical_segments_hash_each_row_once(spark):
+    rows = [(i, "ab"[i % 2], "xy"[i % 2] if i % 7 else None, "pq"[i // 10 % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    twin = df.withColumn("b2", F.col("a"))
+    got = {(r["dimension"], r["segment"]): r for r in S.identical_segments(twin, ["a", "b", "b2", "c"], id="id").collect()}
+    assert set(got) == {("a", "a"), ("a", "b"), ("b2", "a"), ("b2", "b")}
+    for level in "ab":
+        own = fingerprint(df.where(F.col("a") == level), ["id"]).first()
+        whole = df.where(F.col("a") == level).select(row_hash(["id"]).alias("h")).agg(F.sum(F.col("h").cast("decimal(20,0)")).cast("string")).first()[0]
+        assert own["checksum"] == whole
+        for d in ("a", "b2"):
+            r = got[d, level]
+            assert (r["customers"], r["members"], r["checksum"]) == (30, own["fingerprint"], whole)
+    plan = S.identical_segments(twin, ["a", "b", "b2", "c"], id="id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("md5")
