@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from scorebook.functions import expr as E
@@ -207,174 +207,267 @@ def median_caps(
 
 # --- rounds -------------------------------------------------------------------------------------------
 
+#: Rounds, and sweeps of the bounds, that one written table holds: what comes after the last one
+#: that moves something changes nothing.
+ROUNDS = 2
+SWEEPS = 6
+#: The terms are few, as levels are, and a shuffle into many partitions costs more than its rows:
+#: some partitions at least, and one more for so many terms.
+PARTS, TERMS_IN_A_PART = 4, 20_000
 
-def line_states(system: System, minimum: int) -> DataFrame:
-    """Each line with what an outsider knows of its hidden members together."""
-    members = system.lines.join(system.nodes, "node")
-    totals = system.nodes.select(
-        F.col("node").alias("total"), F.col("n").alias("tn"), F.col("c").alias("tc"),
-        F.col("hidden").alias("total_hidden"), F.col("alone").alias("total_alone"),
-    )
-    sums = members.groupBy("line", "total").agg(
-        F.sum(F.when(~F.col("hidden"), F.col("n")).otherwise(0)).alias("sn"),
-        F.sum(F.when(~F.col("hidden"), F.col("c")).otherwise(0)).alias("sc"),
-        F.count_if("hidden").alias("hidden_members"),
-        F.count_if(F.col("hidden") & F.col("alone")).alias("alone_members"),
+#: Extents of further hiding that are tried at once, and single steps between two such searches.
+TRIALS = 8
+STEPS = 8
+
+
+def per_rule() -> WindowSpec:
+    return Window.partitionBy("trial", "on")
+
+
+def per_count() -> WindowSpec:
+    return Window.partitionBy("trial", "node")
+
+
+def terms_of(system: System) -> DataFrame:
+    """Every count under each rule it takes part in, with what is known of it.
+
+    A rule (``on``) holds ``low <= sum(sign * count) <= high``: a line is its members less their
+    total, twins and nested groups are differences of two, a cap bounds a sum.  Each count also
+    stands alone once (``kind`` own).  A round is then two windows over one small table: over the
+    terms of a rule, and over the terms of a count.
+    """
+    bound = F.lit(None).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def rows(df: DataFrame, kind: str, key: Column, node: str, sign: int, low: Column, high: Column) -> DataFrame:
+        return df.select(
+            F.concat_ws("|", F.lit(kind), key).alias("on"), F.lit(kind).alias("kind"), F.col(node).alias("node"),
+            F.lit(sign).alias("sign"), low.alias("low"), high.alias("high"), F.lit(0).alias("trial"),
+        )
+
+    totals = system.lines.select("line", "total").distinct()
+    pairs = system.same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pair, nest = F.concat_ws(" ", "a", "b"), F.concat_ws(" ", "small", "large")
+    parts = [
+        rows(system.lines, "line", F.col("line"), "node", 1, zero, zero),
+        rows(totals, "line", F.col("line"), "total", -1, zero, zero),
+        rows(pairs, "same", pair, "a", 1, zero, zero),
+        rows(pairs, "same", pair, "b", -1, zero, zero),
+        rows(system.inside, "inside", nest, "large", 1, zero, F.col("gap")),
+        rows(system.inside, "inside", nest, "small", -1, zero, F.col("gap")),
+        rows(system.nodes, "own", F.col("node"), "node", 1, bound, bound),
+    ]
+    if system.caps is not None:
+        sized = system.caps.join(system.nodes.select("node", "n"), "node").withColumn(
+            "sn", F.sum("n").over(Window.partitionBy("cap"))
+        )
+        upper, least = F.col("upper"), F.col("sn") - F.col("bound")
+        parts.append(
+            rows(sized, "cap", F.col("cap"), "node", 1, F.when(~upper, least), F.when(upper, F.col("bound")))
+        )
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    # A rule of which one side is not published says nothing.
+    found = found.join(system.nodes, "node")
+    whole = F.col("kind").isin("own", "cap") | ((F.max("sign").over(per_rule()) > 0) & (F.min("sign").over(per_rule()) < 0))
+    return settled(found.withColumn("__whole", whole).where("__whole").drop("__whole"))
+
+
+def parts_of(terms: DataFrame) -> int:
+    """Partitions that a round spreads the terms over."""
+    return PARTS + terms.count() // TERMS_IN_A_PART
+
+
+def with_broken(terms: DataFrame, minimum: int) -> DataFrame:
+    """``broken``: the line gives its hidden counts away together."""
+    member, hidden = F.col("sign") > 0, F.col("hidden")
+    total = ~member
+    known = terms.withColumns(
+        {
+            "__sn": F.sum(F.when(member & ~hidden, F.col("n")).otherwise(0)).over(per_rule()),
+            "__sc": F.sum(F.when(member & ~hidden, F.col("c")).otherwise(0)).over(per_rule()),
+            "__hidden": F.count_if(member & hidden).over(per_rule()),
+            "__alone": F.count_if(member & hidden & F.col("alone")).over(per_rule()),
+            "__tn": F.max(F.when(total, F.col("n"))).over(per_rule()),
+            "__tc": F.max(F.when(total, F.col("c"))).over(per_rule()),
+            "__th": F.count_if(total & hidden).over(per_rule()) > 0,
+            "__ta": F.count_if(total & F.col("alone")).over(per_rule()) > 0,
+        }
     )
-    joined = sums.join(totals, "total")
-    rest_n, rest_c = F.col("tn") - F.col("sn"), F.col("tc") - F.col("sc")
-    lone = F.col("alone_members") == F.col("hidden_members")
+    sn, sc = F.col("__sn"), F.col("__sc")
+    rest_n, rest_c = F.col("__tn") - sn, F.col("__tc") - sc
     # A shown total gives the hidden members' sum; a hidden total with every member shown is
     # itself their sum.
     by_total = (
-        ~F.col("total_hidden") & (F.col("hidden_members") > 0)
-        & (~E.two_sided(rest_c, rest_n - rest_c, minimum) | lone)
+        ~F.col("__th") & (F.col("__hidden") > 0)
+        & (~E.two_sided(rest_c, rest_n - rest_c, minimum) | (F.col("__alone") == F.col("__hidden")))
     )
     by_members = (
-        F.col("total_hidden") & (F.col("hidden_members") == 0)
-        & (~E.two_sided(F.col("sc"), F.col("sn") - F.col("sc"), minimum) | F.col("total_alone"))
+        F.col("__th") & (F.col("__hidden") == 0) & (~E.two_sided(sc, sn - sc, minimum) | F.col("__ta"))
     )
-    return joined.withColumn("broken", by_total | by_members).select("line", "total", "broken", "total_hidden")
-
-
-def smallest_shown(system: System, broken_lines: DataFrame, hide_margins: bool) -> DataFrame:
-    """One further count to hide per broken line: its smallest shown member, or with
-    ``hide_margins`` its total where no member is left."""
-    members = broken_lines.select("line", "total").join(system.lines.select("line", "node"), "line")
-    options = members.select("line", "node", F.lit(0).alias("rank"))
-    if hide_margins:
-        totals = broken_lines.where(F.col("total") != TOTAL).select(
-            "line", F.col("total").alias("node"), F.lit(1).alias("rank")
-        )
-        options = options.unionByName(totals)
-    shown = options.join(system.nodes.where(~F.col("hidden")), "node")
-    first = F.min_by("node", F.struct("rank", F.col("margin"), F.col("n"), F.col("node")))
-    return shown.groupBy("line").agg(first.alias("node"))
-
-
-def cheapest_beside_hidden(system: System, hide_margins: bool) -> DataFrame:
-    """The one smallest shown count on a line that has a hidden one; cells before margins."""
-    hidden = system.nodes.where("hidden").select("node")
-    by_member = system.lines.join(hidden, "node", "left_semi").select("line", "total")
-    by_total = system.lines.join(
-        hidden.withColumnRenamed("node", "total"), "total", "left_semi"
-    ).select("line", "total")
-    options = smallest_shown(system, by_member.unionByName(by_total).distinct(), hide_margins)
-    return (
-        system.nodes.join(options.select("node").distinct(), "node", "left_semi")
-        .orderBy("margin", "n", "node")
-        .limit(1)
-        .select("node")
+    broken = (F.col("kind") == "line") & F.coalesce(by_total | by_members, F.lit(False))
+    return known.withColumn("broken", broken).drop(
+        "__sn", "__sc", "__hidden", "__alone", "__tn", "__tc", "__th", "__ta"
     )
 
 
-def next_hidden(system: System, minimum: int, hide_margins: bool) -> DataFrame:
-    """Nodes to hide on top in one round."""
-    hidden = system.nodes.where("hidden").select("node")
-    shown = system.nodes.where(~F.col("hidden"))
-    # The same members are hidden under every name.
-    twins = (
-        system.same.join(hidden.withColumnRenamed("node", "a"), "a", "left_semi")
-        .select(F.col("b").alias("node"))
-    )
-    broken = line_states(system, minimum).where("broken")
-    by_line = smallest_shown(system, broken, hide_margins).select("node")
-    # A difference of two shown nested groups must keep the rule: the smaller one goes.
-    s = shown.select(F.col("node").alias("small"), F.col("c").alias("cs"))
-    l = shown.select(F.col("node").alias("large"), F.col("c").alias("cl"))
-    gap_c = F.col("cl") - F.col("cs")
-    gaps = (
-        system.inside.join(s, "small").join(l, "large")
-        .where(~E.two_sided(gap_c, F.col("gap") - gap_c, minimum))
-        .select(F.col("small").alias("node"))
-    )
-    found = twins.unionByName(by_line).unionByName(gaps).distinct()
-    return found.join(shown.select("node"), "node", "left_semi").where(F.col("node") != TOTAL)
+def smallest_shown(hide_margins: bool) -> Column:
+    """Whether a term is what its line hides next: the smallest shown member, or with
+    ``hide_margins`` the total where no member is left."""
+    total = F.col("sign") < 0
+    open_ = ~total | (F.lit(hide_margins) & (F.col("node") != TOTAL))
+    order = F.struct(total.alias("rank"), F.col("margin"), F.col("n"), F.col("node"))
+    first = F.min(F.when((F.col("kind") == "line") & ~F.col("hidden") & open_, order)).over(per_rule())
+    return (F.col("kind") == "line") & F.coalesce(F.col("node") == first["node"], F.lit(False))
 
 
-def hide(system: System, nodes: DataFrame) -> System:
-    marked = system.nodes.join(nodes.withColumn("__more", F.lit(True)), "node", "left")
-    more = F.coalesce("__more", F.lit(False))
-    out = marked.select(
-        "node", "n", F.when(~more, F.col("c")).alias("c"), (F.col("hidden") | more).alias("hidden"),
-        "margin", "alone",
-    )
-    return replace(system, nodes=settled(out))
+def hidden_more(terms: DataFrame, chosen: str, parts: int) -> DataFrame:
+    """The counts ``chosen`` under any rule hidden under all; ``more`` marks them."""
+    terms = terms.repartition(parts, "trial", "node")
+    more = F.bool_or(F.col(chosen) & ~F.col("hidden") & (F.col("node") != TOTAL)).over(per_count())
+    out = terms.withColumn("more", more)
+    return out.withColumns({"hidden": F.col("hidden") | F.col("more"), "c": F.when(~F.col("more"), F.col("c"))})
 
 
-def bounds(system: System) -> DataFrame:
-    """The tightest interval each count has, by passing bounds along lines, twins and nestings
-    until nothing moves: (node, n, hidden, alone, lo, hi)."""
-    state = settled(
-        system.nodes.select(
-            "node", "n", "hidden", "alone",
-            F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("c")).cast("bigint").alias("lo"),
-            F.when(F.col("hidden"), F.col("n")).otherwise(F.col("c")).cast("bigint").alias("hi"),
-        )
+def hiding_round(
+    terms: DataFrame, minimum: int, hide_margins: bool, parts: int, within: Column | None = None
+) -> DataFrame:
+    """One round: what breaks the rule now is hidden, and what lies ``within`` on a line with a
+    hidden count."""
+    terms = with_broken(terms.repartition(parts, "trial", "on"), minimum)
+    hidden = F.count_if("hidden").over(per_rule())
+    # The same members are hidden under every name.
+    twins = (F.col("kind") == "same") & (hidden > 0)
+    # A difference of two shown nested groups must keep the rule: the smaller one goes.
+    gap_c = F.sum(F.col("sign") * F.col("c")).over(per_rule())
+    keeps = E.two_sided(gap_c, F.col("high") - gap_c, minimum)
+    gaps = (F.col("kind") == "inside") & (F.col("sign") < 0) & (hidden == 0) & ~F.coalesce(keeps, F.lit(True))
+    by_line = F.col("broken") & smallest_shown(hide_margins)
+    chosen = twins | gaps | by_line
+    if within is not None:
+        open_ = (F.col("sign") > 0) | F.lit(hide_margins)
+        chosen = chosen | ((F.col("kind") == "line") & (hidden > 0) & open_ & within)
+    return hidden_more(terms.withColumn("__chosen", chosen), "__chosen", parts).drop("__chosen")
+
+
+def rounds_done(terms: DataFrame, minimum: int, hide_margins: bool, parts: int) -> DataFrame:
+    """Rounds until one hides nothing.  Raises ``Unprotectable`` for a line left broken."""
+    while True:
+        for _ in range(ROUNDS):
+            terms = hiding_round(terms.drop("more", "broken"), minimum, hide_margins, parts)
+        terms = settled(terms)
+        found = terms.agg(F.bool_or("more").alias("more"), F.min(F.when(F.col("broken"), F.col("on"))).alias("line")).first()
+        if found["more"]:
+            continue
+        if found["line"] is not None:
+            raise Unprotectable(f"nothing is left to hide on line {found['line'].removeprefix('line|')}")
+        return terms.drop("more", "broken")
+
+
+def bounded(terms: DataFrame, parts: int) -> DataFrame:
+    """``terms`` with the tightest interval (``lo``, ``hi``) of each count, by passing bounds
+    along every rule until nothing moves."""
+    state = terms.withColumns(
+        {
+            "lo": F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("c")).cast("bigint"),
+            "hi": F.when(F.col("hidden"), F.col("n")).otherwise(F.col("c")).cast("bigint"),
+        }
     )
-    width = None
+    added = F.col("sign") > 0
+    least, most = F.when(added, F.col("lo")).otherwise(-F.col("hi")), F.when(added, F.col("hi")).otherwise(-F.col("lo"))
+    # What the other terms of the rule leave to this one.
+    up = F.col("high") - (F.sum("__least").over(per_rule()) - F.col("__least"))
+    down = F.col("low") - (F.sum("__most").over(per_rule()) - F.col("__most"))
     while True:
-        slim = state.select("node", "lo", "hi")
-        members = system.lines.join(slim, "node")
-        totals = slim.select(F.col("node").alias("total"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
-        line = Window.partitionBy("line")
-        wide = members.join(totals, "total").withColumns(
-            {"slo": F.sum("lo").over(line), "shi": F.sum("hi").over(line)}
-        )
-        steps = [
-            wide.select(
-                "node",
-                (F.col("tlo") - (F.col("shi") - F.col("hi"))).alias("lo"),
-                (F.col("thi") - (F.col("slo") - F.col("lo"))).alias("hi"),
-            ),
-            wide.select(F.col("total").alias("node"), F.col("slo").alias("lo"), F.col("shi").alias("hi")),
-            system.same.join(slim.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "lo", "hi"),
-        ]
-        small = slim.withColumnsRenamed({"node": "small", "lo": "slo", "hi": "shi"})
-        large = slim.withColumnsRenamed({"node": "large", "lo": "llo", "hi": "lhi"})
-        nested = system.inside.join(small, "small").join(large, "large")
-        steps.append(
-            nested.select(F.col("small").alias("node"), (F.col("llo") - F.col("gap")).alias("lo"), F.col("lhi").alias("hi"))
-        )
-        steps.append(
-            nested.select(F.col("large").alias("node"), F.col("slo").alias("lo"), (F.col("shi") + F.col("gap")).alias("hi"))
-        )
-        if system.caps is not None:
-            cap = Window.partitionBy("cap")
-            capped = system.caps.join(state.select("node", "n", "lo", "hi"), "node").withColumns(
-                {"slo": F.sum("lo").over(cap), "shi": F.sum("hi").over(cap), "sn": F.sum("n").over(cap)}
-            )
-            upper = F.col("bound") - (F.col("slo") - F.col("lo"))
-            lower = F.col("sn") - F.col("bound") - (F.col("shi") - F.col("hi"))
-            steps.append(
-                capped.select(
-                    "node",
-                    F.when(~F.col("upper"), lower).alias("lo"),
-                    F.when(F.col("upper"), upper).alias("hi"),
+        for _ in range(SWEEPS):
+            state = (
+                state.repartition(parts, "trial", "on")
+                .withColumns({"__least": least, "__most": most})
+                .withColumns({"__up": up, "__down": down})
+                .withColumns(
+                    {
+                        "__lo": F.greatest("lo", F.when(added, F.col("__down")).otherwise(-F.col("__up"))),
+                        "__hi": F.least("hi", F.when(added, F.col("__up")).otherwise(-F.col("__down"))),
+                    }
                 )
+                .repartition(parts, "trial", "node")
+                .withColumns({"__lo": F.max("__lo").over(per_count()), "__hi": F.min("__hi").over(per_count())})
+                .withColumn("moved", (F.col("__lo") > F.col("lo")) | (F.col("__hi") < F.col("hi")))
+                .withColumns({"lo": F.col("__lo"), "hi": F.col("__hi")})
+                .drop("__least", "__most", "__up", "__down", "__lo", "__hi")
             )
-        moved = steps[0]
-        for step in steps[1:]:
-            moved = moved.unionByName(step)
-        best = moved.groupBy("node").agg(F.max("lo").alias("nlo"), F.min("hi").alias("nhi"))
-        state = settled(
-            state.join(best, "node", "left").select(
-                "node", "n", "hidden", "alone",
-                F.greatest("lo", "nlo").alias("lo"), F.least("hi", "nhi").alias("hi"),
-            )
-        )
-        now = state.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0]
-        if now == width:
-            return state
-        width = now
+        state = settled(state)
+        if not state.agg(F.bool_or("moved")).first()[0]:
+            return state.drop("moved")
+
+
+def bounds(system: System) -> DataFrame:
+    """The tightest interval each count has, by passing bounds along lines, twins, nestings and
+    caps until nothing moves: (node, n, hidden, alone, lo, hi)."""
+    terms = terms_of(system)
+    return bounded(terms, parts_of(terms)).where("kind = 'own'").select("node", "n", "hidden", "alone", "lo", "hi")
+
+
+def fixed_and_breaking(minimum: int) -> Column:
+    """Whether a count's bounds fix it and the group so fixed breaks the rule."""
+    return ~E.two_sided("lo", F.col("n") - F.col("lo"), minimum) | F.col("alone")
 
 
 def determined(system: System, minimum: int = MIN_CELL, *, audit: DataFrame | None = None) -> DataFrame:
     """Hidden counts the bounds fix, with ``breaks`` where the fixed group breaks the rule."""
     state = bounds(system) if audit is None else audit
     fixed = state.where("hidden AND lo = hi")
-    breaks = ~E.two_sided("lo", F.col("n") - F.col("lo"), minimum) | F.col("alone")
-    return fixed.withColumn("breaks", breaks).select("node", "n", "lo", "breaks")
+    return fixed.withColumn("breaks", fixed_and_breaking(minimum)).select("node", "n", "lo", "breaks")
+
+
+def given_away(minimum: int) -> Column:
+    fixed = F.col("hidden") & (F.col("lo") == F.col("hi")) & fixed_and_breaking(minimum)
+    return F.coalesce(fixed, F.lit(False))
+
+
+def still_given(terms: DataFrame, minimum: int, hide_margins: bool, parts: int) -> DataFrame:
+    """The terms after as many single steps of hiding the cheapest count beside a hidden one as
+    leave a count given away; the step after them is the first that may settle it.
+
+    The cheapest one goes first, so before a count dearer than ``x`` does, every count up to ``x``
+    that can be reached along lines with hidden ones is hidden, and its twins.  That set grows with
+    ``x`` and bounds only widen with it, so the last ``x`` that leaves something given away is
+    found by trying a few at once.  Counts hidden here keep the rule, so none is given away itself;
+    where a shown count is always to be hidden, that does not hold and no step is taken.
+    """
+    own = terms.where((F.col("kind") == "own") & ~F.col("hidden") & (F.col("node") != TOTAL))
+    shown = own.select("margin", "n", "node", "alone").collect()
+    if any(r["alone"] for r in shown):
+        return terms
+    order = sorted((r["margin"], r["n"], r["node"]) for r in shown)
+    low, high = -1, len(order)
+    within = F.struct("margin", "n", "node") <= F.struct("to_margin", "to_n", "to_node")
+    while high - low > 1:
+        tried = sorted({low + max(1, (high - low) * k // (TRIALS + 1)) for k in range(1, TRIALS + 1)} - {high})
+        choices = F.array(
+            *[
+                F.struct(
+                    F.lit(k).alias("trial"), F.lit(order[k][0]).alias("to_margin"),
+                    F.lit(order[k][1]).cast("bigint").alias("to_n"), F.lit(order[k][2]).alias("to_node"),
+                )
+                for k in tried
+            ]
+        )
+        trials = terms.drop("trial").withColumn("__trial", F.explode(choices)).select("*", "__trial.*").drop("__trial")
+        while True:
+            for _ in range(ROUNDS):
+                trials = hiding_round(trials.drop("more", "broken"), minimum, hide_margins, parts, within)
+            trials = settled(trials)
+            if not trials.agg(F.bool_or("more")).first()[0]:
+                break
+        trials = trials.drop("more", "broken", "to_margin", "to_n", "to_node")
+        left = bounded(trials, parts).where(given_away(minimum)).agg(F.max("trial")).first()[0]
+        if left is not None:
+            terms = trials.where(F.col("trial") == left)
+            low = left
+        high = min([k for k in tried if k > low], default=high)
+    return terms
 
 
 def guard(
@@ -383,33 +476,44 @@ def guard(
     """Hide until nothing more is given away.  Raises ``Unprotectable`` when a group stays
     determined with nothing left to hide around it.  Every round hides at least one count, so it
     ends after at most as many rounds as there are counts."""
+    terms = terms_of(system)
+    parts = parts_of(terms)
+    single = 0
     while True:
-        more = settled(next_hidden(system, minimum, hide_margins))
-        if not more.isEmpty():
-            system = hide(system, more)
-            continue
-        stuck = line_states(system, minimum).where("broken")
-        if not stuck.isEmpty():
-            raise Unprotectable(f"nothing is left to hide on line {stuck.first()['line']}")
+        terms = rounds_done(terms, minimum, hide_margins, parts)
         if not audit:
-            return system
-        given = settled(determined(system, minimum).where("breaks").select("node"))
-        if given.isEmpty():
-            return system
-        around = system.lines.join(given, "node", "left_semi").select("line", "total").distinct()
-        as_total = system.lines.join(
-            given.withColumnRenamed("node", "total"), "total", "left_semi"
-        ).select("line", "total").distinct()
-        more = settled(
-            smallest_shown(system, around.unionByName(as_total), hide_margins).select("node").distinct()
-        )
-        if more.isEmpty():
+            break
+        state = bounded(terms, parts).withColumn("__given", given_away(minimum)).drop("lo", "hi")
+        given = state.agg(F.min(F.when(F.col("__given"), F.col("node")))).first()[0]
+        if given is None:
+            break
+        around = (F.count_if("__given").over(per_rule()) > 0) & smallest_shown(hide_margins)
+        beside = (F.count_if("hidden").over(per_rule()) > 0) & smallest_shown(hide_margins)
+        spread = state.repartition(parts, "trial", "on")
+        options = settled(spread.withColumns({"__around": around, "__beside": beside}).drop("__given"))
+        order = F.struct("margin", "n", "node")
+        found = options.agg(
+            F.bool_or("__around").alias("any"), F.min(F.when(F.col("__beside"), order)).alias("first")
+        ).first()
+        if found["any"]:
+            chosen = F.col("__around")
+        elif found["first"] is not None:
             # Every count on its own lines is hidden: what fixes it comes over other hidden
             # counts, so the cheapest count next to any hidden one goes.
-            more = settled(cheapest_beside_hidden(system, hide_margins))
-        if more.isEmpty():
-            raise Unprotectable(f"{given.first()['node']} stays determined with nothing left to hide")
-        system = hide(system, more)
+            if single % STEPS == 0:
+                options = still_given(options, minimum, hide_margins, parts)
+                beside = (F.count_if("hidden").over(per_rule()) > 0) & smallest_shown(hide_margins)
+                found = options.withColumn("__beside", beside).agg(F.min(F.when(F.col("__beside"), order)).alias("first")).first()
+                if found["first"] is None:
+                    raise Unprotectable(f"{given} stays determined with nothing left to hide")
+            single += 1
+            chosen = F.col("node") == found["first"]["node"]
+        else:
+            raise Unprotectable(f"{given} stays determined with nothing left to hide")
+        terms = hidden_more(options.withColumn("__chosen", chosen), "__chosen", parts)
+        terms = terms.drop("__chosen", "__around", "__beside", "more")
+    own = terms.where("kind = 'own'").select("node", "n", "c", "hidden", "margin", "alone")
+    return replace(system, nodes=settled(own))
 
 
 def guarded_cells(

@@ -363,6 +363,41 @@ def test_published_medians_bound_the_buckets(spark):
     assert held["m|t|0-3"][1] <= 20
 
 
+def test_many_single_steps_are_found_by_few_searches(spark, monkeypatch):
+    """``t0`` is fixed by a group around it, far along a line whose counts go cheapest first."""
+    written, write = [], J.settled
+
+    def counted(df):
+        written.append(1)
+        assert len(written) <= 60
+        return write(df)
+
+    monkeypatch.setattr(J, "settled", counted)
+    levels, far = 24, 20
+    sizes = {f"u{k:02}": (100 + k, 50) for k in range(levels)}
+    big = f"u{far}"
+    n_big = sizes[big][0]
+    sizes[big] = (n_big, n_big - 25)
+    n, c = sum(x for x, _ in sizes.values()), sum(x for _, x in sizes.values())
+    first = ("u00", "u01")
+    nodes = [("total", n, c, False, True, False), ("t0", 40, None, True, True, False), ("t1", n - 40, None, True, True, False)]
+    nodes += [(u, m, None if u in first else k, u in first, True, False) for u, (m, k) in sizes.items()]
+    system = J.System(
+        named_rows(spark, "node string, n bigint, c bigint, hidden boolean, margin boolean, alone boolean", nodes),
+        named_rows(
+            spark, "line string, node string, total string",
+            [("t", t, "total") for t in ("t0", "t1")] + [("u", u, "total") for u in sizes],
+        ),
+        named_rows(spark, "a string, b string", []),
+        named_rows(spark, "small string, large string, gap bigint", [("t0", big, n_big - 40)]),
+        named_rows(spark, "cap string, node string, bound bigint, upper boolean", [("below", "t0", 15, True)]),
+    )
+    settled = J.guard(system, minimum=20)
+    # No count dearer than the one that fixed it goes, and none cheaper stays.
+    assert {r["node"] for r in settled.nodes.where("hidden").collect()} == {"t0", "t1"} | {u for u in sizes if u <= big}
+    assert settled.nodes.where("hidden AND c IS NOT NULL").count() == 0
+
+
 # --- audits -----------------------------------------------------------------------------------------------------
 
 
