@@ -229,34 +229,58 @@ def chain(
     entry: np.ndarray, after: np.ndarray, factor: np.ndarray, start: np.ndarray, move: np.ndarray, chained: np.ndarray,
     size: np.ndarray, initial: np.ndarray, offset: np.ndarray, place: np.ndarray, firsts: np.ndarray, pieces: np.ndarray,
 ) -> None:
-    """Fill in what reaches each stretch of a long text from the left and from the right."""
+    """Fill in what reaches each stretch of a long text from the left and from the right.
+
+    The first stretch of a text passes one vector on and the last one gives one back; only those
+    between them need a matrix.
+    """
     states = len(start)
-    own_size, own_initial = size[chained], initial[chained]
     onward = np.ascontiguousarray(move.T)
-    matrix = np.repeat(np.eye(states)[:, :, None], len(chained), axis=2)
-    steps = int(own_size.max())
-    for t in range(steps):
-        k = int(np.searchsorted(-own_size, -t, side="left"))
-        moved = np.matmul(onward, matrix[:, :, :k])
-        if t == 0:
-            moved = np.where(own_initial[:k], matrix[:, :, :k], moved)
-        moved *= factor[:, offset[t] + chained[:k]]
-        if t % 16 == 15 or t == steps - 1:
-            # Only the direction counts: what arrives is normalised below.
-            moved /= moved.max(axis=(0, 1))
-        matrix[:, :, :k] = moved
-    matrix /= matrix.max(axis=(0, 1))
+    long = np.flatnonzero(pieces > 1)
+    last = np.zeros(len(size), dtype=bool)
+    last[place[firsts[long] + pieces[long] - 1]] = True
+    heads, tails = chained[initial[chained]], chained[last[chained]]
+    inner = chained[~initial[chained] & ~last[chained]]
     where = np.full(len(size), -1)
-    where[chained] = np.arange(len(chained))
-    for text in np.flatnonzero(pieces > 1):
+    for group in (heads, tails, inner):
+        where[group] = np.arange(len(group))
+
+    # Only the direction counts: what arrives is normalised below.
+    left = np.repeat(start[:, None], len(heads), axis=1)
+    for t in range(STRETCH):
+        left = (left if t == 0 else onward @ left) * factor[:, offset[t] + heads]
+        if t % 16 == 15:
+            left /= left.max(axis=0)
+    left /= left.sum(axis=0)
+
+    right = np.ones((states, len(tails)))
+    falling = -size[tails]
+    steps = int(size[tails].max())
+    for t in range(steps - 1, -1, -1):
+        k = int(np.searchsorted(falling, -t, side="left"))
+        moved = move @ (right[:, :k] * factor[:, offset[t] + tails[:k]])
+        if t % 16 == 0:
+            moved /= moved.max(axis=0)
+        right[:, :k] = moved
+    right /= right.sum(axis=0)
+
+    matrix = np.repeat(np.eye(states)[:, :, None], len(inner), axis=2)
+    for t in range(STRETCH if len(inner) else 0):
+        matrix = np.matmul(onward, matrix)
+        matrix *= factor[:, offset[t] + inner]
+        if t % 16 == 15 or t == STRETCH - 1:
+            matrix /= matrix.max(axis=(0, 1))
+    for text in long:
         parts = place[firsts[text] : firsts[text] + pieces[text]]
-        state = start
-        for s, following in zip(parts[:-1], parts[1:], strict=True):
+        state = left[:, where[parts[0]]]
+        entry[:, parts[1]] = state
+        for s, following in zip(parts[1:-1], parts[2:], strict=True):
             state = state @ matrix[:, :, where[s]]
             state = state / state.sum()
             entry[:, following] = state
-        ahead = np.ones(states)
-        for s, preceding in zip(parts[:0:-1], parts[-2::-1], strict=True):
+        ahead = right[:, where[parts[-1]]]
+        after[:, parts[-2]] = ahead
+        for s, preceding in zip(parts[-2:0:-1], parts[-3::-1], strict=True):
             ahead = matrix[:, :, where[s]] @ ahead
             ahead = ahead / ahead.sum()
             after[:, preceding] = ahead

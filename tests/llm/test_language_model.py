@@ -49,6 +49,32 @@ def test_stretches_give_the_whole_chain(monkeypatch, stretch):
     np.testing.assert_allclose(H.vectors(kinds, lengths, start, move, emit, False)[0], got)
 
 
+def test_texts_of_two_stretches_are_chained_by_vectors_alone(monkeypatch):
+    """The first stretch passes a vector on and the last gives one back: no matrix is multiplied."""
+    monkeypatch.setattr(H, "STRETCH", 16)
+    multiply = np.matmul
+
+    def flat(a, b, **kept):
+        assert b.ndim == 2
+        return multiply(a, b, **kept)
+
+    monkeypatch.setattr(H.np, "matmul", flat)
+    rng = np.random.default_rng(4)
+    start, move = rng.dirichlet(np.ones(H.STATES)), rng.dirichlet(np.ones(H.STATES), H.STATES)
+    emit = rng.uniform(0.1, 1.0, (H.CLASSES + 1, H.STATES))
+    emit /= emit.sum(axis=0)
+    lengths = np.array([20, 32, 5, 17])
+    kinds = rng.integers(0, H.CLASSES, lengths.sum()).astype(np.uint16)
+    logs, _ = H.vectors(kinds, lengths, start, move, emit, True)
+    for n, end, got in zip(lengths, np.cumsum(lengths), logs, strict=True):
+        state, total = start, 0.0
+        for t, kind in enumerate(kinds[end - n : end]):
+            state = (state if t == 0 else state @ move) * emit[kind]
+            total += np.log(state.sum())
+            state = state / state.sum()
+        assert abs(got - total) < 1e-9
+
+
 def counts(texts):
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts if i is not None}
     seen = Counter()
