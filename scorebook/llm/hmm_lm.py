@@ -32,7 +32,11 @@ CLASSES = 2048
 STATES = 6
 BLOCK = 1 << 19
 #: Words of a text that one vector recursion runs over; longer texts are chained by matrices.
-STRETCH = 1024
+STRETCH = 512
+#: Words after which a recursion is scaled; factors of 1e-30 or more then stay within a double.
+SCALED = 8
+#: Words whose shares of states are gathered before they are added to the classes.
+JOINT = 1 << 13
 END = xxhash.xxh3_64_intdigest(b"\n")
 ALPHA = 0.1
 #: Classes of the table of neighbours, and rounds over that table.
@@ -142,8 +146,19 @@ def counted(table: DataFrame) -> DataFrame:
     return entries(table).select("word", "block", "place", F.sum("n").over(everywhere).alias("c"))
 
 
+def tables(room: dict[str, np.ndarray], name: str, states: int, active: list[int]) -> list[np.ndarray]:
+    """A table for every step, states by active stretches, one behind the other in memory that
+    ``room`` keeps for the next call."""
+    cells = states * sum(active)
+    if name not in room or len(room[name]) < cells:
+        room[name] = np.empty(cells)
+    at = np.concatenate([[0], np.cumsum(active, dtype=np.int64)]) * states
+    return [room[name][a:b].reshape(states, n) for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), active, strict=True)]
+
+
 def vectors(
-    kinds: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, learn: bool
+    kinds: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, learn: bool,
+    room: dict[str, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
     """Natural log-likelihood of each text's classes, exactly; with ``learn`` also the expected
     counts of starts, moves and emissions.
@@ -152,8 +167,10 @@ def vectors(
     the order the recursion takes them: every stretch's first, every stretch's second, and so on.
     One step is a few operations on neighbouring cells, states by stretches.  The stretches of a
     long text are chained by their matrices, so its likelihood and its counts are those of the
-    whole chain.
+    whole chain.  States are scaled at every ``SCALED``-th word, on the way back by the same
+    numbers.  Calls that share a ``room`` share the memory of the large tables.
     """
+    room = {} if room is None else room
     states = len(start)
     pieces = -(-lengths // STRETCH)
     texts = np.repeat(np.arange(len(lengths)), pieces)
@@ -161,127 +178,154 @@ def vectors(
     part = np.arange(len(texts)) - firsts[texts]
     begin = (np.cumsum(lengths) - lengths)[texts] + part * STRETCH
     size = np.minimum(lengths[texts] - part * STRETCH, STRETCH)
-    order = np.argsort(-size, kind="stable")
+    # Of a long text all stretches but the last are full: first ones lie first, inner ones next.
+    last = part == pieces[texts] - 1
+    order = np.lexsort((np.where(last, 2, part > 0), -size))
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
-    size, begin, initial = size[order], begin[order], part[order] == 0
+    size, begin, initial, last = size[order], begin[order], part[order] == 0, last[order]
     steps = int(size.max(initial=0))
-    active = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
-    offset = np.concatenate([[0], np.cumsum(active)])
-    at_step = np.repeat(np.arange(steps), active)
-    row = np.arange(len(kinds)) - offset[at_step]
-    kinds = kinds[begin[row] + at_step]
-    factor = np.ascontiguousarray(emit.T)[:, kinds]
+    active = (len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")).tolist()
+    offset = np.concatenate([[0], np.cumsum(active, dtype=np.int64)]).tolist()
+    taken = np.empty(len(kinds), dtype=np.int64)
+    for t, n in enumerate(active):
+        np.add(begin[:n], t, out=taken[offset[t] : offset[t + 1]])
+    kinds = kinds[taken].astype(np.int64)
+    factor = tables(room, "factor", states, active)
+    emission = np.ascontiguousarray(emit.T)
+    for t in range(steps):
+        np.take(emission, kinds[offset[t] : offset[t + 1]], axis=1, out=factor[t], mode="clip")
     onward = np.ascontiguousarray(move.T)
     entry = np.where(initial, start[:, None], 0.0)  # the states before the first word's factor
     after = np.ones((states, len(size)))
-    chained = np.flatnonzero((pieces > 1)[texts[order]])
-    if len(chained):
-        chain(entry, after, factor, start, move, chained, size, initial, offset, place, firsts, pieces)
+    if (pieces > 1).any():
+        chain(entry, after, factor, start, move, size, initial, last, place, firsts, pieces)
 
-    forward = np.empty((states, len(kinds))) if learn else None
-    norms = np.ones(len(kinds))
+    if learn:
+        forward = tables(room, "forward", states, active)
+    turns = [np.empty((states, len(size))) for _ in range(2)]
+    ends, logs = np.empty((states, len(size))), np.zeros(len(size))
     state = entry
     for t, n in enumerate(active):
-        cells = slice(offset[t], offset[t + 1])
-        moved = onward @ state[:, :n]
-        state = np.where(initial[:n], state[:, :n], moved) if t == 0 else moved
-        state *= factor[:, cells]
-        total = state.sum(axis=0)
-        state /= total
-        norms[cells] = total
-        if learn:
-            forward[:, cells] = state
-    shift = np.bincount(row, weights=np.log(norms), minlength=len(size))
-    per_text = np.bincount(texts, weights=shift[place], minlength=len(lengths))
+        own = forward[t] if learn else turns[t % 2][:, :n]
+        np.matmul(onward, state[:, :n], out=own)
+        if t == 0:
+            own[:, initial] = entry[:, initial]
+        own *= factor[t]
+        if t % SCALED == SCALED - 1:
+            total = own.sum(axis=0)
+            own /= total
+            logs[:n] += np.log(total)
+            if learn:
+                factor[t] /= total
+        following = active[t + 1] if t + 1 < steps else 0
+        if following < n:
+            ends[:, following:n] = own[:, following:]
+        state = own
+    logs += np.log(ends.sum(axis=0))
+    per_text = np.bincount(texts, weights=logs[place], minlength=len(lengths))
     if not learn:
         return per_text, None
 
     # Scaled so that forward and backward multiply to the shares of the states of a word.
-    ends = forward[:, offset[size - 1] + np.arange(len(size))]
     after /= (ends * after).sum(axis=0)
-    backward = np.empty((states, len(kinds)))
-    factor /= norms
-    moves = np.zeros((states, states))
-    state = np.empty((states, 0))
+    moves, emitted = np.zeros((states, states)), np.zeros((states, emit.shape[0]))
+    rights = np.empty((states, len(size)))
+    joint = np.empty((states, max(JOINT, len(size))))  # filled from its end, for the words from ``at`` to ``until``
+    at = until = len(kinds)
+    kept = 0
     for t in range(steps - 1, -1, -1):
-        n, kept = active[t], state.shape[1]
-        own = backward[:, offset[t] : offset[t + 1]]
-        own[:, kept:] = after[:, kept:n]
+        n = active[t]
+        own = turns[t % 2][:, :n]
+        if kept < n:
+            own[:, kept:] = after[:, kept:n]
         if kept:
-            right = state * factor[:, offset[t + 1] : offset[t + 1] + kept]
+            right = np.multiply(state, factor[t + 1], out=rights[:, :kept])
             np.matmul(move, right, out=own[:, :kept])
-            moves += forward[:, offset[t] : offset[t] + kept] @ right.T
-        state = own
+            moves += forward[t][:, :kept] @ right.T
+        if until - offset[t] > joint.shape[1]:
+            add_shares(emitted, kinds[at:until], joint)
+            until = at
+        at = offset[t]
+        free = joint.shape[1] - until + at
+        np.multiply(forward[t], own, out=joint[:, free : free + n])
+        state, kept = own, n
+    add_shares(emitted, kinds[at:until], joint)
     # The state before a stretch is the one that its predecessor ended in.
     going = np.flatnonzero(~initial)
     left = ends[:, place[firsts[texts[order[going]]] + part[order[going]] - 1]]
-    right = state[:, going] * factor[:, going]
+    right = state[:, going] * factor[0][:, going]
     moves += left @ (right / ((onward @ left) * right).sum(axis=0)).T
     moves *= move
-    joint = np.multiply(forward, backward, out=backward)
-    emitted = np.stack([np.bincount(kinds, weights=joint[k], minlength=emit.shape[0]) for k in range(states)], axis=1)
-    starts = joint[:, : len(size)][:, initial].sum(axis=1)
-    return per_text, (starts, moves, emitted)
+    starts = (forward[0] * state)[:, initial].sum(axis=1)
+    return per_text, (starts, moves, np.ascontiguousarray(emitted.T))
+
+
+def add_shares(emitted: np.ndarray, kinds: np.ndarray, joint: np.ndarray) -> None:
+    """Add the shares of states of words, the last columns of ``joint``, to those of their classes."""
+    first = joint.shape[1] - len(kinds)
+    for k, shares in enumerate(joint):
+        emitted[k] += np.bincount(kinds, weights=shares[first:], minlength=emitted.shape[1])
 
 
 def chain(
-    entry: np.ndarray, after: np.ndarray, factor: np.ndarray, start: np.ndarray, move: np.ndarray, chained: np.ndarray,
-    size: np.ndarray, initial: np.ndarray, offset: np.ndarray, place: np.ndarray, firsts: np.ndarray, pieces: np.ndarray,
+    entry: np.ndarray, after: np.ndarray, factor: list[np.ndarray], start: np.ndarray, move: np.ndarray, size: np.ndarray,
+    initial: np.ndarray, last: np.ndarray, place: np.ndarray, firsts: np.ndarray, pieces: np.ndarray,
 ) -> None:
     """Fill in what reaches each stretch of a long text from the left and from the right.
 
     The first stretch of a text passes one vector on and the last one gives one back; only those
-    between them need a matrix.
+    between them need a matrix, a vector for each state that it may begin in.
     """
     states = len(start)
     onward = np.ascontiguousarray(move.T)
-    long = np.flatnonzero(pieces > 1)
-    last = np.zeros(len(size), dtype=bool)
-    last[place[firsts[long] + pieces[long] - 1]] = True
-    heads, tails = chained[initial[chained]], chained[last[chained]]
-    inner = chained[~initial[chained] & ~last[chained]]
-    where = np.full(len(size), -1)
-    for group in (heads, tails, inner):
-        where[group] = np.arange(len(group))
-
-    # Only the direction counts: what arrives is normalised below.
-    left = np.repeat(start[:, None], len(heads), axis=1)
+    heads, inner = int((initial & ~last).sum()), int((~initial & ~last).sum())
+    tails = np.flatnonzero(last & ~initial)
+
+    # Vectors of first stretches, then of inner ones.  Only the direction counts: what arrives is
+    # normalised below.
+    turns = [np.empty((states, heads + states * inner)) for _ in range(2)]
+    views = [(x, x[:, :heads], x[:, heads:].reshape(states, states, inner)) for x in turns]
     for t in range(STRETCH):
-        left = (left if t == 0 else onward @ left) * factor[:, offset[t] + heads]
-        if t % 16 == 15:
+        whole, left, matrix = views[t % 2]
+        if t == 0:
+            left[:] = start[:, None]
+            matrix[:] = onward[:, :, None]
+        else:
+            np.matmul(onward, views[1 - t % 2][0], out=whole)
+        left *= factor[t][:, :heads]
+        if inner:
+            matrix *= factor[t][:, None, heads : heads + inner]
+        if t % SCALED == SCALED - 1 or t == STRETCH - 1:
             left /= left.max(axis=0)
+            matrix /= matrix.max(axis=(0, 1))
     left /= left.sum(axis=0)
 
-    right = np.ones((states, len(tails)))
-    falling = -size[tails]
     steps = int(size[tails].max())
+    counts = (len(tails) - np.searchsorted(size[tails][::-1], np.arange(steps), side="right")).tolist()
+    right, weighted = np.ones((states, len(tails))), np.empty((states, len(tails)))
     for t in range(steps - 1, -1, -1):
-        k = int(np.searchsorted(falling, -t, side="left"))
-        moved = move @ (right[:, :k] * factor[:, offset[t] + tails[:k]])
-        if t % 16 == 0:
-            moved /= moved.max(axis=0)
-        right[:, :k] = moved
+        k = counts[t]
+        np.multiply(right[:, :k], factor[t].take(tails[:k], axis=1), out=weighted[:, :k])
+        np.matmul(move, weighted[:, :k], out=right[:, :k])
+        if t % SCALED == 0:
+            right[:, :k] /= right[:, :k].max(axis=0)
     right /= right.sum(axis=0)
 
-    matrix = np.repeat(np.eye(states)[:, :, None], len(inner), axis=2)
-    for t in range(STRETCH if len(inner) else 0):
-        matrix = np.matmul(onward, matrix)
-        matrix *= factor[:, offset[t] + inner]
-        if t % 16 == 15 or t == STRETCH - 1:
-            matrix /= matrix.max(axis=(0, 1))
-    for text in long:
+    where = np.empty(len(size), dtype=np.int64)
+    where[tails] = np.arange(len(tails))
+    for text in np.flatnonzero(pieces > 1):
         parts = place[firsts[text] : firsts[text] + pieces[text]]
-        state = left[:, where[parts[0]]]
+        state = left[:, parts[0]]
         entry[:, parts[1]] = state
         for s, following in zip(parts[1:-1], parts[2:], strict=True):
-            state = state @ matrix[:, :, where[s]]
+            state = matrix[:, :, s - heads] @ state
             state = state / state.sum()
             entry[:, following] = state
         ahead = right[:, where[parts[-1]]]
         after[:, parts[-2]] = ahead
         for s, preceding in zip(parts[-2:0:-1], parts[-3::-1], strict=True):
-            ahead = matrix[:, :, where[s]] @ ahead
+            ahead = ahead @ matrix[:, :, s - heads]
             ahead = ahead / ahead.sum()
             after[:, preceding] = ahead
 
@@ -371,13 +415,14 @@ def step(table: DataFrame, start: np.ndarray, move: np.ndarray, emit: np.ndarray
     """Expected counts over all training texts of the blocks, and their log-likelihood."""
     states = len(start)
     shapes = [(states,), (states, states), emit.shape, ()]
+    room: dict[str, np.ndarray] = {}  # filled in a task, for all its blocks
 
     def add(learn: list, lengths: list, places: bytes, kinds: bytes) -> np.ndarray | None:
         sizes, known = np.array(lengths, dtype=np.int64), np.array(learn, dtype=bool)
         if not known.any():
             return None
         own = unpacked(kinds, "u2")[unpacked(places, "u4")][np.repeat(known, sizes)]
-        logs, found = vectors(own, sizes[known], start, move, emit, True)
+        logs, found = vectors(own, sizes[known], start, move, emit, True, room)
         return np.concatenate([*[f.ravel() for f in found], [logs.sum()]])
 
     flat = cell_sums(table, ["learn", "lengths", "places", "kinds"], sum(int(np.prod(x)) for x in shapes), add)

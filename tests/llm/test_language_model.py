@@ -1,6 +1,7 @@
 """The chain against plain recursions, counts against a counter, odd documents."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -75,6 +76,73 @@ def test_texts_of_two_stretches_are_chained_by_vectors_alone(monkeypatch):
         assert abs(got - total) < 1e-9
 
 
+def sample(lengths):
+    rng = np.random.default_rng(6)
+    start, move = rng.dirichlet(np.ones(H.STATES)), rng.dirichlet(np.ones(H.STATES), H.STATES)
+    emit = rng.uniform(0.1, 1.0, (H.CLASSES + 1, H.STATES))
+    return rng.integers(0, H.CLASSES, lengths.sum()).astype(np.uint16), lengths, start, move, emit / emit.sum(axis=0)
+
+
+def test_a_pass_scales_few_words_and_keeps_two_tables(monkeypatch):
+    """Not every word is normalised, and a pass holds two tables of states by words: none that is
+    new where a block before it left its memory."""
+    case = sample(np.full(400, 250))
+    table = case[0].size * H.STATES * 8
+    taken, log = [], np.log
+    with monkeypatch.context() as patched:
+        patched.setattr(H.np, "log", lambda x: taken.append(np.size(x)) or log(x))
+        H.vectors(*case, True)
+    assert sum(taken) <= case[0].size / 4
+
+    def peak(*room):
+        tracemalloc.start()
+        found = H.vectors(*case, True, *room)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, found
+
+    assert peak()[0] < 2.9 * table
+    room = {}
+    first, again = peak(room)[1], peak(room)
+    assert again[0] < 0.9 * table
+    np.testing.assert_array_equal(first[0], again[1][0])
+    for a, b in zip(first[1], again[1][1], strict=True):
+        np.testing.assert_array_equal(a, b)
+
+
+def test_memory_of_a_larger_block_serves_smaller_ones(monkeypatch):
+    monkeypatch.setattr(H, "STRETCH", 16)
+    room = {}
+    for lengths in ([70, 3, 40, 16, 17], [1], [33, 2], [5, 90, 48, 48, 100, 7]):
+        case = sample(np.array(lengths))
+        got, want = H.vectors(*case, True, room), H.vectors(*case, True)
+        np.testing.assert_array_equal(got[0], want[0])
+        for a, b in zip(got[1], want[1], strict=True):
+            np.testing.assert_array_equal(a, b)
+
+
+@pytest.mark.parametrize("stretch", [7, 8, 9, 64])
+def test_rare_classes_stay_within_a_double(monkeypatch, stretch):
+    monkeypatch.setattr(H, "STRETCH", stretch)
+    rng = np.random.default_rng(8)
+    start, move = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3)
+    emit = rng.dirichlet(np.ones(6), 3).T * 1e-30
+    lengths = np.array([100, 1, 8, 30, 64])
+    kinds = rng.integers(0, 6, lengths.sum())
+    logs, found = H.vectors(kinds, lengths, start, move, emit, True)
+    plainly, same = H.vectors(kinds, lengths, start, move, emit * 1e30, True)
+    np.testing.assert_allclose(logs, plainly - lengths * 30 * np.log(10.0), rtol=1e-12)
+    for a, b in zip(found, same, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_shares_are_added_up_in_parts_alike(monkeypatch):
+    case = sample(np.array([300, 20, 700, 1, 1500]))
+    whole = H.vectors(*case, True)[1][2]
+    monkeypatch.setattr(H, "JOINT", 16)
+    np.testing.assert_allclose(H.vectors(*case, True)[1][2], whole, rtol=1e-12)
+
+
 def counts(texts):
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts if i is not None}
     seen = Counter()
