@@ -4,6 +4,10 @@ The trees are grown on a bounded sample of distinct vectors; every vector is the
 every tree.  A query walks all trees with one priority queue, nearest splits first, until the leaves
 it has reached should hold enough candidates; the candidates are ranked by their exact cosine.
 
+Points are dealt into blocks by a hash, each once with its leaves, and a query goes to every block
+with a bit per leaf that it has reached, so neither a vector per leaf nor a row per leaf is moved,
+and no table that a walk makes longer is joined.
+
 Equal vectors are one candidate that carries its smallest IDs, as many as a result may need, so a
 vector that a third of the rows have is compared once and loses no neighbour.  Vectors that are
 null, zero or hold null or non-finite components take no part, nor do rows without an ID or vectors
@@ -22,11 +26,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorebook.llm.common import stored
 
-#: Members of a leaf that one task compares; larger leaves are dealt out in chunks.
-CHUNK = 4096
+#: Most points of a block and queries of a slice, which meet in one task.
+BLOCK, SLICE = 1 << 15, 1 << 15
+#: Blocks of a small table, as far as they have so many points; queries that walk in one task.
+SPREAD, LEAST_BLOCK, WALKS = 12, 1 << 11, 1 << 8
+#: Queries compared at once, a bit of a word each.
+WORD = 64
 #: More than the fast and the exact score of a pair can differ by, and pairs ranked at once.
 MARGIN = 1e-9
 PAIRS = 1 << 15
@@ -113,7 +122,9 @@ def reached(forest: Forest, vector: np.ndarray, budget: float) -> list[int]:
 
 def usable(vectors: DataFrame, *, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, v) of the rows that take part."""
-    v = F.col(f"`{embedding}`").cast("array<double>")
+    given = vectors.select(F.col(f"`{embedding}`")).schema[0].dataType
+    single = isinstance(given, T.ArrayType) and given.elementType == T.FloatType()
+    v = F.col(f"`{embedding}`").cast("array<float>" if single else "array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0.0)
@@ -122,8 +133,12 @@ def usable(vectors: DataFrame, *, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.size("v") == (width["width"] if width else 0))
 
 
+def matrix(rows) -> np.ndarray:
+    return np.stack(rows).astype(np.float64) if len(rows) else np.empty((0, 0))
+
+
 def unit(rows) -> np.ndarray:
-    m = np.stack([np.asarray(r, dtype=np.float64) for r in rows]) if len(rows) else np.empty((0, 0))
+    m = matrix(rows)
     m = m / np.abs(m).max(axis=1, keepdims=True) if len(m) else m
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True)) if len(m) else m
 
@@ -138,6 +153,53 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 
+def drawn(points: DataFrame, sample: int) -> np.ndarray:
+    """Unit vectors of the ``sample`` points with the smallest hashes, in the order of these.
+
+    Where they end is found on hashes and IDs alone, so no task gets the vectors of all parts.
+    """
+    place = F.struct(F.xxhash64("point").alias("hash"), "point", F.xxhash64("v").alias("own"))
+    last = points.select(place.alias("place")).orderBy("place").limit(sample).agg(F.max("place").alias("place")).first()["place"]
+    if last is None:
+        return unit([])
+    end = F.struct(*[F.lit(last[c]).alias(c) for c in ("hash", "point", "own")])
+    found = points.where(place <= end).select("point", "v", place["hash"].alias("hash"), place["own"].alias("own"))
+    found = found.toArrow().to_pandas().sort_values(["hash", "point", "own"])
+    return unit(found["v"].tolist()[:sample])
+
+
+def flagged(found: list[int], number: int) -> bytes:
+    """A bit for each of ``number`` leaves."""
+    flags = np.zeros(number, dtype=bool)
+    flags[found] = True
+    return np.packbits(flags).tobytes()
+
+
+def best(units: np.ndarray, own: np.ndarray, asked: np.ndarray, flags: list[bytes], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points, queries): of at most ``WORD`` queries, the ``keep`` candidates of each with the
+    largest products and all that come within ``MARGIN`` of them.  A candidate has one of its
+    leaves (``own``, a row per tree) among those that the query has reached (``flags``)."""
+    bits = np.zeros((WORD, 8 * len(flags[0])), dtype=np.uint8)
+    bits[: len(flags)] = np.unpackbits(np.frombuffer(b"".join(flags), dtype=np.uint8).reshape(len(flags), -1), axis=1)
+    words = np.ascontiguousarray(np.packbits(bits.T, axis=1)).view(np.uint64)[:, 0]
+    by = np.bitwise_or.reduce([words[held] for held in own])
+    some = np.flatnonzero(by)
+    if not len(some):
+        return some, some
+    score = (units if len(some) == len(units) else units[some]) @ asked.T
+    # From 1 to 3 for a candidate, 0 for any other pair.
+    score += 2.0
+    score *= np.unpackbits(by[some].view(np.uint8).reshape(-1, 8), axis=1, count=len(flags))
+    # The least of the largest in ``keep`` groups of points is no larger than the last to be kept.
+    size = max(1, len(some) // max(1024, 8 * keep))
+    whole = len(some) // size * size
+    tops = np.concatenate([score[:whole].reshape(size, -1, len(flags)).max(axis=0), score[whole:]])
+    at = max(0, len(tops) - keep)
+    least = np.maximum(np.partition(tops, at, axis=0)[at] - MARGIN, 0.5)
+    near, row = np.divmod(np.flatnonzero(score >= least), len(flags))
+    return some[near], row
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -157,72 +219,80 @@ def nearest(
     should hold ``share`` of the distinct vectors, counted once per tree, and ``least`` of them.
     """
     rows = stored(usable(vectors, vec_id=vec_id, embedding=embedding), "ann-rows")
-    first = Window.partitionBy("v").orderBy("vec_id")
+    # Sorted by a number first, vectors are seldom compared.
+    hashed = rows.distinct().withColumn("hash", F.xxhash64("v"))
+    first = Window.partitionBy("hash", "v").orderBy("vec_id")
     points = stored(
-        rows.distinct()
-        .withColumn("r", F.row_number().over(first))
+        hashed.withColumn("r", F.row_number().over(first))
         .where(F.col("r") <= k + 1)
-        .groupBy("v")
-        .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-        .select(F.col("ids")[0].alias("point"), "ids", "v"),
+        .withColumn("ids", F.collect_list("vec_id").over(first.rowsBetween(0, k)))
+        .where(F.col("r") == 1)
+        .select(F.col("vec_id").alias("point"), "ids", "v"),
         "ann-points",
     )
-    asked = rows.where(is_query).distinct()
-    distinct = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
-    total = points.count()
-    drawn = points.orderBy(F.xxhash64("point"), "point").limit(sample).select("v").toArrow().to_pandas()["v"]
-    forest = grown(unit(drawn.tolist()), trees if total else 0, leaf, total / max(1, len(drawn)))
+    asked = stored(
+        hashed.where(is_query).withColumn("query", F.min("vec_id").over(Window.partitionBy("hash", "v"))).select("vec_id", "query", "v"),
+        "ann-queries",
+    )
+    distinct = asked.where(F.col("vec_id") == F.col("query")).select("query", "v")
+    total, queries = points.count(), distinct.count()
+    seen = drawn(points, sample)
+    forest = grown(seen, trees if total else 0, leaf, total / max(1, len(seen)))
     budget = max(float(least), share * total)
+    blocks = max(1, -(-total // BLOCK), min(SPREAD, -(-total // LEAST_BLOCK)))
+    slices = max(1, -(-queries // SLICE))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                found = leaves(forest, unit(batch["v"].tolist()))
-                yield batch.loc[batch.index.repeat(found.shape[1])].assign(leaf=found.ravel())
+                yield batch.assign(leaves=list(leaves(forest, unit(batch["v"].tolist()))))
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            units = unit(batch["v"].tolist())
-            found = [reached(forest, u, budget) for u in units]
-            yield batch.loc[batch.index.repeat([len(f) for f in found])].assign(leaf=[x for f in found for x in f])
+            if len(batch):
+                found = [reached(forest, u, budget) for u in unit(batch["v"].tolist())]
+                yield batch.assign(reached=[flagged(f, len(forest.sizes)) for f in found])
+
+    def dealt(parts: int) -> Column:
+        return F.pmod(F.xxhash64("v"), F.lit(parts))
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
 
-    members = points.select("point", "v").mapInPandas(placed, "point bigint, v array<double>, leaf bigint")
-    chunks = members.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    members = members.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("point"), F.col("chunks")))
-    walks = distinct.mapInPandas(walked, "v array<double>, query bigint, leaf bigint").join(chunks, "leaf")
-    walks = walks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    kind = rows.schema["v"].dataType.simpleString()
+    members = points.select("point", "v").mapInPandas(placed, f"point bigint, v {kind}, leaves array<int>")
+    members = members.withColumn("block", dealt(blocks)).withColumn("slice", every(slices))
+    walks = distinct.repartition(max(1, -(-queries // WALKS))).mapInPandas(walked, f"query bigint, v {kind}, reached binary")
+    walks = walks.withColumn("slice", dealt(slices)).withColumn("block", every(blocks))
 
     def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": [], "point": [], "score": []})]
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "point": [], "score": []})
-        right = right.sort_values("point")
-        members_, raw = unit(right["v"].tolist()), np.stack(right["v"].tolist())
-        ids = right["point"].to_numpy()
-        out = []
-        keep = min(len(ids), k + 1)
-        for lo in range(0, len(left), 256):
-            part = left.iloc[lo : lo + 256]
-            asked_ = np.stack(part["v"].tolist())
-            fast = unit(part["v"].tolist()) @ members_.T
-            # All that may be among the best, however many tie there, is ranked by the exact score.
-            last = np.partition(fast, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            row, near = np.nonzero(fast >= last[:, None] - MARGIN)
+            return out[0]
+        raw, ids = matrix(right["v"].tolist()), right["point"].to_numpy()
+        units, own = unit(raw), np.stack(right["leaves"].tolist(), axis=1)
+        for lo in range(0, len(left), WORD):
+            some = left.iloc[lo : lo + WORD]
+            asked_, names = matrix(some["v"].tolist()), some["query"].to_numpy()
+            near, row = best(units, own, unit(asked_), some["reached"].tolist(), k + 1)
             for at in range(0, len(row), PAIRS):
                 r, n = row[at : at + PAIRS], near[at : at + PAIRS]
-                found = pd.DataFrame({"query": part["query"].to_numpy()[r], "point": ids[n], "score": cosine(asked_[r], raw[n])})
+                found = pd.DataFrame({"query": names[r], "point": ids[n], "score": cosine(asked_[r], raw[n])})
                 found = found.sort_values(["query", "score", "point"], ascending=[True, False, True])
                 out.append(found.groupby("query").head(k + 1))
-        return pd.concat(out)
+        return pd.concat(out[1:] or out)
 
-    sides = walks.select("leaf", "chunk", "query", "v").groupBy("leaf", "chunk").cogroup(members.select("leaf", "chunk", "point", "v").groupBy("leaf", "chunk"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "point")
+    tile, tiles = ("block", "slice"), blocks * slices
+    parts = min(4 * tiles, max(256, tiles))  # few tiles share a part by chance
+    sides = walks.repartition(parts, *tile).groupBy(*tile).cogroup(members.repartition(parts, *tile).groupBy(*tile))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "point")
     scores = (
         sides.applyInPandas(ranked, "query bigint, point bigint, score double")
         .distinct()
-        .withColumn("r", F.row_number().over(best))
+        .withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= k + 1)
     )
-    everyone = asked.join(distinct, "v").select(F.col("vec_id").alias("query_id"), "query")
+    everyone = asked.select(F.col("vec_id").alias("query_id"), "query")
     named = scores.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
